@@ -1,17 +1,19 @@
 """N-gram Jaccard join over a count-vector R-tree.
 
 Each text becomes a set of hashed word shingles. Texts with the same set form one class, so exact copies meet in an
-aggregate and never as pairs. Between classes:
+aggregate and never as pairs. A class's point counts its shingles by hash group (64 to 1,024 groups, by size, each
+grouping nested in the next); the sum of coordinate-wise minima of two points bounds the overlap of their sets.
+Between classes:
 
 1. A class is listed under the first |s| - ceil(t |s|) + 1 of its shingles in one fixed order (frequent shingles of a
-   bounded sample last, else by hash). Two sets of Jaccard >= t share one of these; singletons drop out. The sample
-   decides the order alone: any order finds every link.
-2. Classes that share a listed shingle, directly or in a chain, form a unit. A unit of more than UNIT shingles is
-   dealt by single listed shingle instead, and, where one shingle is still too much, by pairs of size-ordered blocks
-   whose sizes can match. So a task's share is bounded and no pair is dropped.
-3. In a unit, shingles are hashed into groups; the group counts are a point. Points are packed, sort-tile fashion,
-   into the leaves of an R-tree. The sum of coordinate-wise minima bounds the overlap, first between the boxes of two
-   leaves, then between points. Pairs that survive are verified on the sets, unless already joined by other links.
+   bounded sample last, else by hash). Two sets of Jaccard >= t share one of these; a listing without a neighbour of a
+   fitting size drops out. The sample decides the order alone: any order finds every link.
+2. Classes under one shingle are candidates if their points' bound allows a link. Up to CROWD classes meet as pairs;
+   more go into an R-tree, packed sort-tile fashion, that is joined with itself, first by the bound between the boxes
+   of two leaves, then between points, and that gives only as many candidates as join all that its candidates join.
+3. Classes that candidates join, directly or in a chain, form a unit, whose texts meet in one task. A unit of more
+   than UNIT shingles is dealt as pairs of size-ordered blocks whose sizes can match. In a unit, the same R-tree join
+   finds the pairs that survive the bound; they are verified on the sets, unless other links have joined them already.
 4. Spanning links of all units join into components.
 
 Defined cases: null or word-less text has 0 shingles and is its own component; fewer than n words are one shingle; a
@@ -35,8 +37,8 @@ from .common import BROADCAST_ROWS, buffers, connected_components, cut, mix, ste
 UNIT = 2_000_000
 #: Documents of the sample that tells frequent shingles, and shingles it may name.
 SAMPLE, FREQUENT = 4096, 20_000
-#: Points in a leaf.
-LEAF = 32
+#: Points in a leaf; classes under one shingle that meet as pairs.
+LEAF, CROWD = 32, 48
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> list[np.ndarray]:
@@ -80,6 +82,24 @@ def _listed(s: np.ndarray, frequent: np.ndarray, num: int, den: int) -> np.ndarr
     return s[:k].view(np.int64)
 
 
+def point(s: np.ndarray) -> np.ndarray:
+    """Shingles by hash group; the groups are nested, so a finer point folds into a coarser one."""
+    bits = 6 if len(s) < 1_000 else 8 if len(s) < 8_000 else 10
+    return np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.uint32)
+
+
+def fold(points: np.ndarray, groups: int) -> np.ndarray:
+    return points if points.shape[-1] == groups else points.reshape(*points.shape[:-1], groups, -1).sum(-1)
+
+
+def _packed(p: np.ndarray) -> bytes:
+    return p.astype(np.uint16).tobytes() + b"2" if p.max(initial=0) < 65_536 else p.tobytes() + b"4"
+
+
+def _unpacked(b: bytes) -> np.ndarray:
+    return np.frombuffer(b[:-1], np.uint16 if b[-1:] == b"2" else np.uint32).astype(np.int64)
+
+
 def _signed(docs: DataFrame, id_col: str, text_col: str, n: int, frequent: list[int], num: int, den: int) -> DataFrame:
     often = np.array(sorted(frequent), np.uint64)
 
@@ -94,12 +114,12 @@ def _signed(docs: DataFrame, id_col: str, text_col: str, n: int, frequent: list[
             ends = np.concatenate([[0], np.cumsum([len(x) for x in listed])]).astype(np.int32)
             flat = np.concatenate(listed) if listed else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int64()))],
-                names=["doc_id", "n", "k1", "k2", "listed"],
+                [batch.column(0).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array([_packed(point(s)) for s in sets], pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int64()))],
+                names=["doc_id", "n", "k1", "k2", "point", "listed"],
             )
 
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return plain.mapInArrow(sign, "doc_id long, n long, k1 long, k2 long, listed array<long>")
+    return plain.mapInArrow(sign, "doc_id long, n long, k1 long, k2 long, point binary, listed array<long>")
 
 
 def frequent_shingles(docs: DataFrame, text_col: str, n: int) -> list[int]:
@@ -123,94 +143,175 @@ def frequent_shingles(docs: DataFrame, text_col: str, n: int) -> list[int]:
     return [int(np.int64(r.h).view(np.uint64)) for r in found]
 
 
-def unit_links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
-    """Spanning links between the sets of a unit: pairs (i, j) of Jaccard >= num/den with i in left and j in right that
-    are enough to join all that such pairs join."""
-    size = np.array([len(s) for s in sets], np.int64)
+def least_overlap(a, b, num: int, den: int):
+    """The least overlap of linked sets of these sizes."""
+    return -(-num * (a + b) // (num + den))
+
+
+def tree_join(size: np.ndarray, points: list[np.ndarray], apart, visit, num: int, den: int) -> None:
+    """Join an R-tree of points with itself: visit(i, j) for each pair that the bound lets pass while apart(rows of one
+    leaf, rows of another) still holds for it."""
     order = np.argsort(size, kind="stable")
     order = order[size[order] > 0]
-    if len(order) < 2:
-        return []
-    root = list(range(len(sets)))
-
-    def find(i: int) -> int:
+    leaves = range(0, len(order), LEAF)
+    if len(leaves) > 2:  # sort-tile: slabs by size, and by the first half of the groups within a slab
+        slab = LEAF * max(1, int(np.sqrt(len(leaves))))
+        half = np.array([p[: len(p) // 2].sum() for p in points])[order]
+        order = order[np.concatenate([s + np.argsort(half[s : s + slab], kind="stable") for s in range(0, len(order), slab)])]
+    rows = [order[s : s + LEAF] for s in leaves]
+    groups = [min(len(points[i]) for i in r) for r in rows]
+    inside = [np.stack([fold(points[i], g) for i in r]) for r, g in zip(rows, groups, strict=True)]
+    least, most = [size[r].min() for r in rows], [size[r].max() for r in rows]
+    high = np.stack([fold(x.max(0), 64) for x in inside]) if rows else np.zeros((0, 64))
+    least, most = np.array(least), np.array(most)
+    for p in range(len(rows)):
+        box = np.minimum(high[p], high[p:]).sum(1)
+        near = (box >= least_overlap(least[p], least[p:], num, den)) & (least[p:] * num <= most[p] * den) & (least[p] * num <= most[p:] * den)
+        for q in p + np.flatnonzero(near):
+            open_ = apart(rows[p], rows[q])
+            if p == q:
+                open_ &= np.arange(len(rows[p]))[:, None] < np.arange(len(rows[p]))[None, :]
+            if not open_.any():
+                continue
+            g = min(groups[p], groups[q])
+            over = np.minimum(fold(inside[p], g)[:, None, :], fold(inside[q], g)[None, :, :]).sum(2)
+            x, y = np.nonzero(open_ & (over >= least_overlap(size[rows[p]][:, None], size[rows[q]][None, :], num, den)))
+            for i, j in zip(rows[p][x], rows[q][y], strict=True):
+                visit(int(i), int(j))
+
+
+class Joined:
+    """Which of n rows are joined."""
+
+    def __init__(self, n: int):
+        self.root = list(range(n))
+        self.links: list[tuple[int, int]] = []
+
+    def find(self, i: int) -> int:
+        root = self.root
         while root[i] != i:
             root[i] = root[root[i]]
             i = root[i]
         return i
 
-    found = []
+    def join(self, i: int, j: int) -> None:
+        a, b = self.find(i), self.find(j)
+        if a != b:
+            self.root[max(a, b)] = min(a, b)
+            self.links.append((i, j))
+
+    def apart(self, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        return np.array([self.find(i) for i in p])[:, None] != np.array([self.find(i) for i in q])[None, :]
+
+
+def unit_links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
+    """Spanning links between the sets of a unit: pairs (i, j) of Jaccard >= num/den, one in left and one in right, that
+    are enough to join all that such pairs join."""
+    held = Joined(len(sets))
 
     def verify(i: int, j: int) -> None:
-        a, b = find(i), find(j)
-        if a == b:
+        if held.find(i) == held.find(j):
             return
         x, y = sets[i], sets[j]
         at = np.searchsorted(y, x)
         shared = int((y[np.minimum(at, len(y) - 1)] == x).sum())
         if den * shared >= num * (len(x) + len(y) - shared):
-            root[max(a, b)] = min(a, b)
-            found.append((i, j))
-
-    if len(order) == 2:
-        i, j = order
-        if (left[i] and right[j]) or (left[j] and right[i]):
-            verify(i, j)
-        return found
-    # Hash groups: enough that unlike sets of the unit's sizes fall apart, at most 256.
-    bits = int(np.clip(np.log2(max(1, np.median(size[order]) / 2)), 4, 8))
-    points = np.stack([np.bincount((sets[i] >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits) for i in order]).astype(np.int32)
-    bounds = list(range(0, len(order), LEAF))
-    if len(bounds) > 2:  # sort-tile: slabs by size, then by the first coordinates within a slab
-        slab = LEAF * max(1, int(np.sqrt(len(bounds))))
-        tiled = np.concatenate([s + np.argsort(points[s : s + slab, : 1 << (bits - 1)].sum(1), kind="stable") for s in range(0, len(order), slab)])
-        order, points = order[tiled], points[tiled]
-    sizes = size[order]
-    high = np.stack([points[s : s + LEAF].max(0) for s in bounds])
-    small, large = (np.array([f(sizes[s : s + LEAF]) for s in bounds]) for f in (np.min, np.max))
-    need = lambda a, b: -(-num * (a + b) // (num + den))  # noqa: E731  the least overlap of a link
-    for p, s in enumerate(bounds):
-        box = np.minimum(high[p], high[p:]).sum(1)
-        near = (box >= need(small[p], small[p:])) & (small[p:] * num <= large[p] * den) & (small[p] * num <= large[p:] * den)
-        for q in p + np.flatnonzero(near):
-            t = bounds[q]
-            a, b = points[s : s + LEAF], points[t : t + LEAF]
-            over = np.minimum(a[:, None, :], b[None, :, :]).sum(2)
-            pairs = over >= need(sizes[s : s + LEAF, None], sizes[None, t : t + LEAF])
-            for x, y in zip(*np.nonzero(pairs), strict=True):
-                if p == q and x >= y:
-                    continue
-                i, j = order[s + x], order[t + y]
-                if (left[i] and right[j]) or (left[j] and right[i]):
-                    verify(i, j)
-    return found
-
-
-def _units(signed: DataFrame, num: int, den: int) -> DataFrame | None:
-    """(doc_id, n, k1, k2, unit, side): the classes with a possible partner, by unit; side 0 both, 1 left, 2 right."""
-    classes = signed.where("n > 0 and doc_id is not null").groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("listed").alias("listed"))
-    rows = classes.select("rep", "n", "k1", "k2", F.explode("listed").alias("tok"))
-    same = W.partitionBy("tok")
-    met = rows.withColumns({"times": F.count("*").over(same), "hub": F.min("rep").over(same)}).where("times > 1").drop("times")
-    met = table(met, "jaccard-met")
-    parts = connected_components(met.select(F.col("hub").alias("a"), F.col("rep").alias("b")))
-    members = met.select("rep", "n", "k1", "k2").distinct().join(parts.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    members = cut(members)
+            held.join(i, j)
+
+    def apart(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        return held.apart(p, q) & ((left[p][:, None] & right[q][None, :]) | (right[p][:, None] & left[q][None, :]))
+
+    if len(sets) == 2:
+        if len(sets[0]) and len(sets[1]) and ((left[0] and right[1]) or (left[1] and right[0])):
+            verify(0, 1)
+    else:
+        tree_join(np.array([len(s) for s in sets], np.int64), [point(s).astype(np.int64) for s in sets], apart, verify, num, den)
+    return held.links
+
+
+def _crowd_candidates(num: int, den: int):
+    """For rows (tok, rep, n, point) that come by tok: enough candidate pairs (a, b) under each tok."""
+
+    def run(batches) -> Iterator:
+        import pyarrow as pa
+
+        held: list = []
+        now = None
+
+        def pairs():
+            found = Joined(len(held))
+            tree_join(np.array([h[1] for h in held], np.int64), [_unpacked(h[2]) for h in held], found.apart, found.join, num, den)
+            return pa.RecordBatch.from_arrays([pa.array([held[i][0] for i, _ in found.links], pa.int64()), pa.array([held[j][0] for _, j in found.links], pa.int64())], names=["a", "b"])
+
+        for batch in batches:
+            for tok, *row in zip(*(batch.column(k).to_pylist() for k in ("tok", "rep", "n", "point")), strict=True):
+                if tok != now:
+                    if held:
+                        yield pairs()
+                    held, now = [], tok
+                held.append(row)
+        if held:
+            yield pairs()
+
+    return run
+
+
+def _pair_candidates(num: int, den: int):
+    """The pairs (a, b, na, nb, pa, pb) whose points' bound allows a link."""
+
+    def run(batches) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            col = batch.to_pydict()
+            keep = []
+            for na, nb, x, y in zip(col["na"], col["nb"], col["pa"], col["pb"], strict=True):
+                x, y = _unpacked(x), _unpacked(y)
+                g = min(len(x), len(y))
+                keep.append(np.minimum(fold(x, g), fold(y, g)).sum() >= least_overlap(na, nb, num, den))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def candidates(classes: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b): enough pairs of classes (rep, n, point, listed) that may link to join all that may link."""
+    near = W.partitionBy("tok").orderBy("n", "rep")
+    fits = f"n * {num} <= below * {den} or above * {num} <= n * {den}"
+    rows = classes.select("rep", "n", F.explode("listed").alias("tok"))
+    rows = rows.withColumns({"below": F.lag("n").over(near), "above": F.lead("n").over(near), "times": F.count("*").over(W.partitionBy("tok"))})
+    met = table(rows.where(f"times > 1 and ({fits})").select("tok", "rep", "n", "times"), "jaccard-met")
+    few = met.where(F.col("times") <= CROWD)
+    left, right = few.selectExpr("tok", "rep as a", "n as na"), few.selectExpr("tok", "rep as b", "n as nb")
+    pairs = left.join(right, "tok").where(f"a < b and na * {num} <= nb * {den} and nb * {num} <= na * {den}").select("a", "b").distinct()
+    points = classes.select("rep", "n", "point")
+    pairs = pairs.join(points.selectExpr("rep as a", "n as na", "point as pa"), "a").join(points.selectExpr("rep as b", "n as nb", "point as pb"), "b")
+    met_pairs = pairs.select("a", "b", "na", "nb", "pa", "pb").mapInArrow(_pair_candidates(num, den), "a long, b long")
+    crowds = met.where(F.col("times") > CROWD).join(classes.select("rep", "point"), "rep").repartition("tok").sortWithinPartitions("tok", "rep")
+    return met_pairs.unionByName(crowds.select("tok", "rep", "n", "point").mapInArrow(_crowd_candidates(num, den), "a long, b long"))
+
+
+def _units(signed: DataFrame, num: int, den: int) -> DataFrame:
+    """(rep, n, k1, k2, u0, u1, u2, side): the classes with a possible partner, by unit; side 0 both, 1 left, 2 right."""
+    classes = signed.where("n > 0 and doc_id is not null").groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("point").alias("point"), F.first("listed").alias("listed"))
+    classes = table(classes, "jaccard-classes")
+    parts = connected_components(candidates(classes, num, den))
+    both = parts.select(F.col("id").alias("rep"), "component").unionByName(parts.select(F.col("component").alias("rep"), "component").distinct())
+    members = cut(classes.select("rep", "n", "k1", "k2").join(both, "rep"))
     weigh = members.groupBy("component").agg(F.sum("n").alias("weight"))
     fit = members.join(weigh, "component")
     small = fit.where(F.col("weight") <= UNIT).select("rep", "n", "k1", "k2", F.col("component").alias("u0"), F.lit(0).alias("u1"), F.lit(0).alias("u2"), F.lit(0).alias("side"))
-    wide = fit.where(F.col("weight") > UNIT).select("rep")
+    wide = fit.where(F.col("weight") > UNIT)
     if not wide.head(1):
         return small
-    rows = met.join(wide, "rep", "left_semi").select("rep", "n", "k1", "k2", "tok")
-    run = W.partitionBy("tok").orderBy("n", "rep").rowsBetween(W.unboundedPreceding, -1)
-    blocks = cut(rows.withColumn("block", F.floor(F.coalesce(F.sum("n").over(run), F.lit(0)) / (UNIT // 2)).cast("int")))
-    span = blocks.groupBy("tok", "block").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    left, right = span.selectExpr("tok", "block as u1", "most as most_left"), span.selectExpr("tok", "block as u2", "least as least_right")
-    pairs = left.join(right, "tok").where(f"u1 <= u2 and least_right * {num} <= most_left * {den}").select("tok", "u1", "u2")
-    sides = pairs.select("tok", F.col("u1").alias("block"), "u1", "u2", F.when(F.col("u1") == F.col("u2"), 0).otherwise(1).alias("side")).unionByName(pairs.where("u1 < u2").select("tok", F.col("u2").alias("block"), "u1", "u2", F.lit(2).alias("side")))
-    dealt = blocks.join(sides, ["tok", "block"]).select("rep", "n", "k1", "k2", F.col("tok").alias("u0"), "u1", "u2", "side")
-    return small.unionByName(dealt)
+    run = W.partitionBy("component").orderBy("n", "rep").rowsBetween(W.unboundedPreceding, -1)
+    blocks = cut(wide.withColumn("block", F.floor(F.coalesce(F.sum("n").over(run), F.lit(0)) / (UNIT // 2)).cast("int")))
+    span = blocks.groupBy("component", "block").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    left, right = span.selectExpr("component", "block as u1", "most as most_left"), span.selectExpr("component", "block as u2", "least as least_right")
+    pairs = left.join(right, "component").where(f"u1 <= u2 and least_right * {num} <= most_left * {den}").select("component", "u1", "u2")
+    sides = pairs.select("component", F.col("u1").alias("block"), "u1", "u2", F.when(F.col("u1") == F.col("u2"), 0).otherwise(1).alias("side"))
+    sides = sides.unionByName(pairs.where("u1 < u2").select("component", F.col("u2").alias("block"), "u1", "u2", F.lit(2).alias("side")))
+    return small.unionByName(blocks.join(sides, ["component", "block"]).select("rep", "n", "k1", "k2", F.col("component").alias("u0"), "u1", "u2", "side"))
 
 
 def ngram_jaccard_links(docs: DataFrame, signed: DataFrame, id_col: str, text_col: str, n: int, num: int, den: int) -> DataFrame:
