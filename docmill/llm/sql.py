@@ -2,6 +2,57 @@
 
 from __future__ import annotations
 
+JACCARD = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS a
+  FROM documents),
+sh AS MATERIALIZED (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(a) = 0 THEN [] WHEN len(a) < 4 THEN [array_to_string(a, ' ')]
+    ELSE list_transform(range(1, len(a) - 2), lambda i: array_to_string(a[i:i + 3], ' ')) END) AS s FROM w),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1),
+links AS MATERIALIZED (
+  SELECT p.a, p.b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM sh x JOIN sh y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY 1, 2) p
+  JOIN n na ON na.doc_id = p.a JOIN n nb ON nb.doc_id = p.b WHERE 100 * c >= 85 * (na.n + nb.n - c)),
+reach AS (SELECT doc_id AS id, doc_id AS r FROM documents UNION SELECT l.b, reach.r FROM reach JOIN links l ON l.a = reach.id)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.c AS component_id
+FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT id, min(r) AS c FROM reach GROUP BY 1) m ON m.id = d.doc_id
+"""
+
+MIXING = r"""
+WITH s AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+src AS (SELECT source, sum(size) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS sid FROM s GROUP BY source),
+w AS (SELECT *, CASE sid % 3 WHEN 0 THEN 3.0::DOUBLE WHEN 1 THEN 1.0 ELSE 2.0 END AS w, 2.0::DOUBLE * source_size AS most FROM src),
+f AS (SELECT *, 1.5::DOUBLE * sum(source_size) OVER () AS budget, sum(w) OVER () AS all_w,
+  coalesce(sum(most) OVER o, 0) AS used, coalesce(sum(w) OVER o, 0) AS used_w FROM w
+  WINDOW o AS (ORDER BY most / w, sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+g AS (SELECT *, most / w <= (budget - used) / (all_w - used_w) AS capped FROM f),
+h AS (SELECT *, sum(CASE WHEN capped THEN most ELSE 0 END) OVER () AS held, sum(CASE WHEN capped THEN w ELSE 0 END) OVER () AS held_w FROM g),
+t AS (SELECT sid, source, source_size, CASE WHEN capped THEN most ELSE (budget - held) * w / (all_w - held_w) END AS target FROM h),
+p AS (SELECT s.*, t.source_size, t.target, CAST(round(t.target) AS BIGINT) AS take,
+  coalesce(sum(s.size) OVER (PARTITION BY t.sid ORDER BY s.h, s.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos
+  FROM s JOIN t ON s.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(source_size AS BIGINT) AS source_size, CAST(target AS DOUBLE) AS target,
+  CAST(CASE WHEN source_size = 0 THEN 0 ELSE size * (take // source_size) + greatest(0, least(pos + size, take % source_size) - pos) END AS BIGINT) AS taken
+FROM p
+"""
+
+DECONTAMINATION = r"""
+WITH d AS MATERIALIZED (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS a FROM documents),
+b AS (SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS a FROM benchmark),
+win AS MATERIALIZED (SELECT DISTINCT item_id, least(len(a), 13) AS len, unnest(list_transform(range(1, greatest(1, len(a) - 12) + 1), lambda i: array_to_string(a[i:i + 12], ' '))) AS s FROM b WHERE len(a) > 0),
+lens AS (SELECT DISTINCT len FROM win),
+occ AS MATERIALIZED (
+  SELECT o.doc_id, o.i, o.len, win.item_id FROM (
+    SELECT doc_id, len, unnest(range(1, len(a) - len + 2)) AS i, unnest(list_transform(range(1, len(a) - len + 2), lambda i: array_to_string(a[i:i + len - 1], ' '))) AS s FROM d, lens WHERE len(a) >= len) o
+  JOIN win ON win.s = o.s AND win.len = o.len),
+hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + len)) AS p FROM occ) GROUP BY 1),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM occ) GROUP BY 1)
+SELECT doc_id, CAST(len(a) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(a) AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_ngram_jaccard_join": JACCARD, "op2_mixing_sources": MIXING, "op4_decontamination": DECONTAMINATION}
