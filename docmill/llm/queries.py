@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .cap_join import cap_join
 from .decontaminate import decontaminate
+from .html_text import extract_text
 from .mixing import mix_sources
 from .ngram_jaccard import ngram_jaccard_join
+from .quality_crf import score_quality
 from .secrets import scan_secrets
+from .token_files import read_documents, write_token_files
+from .toxicity import score_toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,5 +37,26 @@ def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(_read(spark, sf_dir, "documents"))
 
 
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_documents(write_token_files(_read(spark, sf_dir, "documents")))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+def op7_cap_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cap_join(_read(spark, sf_dir, "embeddings"))
+
+
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(_read(spark, sf_dir, "pages"))
+
+
+def op10_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_mixing_sources, op4_decontamination, op9_secret_scans)}
+    every = (op1_ngram_jaccard_join, op2_mixing_sources, op3_token_files, op4_decontamination, op6_toxicity, op7_cap_join, op8_html_text, op9_secret_scans, op10_quality_crf)
+    return {f.__name__: f for f in every}

@@ -53,6 +53,14 @@ SELECT doc_id, CAST(len(a) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
+NEAR_VECTORS = r"""
+WITH RECURSIVE v AS MATERIALIZED (SELECT vec_id, CAST(embedding AS DOUBLE[64]) AS e FROM embeddings),
+l AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND array_cosine_similarity(a.e, b.e) >= 0.9),
+reach AS (SELECT vec_id AS id, vec_id AS r FROM v UNION SELECT l.b, reach.r FROM reach JOIN l ON l.a = reach.id)
+SELECT v.vec_id, (SELECT count(*) FROM l WHERE l.a = v.vec_id) AS n_links, m.c AS component_id, m.c = v.vec_id AS kept
+FROM v JOIN (SELECT id, min(r) AS c FROM reach GROUP BY 1) m ON m.id = v.vec_id
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_jaccard_join": JACCARD, "op2_mixing_sources": MIXING, "op4_decontamination": DECONTAMINATION}
+    return {"op1_ngram_jaccard_join": JACCARD, "op2_mixing_sources": MIXING, "op4_decontamination": DECONTAMINATION, "op7_cap_join": NEAR_VECTORS}
