@@ -28,7 +28,7 @@ from pyspark.sql.window import Window as W
 from .common import small_side, table
 
 #: Ids of a block; ids after which a segment is closed; distinct words whose ids a worker remembers.
-BLOCK, SEGMENT, REMEMBER = 1024, 1 << 20, 400_000
+BLOCK, SEGMENT, REMEMBER = 1024, 1 << 20, 900_000
 #: Ids a word by selector, and their widths; selector 0 is the escape.
 COUNTS = (1, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)
 WIDTHS = (0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60)
@@ -38,8 +38,13 @@ MAGIC = b"S8B1"
 # The code -------------------------------------------------------------------------------------------------------
 
 
+_SHORT = np.frexp(np.arange(1 << 16, dtype=np.float64))[1].astype(np.uint8)
+
+
 def _widths(ids: np.ndarray) -> np.ndarray:
     """Bits of each id."""
+    if int(ids.max(initial=0)) < len(_SHORT):
+        return _SHORT[ids]
     out = np.zeros(len(ids), np.uint8)
     small = ids < (1 << 52)
     out[small] = np.frexp(ids[small].astype(np.float64))[1]
@@ -57,17 +62,16 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     wide = _widths(padded)
     grid = np.zeros((blocks, BLOCK + 64), np.uint8)  # past a block's end, anything fits
     grid[:, :BLOCK] = wide[: blocks * BLOCK].reshape(blocks, BLOCK)
+    # If more ids fit at a narrower width, fewer fit at a wider one: how many selectors fit tells the best, 0 if none does.
     best = np.zeros((blocks, BLOCK), np.uint8)
     reach, span = grid, 1
-    fits = {}
     for n in (1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60):  # the widest of the next n, from that of fewer
         while span < n:
             step = min(n - span, span)
             reach = np.maximum(reach[:, : reach.shape[1] - step], reach[:, step:])
             span += step
-        fits[n] = reach[:, :BLOCK]
-    for s in range(14, 0, -1):  # later selectors hold fewer ids
-        best[fits[COUNTS[s]] <= WIDTHS[s]] = s
+        best += reach[:, :BLOCK] <= WIDTHS[COUNTS.index(n, 1)]
+    best = np.where(best == 0, 0, 15 - best).astype(np.uint8)
     takes = np.array(COUNTS, np.int64)[best]
     # Walk all blocks side by side.
     base, live = np.arange(blocks) * BLOCK, np.arange(blocks)
@@ -79,7 +83,10 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at[live] += takes[live, at[live]]
         live = live[at[live] < limit[live]]
     rows, cols = np.nonzero(used)
-    chosen, start = best[rows, cols], base[rows] + cols
+    chosen, start = best[rows, cols], rows * (BLOCK + 64) + cols
+    spaced = np.zeros((blocks, BLOCK + 64), np.uint64)  # past a block's end, zeros
+    spaced[:, :BLOCK] = padded[: blocks * BLOCK].reshape(blocks, BLOCK)
+    flat = spaced.reshape(-1)
     room = np.where(chosen == 0, 2, 1)
     place = np.concatenate([[0], np.cumsum(room)])
     words = np.zeros(int(place[-1]), np.uint64)
@@ -88,15 +95,13 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not len(own):
             continue
         if s == 0:
-            words[place[own] + 1] = padded[start[own]]
+            words[place[own] + 1] = flat[start[own]]
             continue
         n, width = COUNTS[s], WIDTHS[s]
-        index = start[own][:, None] + np.arange(n)
-        inside = index < np.minimum((start[own] // BLOCK + 1) * BLOCK, len(ids))[:, None]
-        values = np.where(inside, padded[np.minimum(index, len(padded) - 1)], 0)
+        first = start[own]
         word = np.full(len(own), np.uint64(s) << np.uint64(60))
         for k in range(n):
-            word |= values[:, k] << np.uint64(k * width)
+            word |= flat[first + k] << np.uint64(k * width)
         words[place[own]] = word
     per_block = np.bincount(rows, weights=room, minlength=blocks).astype(np.uint64)
     return words, np.concatenate([[np.uint64(0)], np.cumsum(per_block, dtype=np.uint64)])
@@ -104,9 +109,8 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def unpack(words: np.ndarray, offsets: np.ndarray, total: int) -> np.ndarray:
     """The ids of pack()'s words, all selectors at once."""
-    out = np.zeros(total, np.uint64)
     if not total:
-        return out
+        return np.zeros(0, np.uint64)
     selector = (words >> np.uint64(60)).astype(np.int64)
     head = np.ones(len(words), bool)
     for i in np.flatnonzero(selector == 0):  # what follows an escape is no head
@@ -118,8 +122,8 @@ def unpack(words: np.ndarray, offsets: np.ndarray, total: int) -> np.ndarray:
     block = np.searchsorted(offsets, index.astype(np.uint64), "right") - 1
     before = np.cumsum(takes) - takes
     first = np.searchsorted(block, np.arange(len(offsets) - 1))
-    start = before - before[first][block] + block * BLOCK
-    end = np.minimum((block + 1) * BLOCK, total)
+    start = before - before[first][block] + block * (BLOCK + 64)  # a block's last word may run on
+    out = np.zeros((len(offsets) - 1) * (BLOCK + 64), np.uint64)
     for s in range(15):
         own = np.flatnonzero(chosen == s)
         if not len(own):
@@ -127,12 +131,10 @@ def unpack(words: np.ndarray, offsets: np.ndarray, total: int) -> np.ndarray:
         if s == 0:
             out[start[own]] = words[index[own] + 1]
             continue
-        mask = np.uint64((1 << WIDTHS[s]) - 1)
+        mask, to, data = np.uint64((1 << WIDTHS[s]) - 1), start[own], words[index[own]]
         for k in range(COUNTS[s]):
-            to = start[own] + k
-            ok = to < end[own]
-            out[to[ok]] = (words[index[own[ok]]] >> np.uint64(k * WIDTHS[s])) & mask
-    return out
+            out[to + k] = (data >> np.uint64(k * WIDTHS[s])) & mask
+    return out.reshape(-1, BLOCK + 64)[:, :BLOCK].reshape(-1)[:total]
 
 
 def segment(ids: np.ndarray) -> bytes:
@@ -157,10 +159,10 @@ _loaded: dict[str, Words] = {}
 
 
 class Words:
-    """A byte-level BPE tokenizer that encodes each distinct space-led word once.
+    """A byte-level BPE tokenizer that encodes each distinct word once.
 
     Its pre-tokenizer starts a new piece at every blank that a non-blank follows, so a text's ids are those of its
-    words, joined.
+    blank-led pieces, joined.
     """
 
     def __init__(self, vocabulary: str):
@@ -177,50 +179,49 @@ class Words:
         self.begins = np.zeros(max(names.values()) + 1, bool)
         self.begins[[i for k, i in names.items() if k.startswith("Ġ")]] = True
         self.known: dict[str, bytes] = {}
-        self.split = re.compile(r" (?=\S)").split
         self.odd = re.compile(r" (?:\s|$)").search
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, words: list[str]) -> None:
-        """Words go to the tokenizer in lines, whose ids part where a piece begins with a blank."""
-        if len(self.known) + len(words) > REMEMBER:
-            self.known.clear()
-        lines = [words[i : i + 256] for i in range(0, len(words), 256)]
-        for line, got in zip(lines, self.tokenizer.encode_batch_fast(["".join(" " + w for w in x) for x in lines], add_special_tokens=False), strict=True):
-            ids = np.array(got.ids, "<u4")
-            at = np.flatnonzero(self.begins[ids])
-            if len(at) == len(line) and at[0] == 0:
-                raw, ends = ids.tobytes(), [*(at[1:] * 4).tolist(), len(ids) * 4]
-                a = 0
-                for w, b in zip(line, ends, strict=True):
-                    self.known[w] = raw[a:b]
-                    a = b
-            else:
-                self.known.update(zip(line, self._plain([" " + w for w in line]), strict=True))
-
     def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, as little-endian unsigned 32-bit integers."""
-        out, heads = [], []
-        get = self.known.get
-        for text in texts:
-            if self.odd(text):
-                pieces = self.split(text)
-                heads.append(pieces[0])
-                found = self._plain([" " + p for p in pieces[1:]])
-            else:
-                pieces = text.split(" ")
-                heads.append(pieces[0])
-                del pieces[0]
-                found = list(map(get, pieces))
-                if None in found:
-                    self._learn(list({w for w, f in zip(pieces, found, strict=True) if f is None}))
-                    found = list(map(get, pieces))
-                    if None in found:  # more words than are remembered
-                        found = self._plain([" " + p for p in pieces])
-            out.append(b"".join(found))
-        return [h + o for h, o in zip(self._plain(heads), out, strict=True)]
+        """The ids of each text, as little-endian unsigned 32-bit integers.
+
+        What is not remembered of a text goes to the tokenizer as one line, whose ids part where a piece begins with a
+        blank.
+        """
+        out: list = [None] * len(texts)
+        get, plain, held, lines = self.known.get, [], [], []
+        for k, text in enumerate(texts):
+            if self.odd(text):  # white space in a row: rare
+                plain.append(k)
+                continue
+            head, *pieces = text.split(" ")
+            found = list(map(get, pieces))
+            lost = [i for i, f in enumerate(found) if f is None] if None in found else []
+            held.append((k, head, pieces, found, lost))
+            if lost:
+                lines.append(" " + " ".join([pieces[i] for i in lost]))
+        coded = iter(self.tokenizer.encode_batch_fast(lines, add_special_tokens=False))
+        known, room = self.known, REMEMBER - len(self.known)
+        heads = self._plain([h[1] for h in held])
+        for (k, _, pieces, found, lost), first in zip(held, heads, strict=True):
+            if lost:
+                ids = np.array(next(coded).ids, "<u4")
+                at = np.flatnonzero(self.begins[ids])
+                if len(at) != len(lost) or at[0]:
+                    plain.append(k)
+                    continue
+                raw, ends = ids.tobytes(), (at * 4).tolist()
+                ends.append(len(raw))
+                for n, i in enumerate(lost):
+                    found[i] = raw[ends[n] : ends[n + 1]]
+                if room > 0:
+                    known.update((pieces[i], found[i]) for i in lost)
+            out[k] = first + b"".join(found)
+        for k, ids in zip(plain, self._plain([texts[k] for k in plain]), strict=True):
+            out[k] = ids
+        return out
 
 
 def tokenizer(vocabulary: str) -> Words:

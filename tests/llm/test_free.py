@@ -24,7 +24,7 @@ def test_simple8b_round_trip(high):
         assert (read_segment(segment(ids)) == ids).all()
 
 
-ODD = ["a  b", "  lead", " x", "x ", "x \n y", "　a b \t\tc", "don't  stop 's it", "<|endoftext|> hi", "", "a\n\n b\r\n  c   ", " \x1c a", "é  ü 日本 語", "plain words here", "long " * 30_000]
+ODD = ["a  b", "  lead", " x", "x ", "x \n y", "　a b \t\tc", "don't  stop 's it", "<|endoftext|> hi", "", "a\n\n b\r\n  c   ", " \x1c a", "é  ü 日本 語", "plain words here", "long " * 30_000, "end.\nNew don't. it's,\nx\n\ny z'. q'\n's a|b ** |\n* e\u0301. \u00bd, \u3007! _x_ \x85a b\x85. c\u00a0d, \u2028."]
 
 
 def test_words_are_encoded_as_whole_texts():
