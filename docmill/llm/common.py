@@ -68,7 +68,7 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 # Word scanning over Arrow string buffers -------------------------------------------------------------------------
 
 #: Bytes of text that one vectorised step handles (a longer document is handled alone).
-STEP_BYTES = 4_000_000
+STEP_BYTES = 1_000_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _BASE = np.uint64(0xD6E8FEB86659FD93)
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -130,7 +130,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     stop = solid.copy()
     stop[:-1] &= ~solid[1:] | edge[1:-1]
     first, last = np.flatnonzero(start), np.flatnonzero(stop) + 1
-    size = 1 << max(22, int(len(raw)).bit_length())
+    size = 1 << max(20, int(len(raw)).bit_length())
     up, down = _powers(size)
     total = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)], out=total[1:])

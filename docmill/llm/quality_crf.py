@@ -24,7 +24,7 @@ from .common import buffers, mix, steps, word_hashes
 from .toxicity import held_out, labelled_sample
 
 #: Labelled documents that are learned from; steps of the fit; ridge on its weights; score of a text without lines.
-LABELLED, FIT_STEPS, RIDGE, EMPTY = 4_000, 120, 1e-3, 0.1
+LABELLED, FIT_STEPS, RIDGE, EMPTY = 2_500, 120, 1e-3, 0.1
 
 _CLASS = np.zeros((8, 256), np.float32)
 _CLASS[0, 65:91] = 1  # capitals
@@ -61,8 +61,6 @@ def line_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
     if len(words) > 2:
         apart[2 : len(words)] = words[2:] == words[:-2]
     total = lambda x: np.diff(np.concatenate([[0.0], np.cumsum(x)])[at])
-    line = mix(np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * mix(np.arange(1, len(words) + 1, dtype=np.uint64) * np.uint64(0) + np.uint64(7)), dtype=np.uint64)])[at])
-    line = line[1:] - line[:-1]
     content = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(words), dtype=np.uint64)])[at]
     line = content[1:] - content[:-1]
     keep = count > 0
@@ -163,7 +161,11 @@ def _lines_of(texts: list[str]):
     import pyarrow as pa
 
     data, offsets = buffers(pa.array(texts, pa.large_string()))
-    return line_features(data, offsets)
+    parts = [line_features(data, offsets[i : j + 1]) for i, j in steps(offsets)]
+    before = np.cumsum([0, *(len(p[0]) for p in parts)])
+    first = [p[2][:-1] + b for p, b in zip(parts, before[:-1], strict=True)]
+    own, size = (np.concatenate([z, *(p[k] for p in parts)]) for k, z in ((0, np.zeros((0, OWN), np.float32)), (1, np.zeros(0))))
+    return own, size, np.concatenate([*first, before[-1:]]).astype(np.int64)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float, rounds: int = 30) -> np.ndarray:
