@@ -8,15 +8,15 @@ from pyspark.sql import functions as F
 #: Scripts by code point, marker words of languages, page-number lines.
 SCRIPTS = {
     "latin": r"[A-Za-z\x{00C0}-\x{024F}]",
-    "greek": r"[\x{0370}-\x{03FF}]",
+    "greek": r"[\x{0370}-\x{03FF}\x{1F00}-\x{1FFF}]",
     "cyrillic": r"[\x{0400}-\x{052F}]",
-    "arabic": r"[\x{0600}-\x{06FF}]",
+    "cjk": r"[\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}]",
+    "hangul": r"[\x{1100}-\x{11FF}\x{3130}-\x{318F}\x{AC00}-\x{D7AF}]",
+    "arabic": r"[\x{0600}-\x{06FF}\x{0750}-\x{077F}\x{08A0}-\x{08FF}]",
     "hebrew": r"[\x{0590}-\x{05FF}]",
-    "han": r"[\x{4E00}-\x{9FFF}]",
-    "kana": r"[\x{3040}-\x{30FF}]",
-    "hangul": r"[\x{AC00}-\x{D7AF}]",
+    "devanagari": r"[\x{0900}-\x{097F}]",
 }
-MARKERS = {"Spanish": "el la los las de que en por para con una del", "English": "the and of to in that is was for with this not", "French": "le les des une que dans pour est avec pas qui sur"}
+MARKERS = {"Spanish": "el la los las un una de del que en para con por se no su al es son era fue habia había pero pues cuando entonces tambien también mas más como desde hasta sobre", "English": "the and of to in that is was for with as on by from this it be are were or an at which not have has had but they their", "French": "le la les des du de et que qui dans pour avec sur est sont une un ce cette par pas plus mais comme"}
 PAGE_LINE = r"^\s*(?:[Pp][Aa][Gg][Ee]\s*)?[0-9]{1,4}\s*$"
 NEGATIONS = "not no never nor without ne pas jamais nicht kein keine nie sin nunca ni"
 CONTEXT_SIZES = (2048, 4096, 8192, 16384, 32768, 65536, 131072)
@@ -35,7 +35,7 @@ def count(text: Column, pattern: str) -> Column:
 
 
 def mojibake_score(text: Column) -> Column:
-    return count(text, r"[ÃÂ][\x{0080}-\x{00BF}]|â[\x{0080}-\x{20AC}]") * 3 + count(text, r"[\x{0080}-\x{009F}]") * 2 + count(text, r"\x{FFFD}") * 5
+    return count(text, r"Ã.|Â[\x{0080}-\x{00FF}\x{20AC}\x{2122}]?|â[\x{0080}-\x{00FF}\x{20AC}\x{2122}]{1,3}|ï¿½|\x{FFFD}|ðŸ") * 3 + count(text, r"[\x{0080}-\x{009F}]") * 2 + count(text, r"\x{FFFD}") * 5
 
 
 def tidy_spaces(text: Column) -> Column:
@@ -48,9 +48,9 @@ def tidy_spaces(text: Column) -> Column:
 def without_artifacts(text: Column) -> Column:
     """Zero-width marks, controls and replacement boxes go; a box between two letters or digits becomes a blank."""
     text = F.regexp_replace(text, r"[\x{200B}-\x{200D}\x{2060}]", "")
-    text = F.regexp_replace(text, r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", "")
-    text = F.regexp_replace(text, r"([\p{L}\p{N}])[\x{25A0}\x{25A1}\x{FFFD}]+(?=[\p{L}\p{N}])", "$1 ")
-    return tidy_spaces(F.regexp_replace(text, r"[\x{25A0}\x{25A1}\x{FFFD}]+", ""))
+    text = F.regexp_replace(text, r"[\x{0000}-\x{0008}\x{000B}\x{000C}\x{000E}-\x{001F}\x{007F}-\x{009F}]", "")
+    text = F.regexp_replace(text, r"([\p{L}\p{N}])[\x{FFFC}\x{FFFD}\x{2580}-\x{259F}\x{25A0}-\x{25A1}\x{25AA}-\x{25AC}\x{25AE}-\x{25B0}\x{25FB}-\x{25FE}\x{2B1B}-\x{2B1C}]+(?=[\p{L}\p{N}])", "$1 ")
+    return tidy_spaces(F.regexp_replace(text, r"[\x{FFFC}\x{FFFD}\x{2580}-\x{259F}\x{25A0}-\x{25A1}\x{25AA}-\x{25AC}\x{25AE}-\x{25B0}\x{25FB}-\x{25FE}\x{2B1B}-\x{2B1C}]+", ""))
 
 
 def without_page_lines(text: Column) -> Column:
@@ -62,12 +62,12 @@ def without_page_lines(text: Column) -> Column:
 
 def without_dot_leaders(text: Column) -> Column:
     """Runs of dots that lead to a page number go, and lines of nothing else."""
-    kept = F.filter(lines(text), lambda x: ~x.rlike(r"^\s*(?:\.\s*){3,}[0-9]{1,4}\s*$"))
+    kept = F.filter(lines(text), lambda x: ~x.rlike(r"^\s*(?:\.\s*){3,}[0-9]{1,5}\s*$"))
     return F.array_join(F.transform(kept, lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, r"\s*(?:\.\s*){5,}", " "), r"[ \t]{2,}", " "))), "\n")
 
 
 def joined_decimals(text: Column) -> Column:
-    return F.regexp_replace(text, r"([0-9])\. ([0-9])", "$1.$2")
+    return F.regexp_replace(text, r"([0-9])\.\s+(?=[0-9])", "$1.")
 
 
 def ocr_signals(text: Column) -> dict[str, Column]:
@@ -76,7 +76,7 @@ def ocr_signals(text: Column) -> dict[str, Column]:
     n = F.size(full)
     short = F.size(F.filter(full, lambda x: F.length(F.trim(x)).between(18, 95)))
     open_ = F.size(F.filter(full, lambda x: (F.length(F.trim(x)) >= 20) & ~x.rlike(r"[.!?;:)\]\"']\s*$") & ~x.rlike(r"^\s*(?:[-*\x{2022}]|[0-9]+[.)]|[A-Za-z][.)])\s+")))
-    hyphens = count(text, r"[\p{L}]-\n[\p{Ll}]")
+    hyphens = count(text, r"[A-Za-z\x{00C0}-\x{024F}]-\s*\n\s*[A-Za-z\x{00C0}-\x{024F}]")
     pages = F.size(F.filter(full, lambda x: x.rlike(PAGE_LINE)))
     points = F.when(hyphens >= 2, 3).when(hyphens == 1, 1).otherwise(0) + F.when(short / n >= 0.65, 2).otherwise(0) + F.when(open_ / n >= 0.45, 2).otherwise(0) + F.when(pages >= 2, 1).otherwise(0)
     return {"hyphen_breaks": hyphens, "page_lines": pages.cast("long"), "ocr_score": F.when(n >= 6, points).otherwise(0).cast("long")}
@@ -123,9 +123,9 @@ def sentences(text: Column) -> Column:
 
 
 def context_size(need: Column) -> Column:
-    """The least standard size that holds need, or the largest."""
+    """The least standard size that holds need, or need itself beyond them all."""
     fits = F.filter(F.array(*map(F.lit, CONTEXT_SIZES)), lambda s: s >= need)
-    return F.coalesce(F.array_min(fits), F.lit(CONTEXT_SIZES[-1]))
+    return F.coalesce(F.array_min(fits), need)
 
 
 def sample_indices(total: Column, n: int) -> Column:

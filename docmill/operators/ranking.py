@@ -8,7 +8,7 @@ from pyspark.sql.window import Window as W
 
 
 def score_bucket(score: Column) -> Column:
-    return F.when(score >= 9, "excellent").when(score >= 7, "good").when(score >= 5, "fair").when(score >= 3, "poor").otherwise("very_poor")
+    return F.when(score >= 9, "excellent").when(score >= 7, "good").when(score >= 5, "acceptable").when(score >= 3, "poor").otherwise("failed")
 
 
 def gap_bucket(gap: Column) -> Column:

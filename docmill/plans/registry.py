@@ -166,7 +166,7 @@ def g19_judge_spread(spark, sf_dir):
     return ranking.spread(scores(spark, sf_dir), "language")
 
 
-@query(SCORES + "SELECT language, CASE WHEN overall >= 9 THEN 'excellent' WHEN overall >= 7 THEN 'good' WHEN overall >= 5 THEN 'fair' WHEN overall >= 3 THEN 'poor' ELSE 'very_poor' END AS label, count(*) AS n FROM s GROUP BY ALL")
+@query(SCORES + "SELECT language, CASE WHEN overall >= 9 THEN 'excellent' WHEN overall >= 7 THEN 'good' WHEN overall >= 5 THEN 'acceptable' WHEN overall >= 3 THEN 'poor' ELSE 'failed' END AS label, count(*) AS n FROM s GROUP BY ALL")
 def f39_score_distribution(spark, sf_dir):
     return scores(spark, sf_dir).groupBy("language", ranking.score_bucket(F.col("overall")).alias("label")).agg(F.count("*").alias("n"))
 
@@ -272,7 +272,7 @@ def j10_name_mismatch(spark, sf_dir):
 # Text ------------------------------------------------------------------------------------------------------------
 
 
-@query(r"SELECT doc_id, 3 * len(regexp_extract_all(text, '[ÃÂ][\x{0080}-\x{00BF}]|â[\x{0080}-\x{20AC}]')) + 2 * len(regexp_extract_all(text, '[\x{0080}-\x{009F}]')) + 5 * len(regexp_extract_all(text, '\x{FFFD}')) AS score FROM documents")
+@query(r"SELECT doc_id, 3 * len(regexp_extract_all(text, 'Ã.|Â[\x{0080}-\x{00FF}\x{20AC}\x{2122}]?|â[\x{0080}-\x{00FF}\x{20AC}\x{2122}]{1,3}|ï¿½|\x{FFFD}|ðŸ')) + 2 * len(regexp_extract_all(text, '[\x{0080}-\x{009F}]')) + 5 * len(regexp_extract_all(text, '\x{FFFD}')) AS score FROM documents")
 def c01_mojibake_score(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", T.mojibake_score(F.col("text")).alias("score"))
 
@@ -302,12 +302,12 @@ def c16_tidy_spaces(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", F.md5(T.tidy_spaces(F.col("text"))).alias("digest"))
 
 
-@query(r"SELECT doc_id, md5(regexp_replace(text, '([0-9])\. ([0-9])', '\1.\2', 'g')) AS digest FROM documents")
+@query(r"SELECT doc_id, md5(regexp_replace(text, '([0-9])\.\s+([0-9])', '\1.\2', 'g')) AS digest FROM documents")
 def c21_joined_decimals(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", F.md5(T.joined_decimals(F.col("text"))).alias("digest"))
 
 
-@query(r"SELECT doc_id, len(regexp_extract_all(text, '[A-Za-z\x{00C0}-\x{024F}]')) AS latin, len(regexp_extract_all(text, '[\x{0370}-\x{03FF}]')) AS greek, len(regexp_extract_all(text, '[\x{0400}-\x{052F}]')) AS cyrillic FROM documents")
+@query(r"SELECT doc_id, len(regexp_extract_all(text, '[A-Za-z\x{00C0}-\x{024F}]')) AS latin, len(regexp_extract_all(text, '[\x{0370}-\x{03FF}\x{1F00}-\x{1FFF}]')) AS greek, len(regexp_extract_all(text, '[\x{0400}-\x{052F}]')) AS cyrillic FROM documents")
 def f13_script_profile(spark, sf_dir):
     counts = T.script_counts(F.col("text"))
     return read(spark, sf_dir, "documents").select("doc_id", *[counts[k].alias(k) for k in ("latin", "greek", "cyrillic")])
@@ -340,7 +340,7 @@ def k03_sentences(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", F.size(T.sentences(F.col("text"))).cast("long").alias("n"))
 
 
-@query("SELECT doc_id, coalesce(list_min(list_filter([2048, 4096, 8192, 16384, 32768, 65536, 131072], lambda s: s >= n_chars)), 131072) AS size FROM documents")
+@query("SELECT doc_id, coalesce(list_min(list_filter([2048, 4096, 8192, 16384, 32768, 65536, 131072], lambda s: s >= n_chars)), n_chars) AS size FROM documents")
 def k24_context_size(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", T.context_size(F.col("n_chars")).alias("size"))
 
