@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, small_side, table
+from .common import connected_components, focus, small_side, table, trimmed
 
 #: Vectors a filter holds, filters a vector passes, and at least; rows of a block; parts of the code.
 CROWD, PASSED, LEAST, BLOCK = 96, 18, 18, 2048
@@ -117,6 +117,7 @@ def filtered(classes: DataFrame, caps: dict[int, Caps]) -> DataFrame:
         import pyarrow as pa
         import pyarrow.compute as pc
 
+        focus("cap_join")
         for batch in batches:
             lens = pc.list_value_length(batch.column(2)).to_numpy()
             for dim in np.unique(lens):
@@ -124,7 +125,7 @@ def filtered(classes: DataFrame, caps: dict[int, Caps]) -> DataFrame:
                 got = caps[int(dim)].passed(_unit(_matrix(own.column(2))))
                 yield pa.RecordBatch.from_arrays([*own.columns, pa.array([g.astype(np.int32) for g in got], pa.list_(pa.int32()))], names=["rep", "n", "vec", "passed"])
 
-    return classes.mapInArrow(run, f"rep long, n long, vec {classes.schema['vec'].dataType.simpleString()}, passed array<int>")
+    return classes.mapInArrow(trimmed(run), f"rep long, n long, vec {classes.schema['vec'].dataType.simpleString()}, passed array<int>")
 
 
 def _verify(threshold: float):
@@ -171,6 +172,7 @@ def _verify(threshold: float):
     def run(batches) -> Iterator:
         import pyarrow as pa
 
+        focus("cap_join")
         held: list = []
         now = None
 
@@ -213,7 +215,7 @@ def cap_links(classes: DataFrame, threshold: float) -> DataFrame:
     )
     dealt = rows.withColumn("s", F.explode(sides)).select("dim", "filter", "s.b1", "s.b2", "s.side", "rep", "n", "vec", "passed")
     dealt = dealt.repartition("dim", "filter", "b1", "b2").sortWithinPartitions("dim", "filter", "b1", "b2")
-    return dealt.mapInArrow(_verify(threshold), "a long, b long, links long")
+    return dealt.mapInArrow(trimmed(_verify(threshold)), "a long, b long, links long")
 
 
 def cap_join(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = 0.9) -> DataFrame:

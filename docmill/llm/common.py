@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -14,6 +15,44 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 500_000
 
 
+#: What Python workers remember between tasks, by the operator that fills it: how to forget it.
+_memories: dict[str, Callable[[], None]] = {}
+
+
+def remember(operator: str, forget: Callable[[], None]) -> None:
+    """Register what an operator keeps in a worker between tasks."""
+    _memories[operator] = forget
+
+
+def focus(operator: str) -> None:
+    """A worker that begins a task of one operator forgets what others kept in it, so their memory does not add up."""
+    for name, forget in _memories.items():
+        if name != operator:
+            forget()
+
+
+@lru_cache(maxsize=1)
+def _trim():
+    """glibc's way to give freed memory back, where there is one."""
+    import ctypes
+
+    return getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def trimmed(run):
+    """A mapInArrow function whose worker gives memory back before and after the task."""
+
+    def task(batches):
+        trim = _trim()
+        if trim:
+            trim(0)
+        yield from run(batches)
+        if trim:
+            trim(0)
+
+    return task
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors see: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
     at = spark.conf.get("spark.checkpoint.dir", None)

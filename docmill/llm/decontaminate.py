@@ -81,9 +81,11 @@ def exact_phrases(docs: DataFrame, index: DataFrame, keys: DataFrame, windows: D
     met = _lists(index, keys).groupBy("doc_id", "h", "wid", "start", "len", "of").agg(F.count_distinct("rank").alias("n")).where("n = of")
     tested = met.join(small_side(windows.select("wid", F.concat_ws(" ", "terms").alias("phrase"))), "wid")
     tested = table(tested.groupBy("doc_id", "h").agg(F.collect_list(F.struct("start", "len", "wid", "phrase")).alias("met")), "phrases-met")
-    chosen = small_side(tested.select(F.col("doc_id").alias("t_id"), F.col("h").alias("t_h"), "met"), 50_000)
+    chosen = small_side(tested.select(F.col("doc_id").alias("t_id"), F.col("h").alias("t_h")))
     texts = _scan(docs, id_col, text_col)
-    texts = texts.join(chosen, texts["doc_id"].eqNullSafe(F.col("t_id")) & (F.col("h") == F.col("t_h")))
+    texts = texts.join(chosen, texts["doc_id"].eqNullSafe(F.col("t_id")) & (F.col("h") == F.col("t_h")), "left_semi")
+    met = tested.select(F.col("doc_id").alias("t_id"), F.col("h").alias("t_h"), "met")
+    texts = texts.join(met, texts["doc_id"].eqNullSafe(F.col("t_id")) & (F.col("h") == F.col("t_h")))
     texts = texts.select("doc_id", "h", F.transform("words", lowered).alias("words"), "met")
     same = F.filter("met", lambda m: F.array_join(F.slice("words", m["start"] + 1, m["len"]), " ") == m["phrase"])
     return texts.select("doc_id", "h", F.inline(F.transform(same, lambda m: F.struct(m["wid"].alias("wid"), m["start"].alias("start"), m["len"].alias("len"))))).distinct()

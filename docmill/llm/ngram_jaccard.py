@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import BROADCAST_ROWS, buffers, connected_components, cut, mix, steps, table, word_hashes
+from .common import BROADCAST_ROWS, buffers, connected_components, cut, focus, mix, steps, table, trimmed, word_hashes
 
 #: Shingles that one unit of verification holds at most (16 MB of hashes).
 UNIT = 2_000_000
@@ -106,7 +106,8 @@ def _signed(docs: DataFrame, id_col: str, text_col: str, n: int, frequent: list[
     def sign(batches) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
+        focus("ngram_jaccard")
+        for batch in (b.slice(i, 2048) for b in batches for i in range(0, b.num_rows, 2048)):
             data, offsets = buffers(batch.column(1))
             sets = shingle_sets(data, offsets, n)
             keys = [_key(s) for s in sets]
@@ -119,7 +120,7 @@ def _signed(docs: DataFrame, id_col: str, text_col: str, n: int, frequent: list[
             )
 
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return plain.mapInArrow(sign, "doc_id long, n long, k1 long, k2 long, point binary, listed array<long>")
+    return plain.mapInArrow(trimmed(sign), "doc_id long, n long, k1 long, k2 long, point binary, listed array<long>")
 
 
 def frequent_shingles(docs: DataFrame, text_col: str, n: int) -> list[int]:
@@ -131,6 +132,7 @@ def frequent_shingles(docs: DataFrame, text_col: str, n: int) -> list[int]:
     def count(batches) -> Iterator:
         import pyarrow as pa
 
+        focus("ngram_jaccard")
         for batch in batches:
             data, offsets = buffers(batch.column(0))
             sets = {_key(s): s for s in shingle_sets(data, offsets, n)}
@@ -139,7 +141,7 @@ def frequent_shingles(docs: DataFrame, text_col: str, n: int) -> list[int]:
             yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(times, pa.int64())], names=["h", "c"])
 
     part = docs.select(F.col(text_col).alias("text")).sample(fraction=min(1.0, SAMPLE / total), seed=7).distinct()
-    found = part.mapInArrow(count, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).where("c >= 5").orderBy(F.desc("c"), "h").limit(FREQUENT).collect()
+    found = part.mapInArrow(trimmed(count), "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).where("c >= 5").orderBy(F.desc("c"), "h").limit(FREQUENT).collect()
     return [int(np.int64(r.h).view(np.uint64)) for r in found]
 
 
@@ -235,6 +237,7 @@ def _crowd_candidates(num: int, den: int):
     def run(batches) -> Iterator:
         import pyarrow as pa
 
+        focus("ngram_jaccard")
         held: list = []
         now = None
 
@@ -262,6 +265,7 @@ def _pair_candidates(num: int, den: int):
     def run(batches) -> Iterator:
         import pyarrow as pa
 
+        focus("ngram_jaccard")
         for batch in batches:
             col = batch.to_pydict()
             keep = []
@@ -286,9 +290,9 @@ def candidates(classes: DataFrame, num: int, den: int) -> DataFrame:
     pairs = left.join(right, "tok").where(f"a < b and na * {num} <= nb * {den} and nb * {num} <= na * {den}").select("a", "b").distinct()
     points = classes.select("rep", "n", "point")
     pairs = pairs.join(points.selectExpr("rep as a", "n as na", "point as pa"), "a").join(points.selectExpr("rep as b", "n as nb", "point as pb"), "b")
-    met_pairs = pairs.select("a", "b", "na", "nb", "pa", "pb").mapInArrow(_pair_candidates(num, den), "a long, b long")
+    met_pairs = pairs.select("a", "b", "na", "nb", "pa", "pb").mapInArrow(trimmed(_pair_candidates(num, den)), "a long, b long")
     crowds = met.where(F.col("times") > CROWD).join(classes.select("rep", "point"), "rep").repartition("tok").sortWithinPartitions("tok", "rep")
-    return met_pairs.unionByName(crowds.select("tok", "rep", "n", "point").mapInArrow(_crowd_candidates(num, den), "a long, b long"))
+    return met_pairs.unionByName(crowds.select("tok", "rep", "n", "point").mapInArrow(trimmed(_crowd_candidates(num, den)), "a long, b long"))
 
 
 def _units(signed: DataFrame, num: int, den: int) -> DataFrame:
@@ -325,6 +329,7 @@ def ngram_jaccard_links(docs: DataFrame, signed: DataFrame, id_col: str, text_co
     def verify(batches) -> Iterator:
         import pyarrow as pa
 
+        focus("ngram_jaccard")
         held: dict = {}
         now = None
 
@@ -349,7 +354,7 @@ def ngram_jaccard_links(docs: DataFrame, signed: DataFrame, id_col: str, text_co
         if len(held) > 1:
             yield links()
 
-    return dealt.mapInArrow(verify, "a long, b long")
+    return dealt.mapInArrow(trimmed(verify), "a long, b long")
 
 
 def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, num: int = 4, den: int = 5) -> DataFrame:

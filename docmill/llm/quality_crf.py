@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers, mix, steps, word_hashes
+from .common import buffers, focus, mix, steps, trimmed, word_hashes
 from .toxicity import held_out, labelled_sample
 
 #: Labelled documents that are learned from; steps of the fit; ridge on its weights; score of a text without lines.
@@ -224,10 +224,11 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     def run(batches) -> Iterator:
         import pyarrow as pa
 
+        focus("quality_crf")
         for batch in batches:
             data, offsets = buffers(batch.column(1))
             scores = [field.scores(*line_features(data, offsets[i : j + 1])) for i, j in steps(offsets)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate([np.zeros(0), *scores]), pa.float64())], names=["doc_id", "score"])
 
-    scored = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, score double")
+    scored = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(trimmed(run), "doc_id long, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= accept, 1).otherwise(0).alias("predicted"))

@@ -25,10 +25,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import small_side, table
+from .common import focus, remember, small_side, table, trimmed
 
 #: Ids of a block; ids after which a segment is closed; distinct words whose ids a worker remembers.
-BLOCK, SEGMENT, REMEMBER = 1024, 1 << 20, 900_000
+BLOCK, SEGMENT, REMEMBER = 1024, 1 << 19, 750_000
 #: Ids a word by selector, and their widths; selector 0 is the escape.
 COUNTS = (1, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)
 WIDTHS = (0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60)
@@ -165,7 +165,7 @@ class Words:
     blank-led pieces, joined.
     """
 
-    def __init__(self, vocabulary: str):
+    def __init__(self, vocabulary: str, room: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -179,6 +179,7 @@ class Words:
         self.begins = np.zeros(max(names.values()) + 1, bool)
         self.begins[[i for k, i in names.items() if k.startswith("Ġ")]] = True
         self.known: dict[str, bytes] = {}
+        self.room = room
         self.odd = re.compile(r" (?:\s|$)").search
 
     def _plain(self, texts: list[str]) -> list[bytes]:
@@ -203,7 +204,7 @@ class Words:
             if lost:
                 lines.append(" " + " ".join([pieces[i] for i in lost]))
         coded = iter(self.tokenizer.encode_batch_fast(lines, add_special_tokens=False))
-        known, room = self.known, REMEMBER - len(self.known)
+        known, room = self.known, self.room - len(self.known)
         heads = self._plain([h[1] for h in held])
         for (k, _, pieces, found, lost), first in zip(held, heads, strict=True):
             if lost:
@@ -224,22 +225,26 @@ class Words:
         return out
 
 
-def tokenizer(vocabulary: str) -> Words:
-    if vocabulary not in _loaded:
-        _loaded[vocabulary] = Words(vocabulary)
+remember("token_files", _loaded.clear)
+
+
+def tokenizer(vocabulary: str, room: int = REMEMBER) -> Words:
+    if vocabulary not in _loaded or _loaded[vocabulary].room != room:
+        _loaded[vocabulary] = Words(vocabulary, room)
     return _loaded[vocabulary]
 
 
 # The files ------------------------------------------------------------------------------------------------------
 
 
-def encode_segments(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0) -> DataFrame:
+def encode_segments(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, room: int = REMEMBER) -> DataFrame:
     """(part, seq, ids, lens, total, data): the segments of docs in ascending order of their ids."""
 
     def run(batches) -> Iterator:
         import pyarrow as pa
 
-        words = tokenizer(vocabulary)
+        focus("token_files")
+        words = tokenizer(vocabulary, room)
         part, seq = TaskContext.get().partitionId(), 0
         end = np.array([end_id], "<u4").tobytes()
         held, names, size = [], [], 0
@@ -266,7 +271,7 @@ def encode_segments(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", te
 
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     ordered = plain.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
-    return ordered.mapInArrow(run, "part int, seq int, ids array<long>, lens array<long>, total long, data binary")
+    return ordered.mapInArrow(trimmed(run), "part int, seq int, ids array<long>, lens array<long>, total long, data binary")
 
 
 def read_documents(segments: DataFrame) -> DataFrame:
@@ -288,9 +293,9 @@ def read_documents(segments: DataFrame) -> DataFrame:
                 crc = [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(starts, ends, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(base + starts, pa.int64()), pa.array(lens, pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return segments.join(small_side(bases), ["part", "seq"]).select("ids", "lens", "base", "data").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return segments.join(small_side(bases), ["part", "seq"]).select("ids", "lens", "base", "data").mapInArrow(trimmed(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def write_token_files(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", id_col: str = "doc_id", text_col: str = "text", end_id: int = 0) -> DataFrame:
+def write_token_files(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, room: int = REMEMBER) -> DataFrame:
     """Write docs' ids to files in the shared folder; the files, as a DataFrame of segments."""
-    return table(encode_segments(docs, vocabulary, id_col, text_col, end_id), "token-files")
+    return table(encode_segments(docs, vocabulary, id_col, text_col, end_id, room), "token-files")

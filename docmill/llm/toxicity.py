@@ -26,9 +26,11 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import focus, trimmed
+
 #: Labelled documents that are learned from; lengths of stems; weight of a prior in documents; distinct words that a
 #: worker remembers.
-LABELLED, STEMS, PRIOR, REMEMBER = 6_000, (4, 5, 6, 7, 8), 2.0, 500_000
+LABELLED, STEMS, PRIOR, REMEMBER = 6_000, (4, 5, 6, 7, 8), 2.0, 100_000
 #: The lexicon of the grammar.
 INSULTS = "idiot idiots moron morons stupid dumb loser losers scum trash pathetic worthless disgusting clown clowns imbecile fool jerk filthy vermin freak retard bastard bitch asshole"
 THREATS = "kill hurt destroy shoot stab beat burn attack murder hang strangle"
@@ -259,11 +261,12 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     def run(batches) -> Iterator:
         import pyarrow as pa
 
+        focus("toxicity")
         score = model.score
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([score(t or "") for t in batch.column(1).to_pylist()], pa.float64())], names=["doc_id", "score"])
 
-    scored = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, score double")
+    scored = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(trimmed(run), "doc_id long, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= reject, 1).otherwise(0).alias("predicted"))
 
 
@@ -279,7 +282,8 @@ def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     def run(batches) -> Iterator:
         import pyarrow as pa
 
+        focus("toxicity")
         for batch in batches:
             yield batch.filter(pa.array([model.score(t or "") < reject for t in batch.column(at).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimmed(run), docs.schema)
