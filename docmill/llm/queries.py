@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .cap_join import cap_join
 from .decontaminate import decontaminate
 from .html_text import extract_text
+from .line_spread import dedup_lines
 from .mixing import mix_sources
 from .ngram_jaccard import ngram_jaccard_join
 from .quality_crf import score_quality
@@ -33,6 +34,10 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")).drop("h")
 
 
+def op5_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(_read(spark, sf_dir, "documents"))
+
+
 def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(_read(spark, sf_dir, "documents"))
 
@@ -58,5 +63,5 @@ def op10_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_ngram_jaccard_join, op2_mixing_sources, op3_token_files, op4_decontamination, op6_toxicity, op7_cap_join, op8_html_text, op9_secret_scans, op10_quality_crf)
+    every = (op1_ngram_jaccard_join, op2_mixing_sources, op3_token_files, op4_decontamination, op5_line_spread, op6_toxicity, op7_cap_join, op8_html_text, op9_secret_scans, op10_quality_crf)
     return {f.__name__: f for f in every}

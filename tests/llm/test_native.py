@@ -6,6 +6,7 @@ import pandas as pd
 
 from docmill.llm import sql
 from docmill.llm.decontaminate import clean_documents, decontaminate, proximity_matches
+from docmill.llm.line_spread import dedup_lines, line_sketches, merge_sketches, without_boilerplate
 from docmill.llm.mixing import mix_sources, mixed_documents, schedule
 from docmill.llm.secrets import scan_secrets
 
@@ -119,3 +120,47 @@ def test_proximity(spark):
     docs = spark.createDataFrame([(1, "alpha beta gamma delta"), (2, "alpha x x beta gamma delta"), (3, "alpha x x x x x x x x beta gamma delta")], "doc_id long, text string")
     items = spark.createDataFrame([(1, "alpha beta")], "item_id long, text string")
     assert sorted(r.doc_id for r in proximity_matches(docs, items, 2).collect()) == [1, 2]
+
+
+def spread_rows():
+    common, near, passage = "Subscribe  to our newsletter!", "seen on four sites", " ".join(f"p{k}" for k in range(60))
+    rows = [(i, f"own line {i}\n  {common}\t\n\n{near if i < 4 else 'else ' + str(i)}\n{passage}\n{common}", f"s{i % 6}") for i in range(40)]
+    rows += [(100, None, "s1"), (101, "", None), (102, " \n\t\n", "s2"), (103, common, None), (104, f"{common}\n" * 5000 + "end", "s0"), (105, "x\r\ny", "")]
+    rows += [(200 + i, f"nulls {common}", [None, "", "a", "b", "c"][i]) for i in range(5)] + [(300 + i, "four kinds", [None, "", "a", "b"][i]) for i in range(4)]
+    return rows
+
+
+def test_line_spread_matches_sql(spark):
+    documents = pd.DataFrame(spread_rows(), columns=["doc_id", "text", "source"])
+    docs = spark.createDataFrame(spread_rows(), "doc_id long, text string, source string").selectExpr("*", "1 as pos", "'x' as gone", "2 as row", "3 as t_id", "'y' as line")
+    want = duckdb.sql(sql.LINE_SPREAD).df().astype(object).sort_values("doc_id").reset_index(drop=True)
+    for limit in (500_000, 1, 2):
+        got = dedup_lines(docs, limit=limit).toPandas().astype(object).sort_values("doc_id").reset_index(drop=True)
+        for c in ("doc_id", "n_lines", "n_removed"):
+            assert [int(x) for x in got[c]] == [int(x) for x in want[c]]
+        assert [None if pd.isna(x) else x for x in got.text] == [None if pd.isna(x) else x for x in want.text]
+    by_id = {int(r.doc_id): r for r in got.itertuples()}
+    assert by_id[0].text == documents.text[0].rsplit("\n", 1)[0] and by_id[39].text == "own line 39\n\nelse 39"
+    assert by_id[104].text == "end" and by_id[104].n_removed == 5000 and by_id[105].text == "x\r\ny"
+    assert by_id[204].n_removed == 1 and by_id[303].n_removed == 0
+    kept = without_boilerplate(docs)
+    assert kept.columns == docs.columns and kept.count() == len(documents)
+    assert dedup_lines(docs.limit(0)).count() == 0 and without_boilerplate(docs.limit(0)).columns == docs.columns
+
+
+def test_line_spread_repeated_and_missing_ids(spark):
+    rows = [(1, "a b", "s0"), (1, "a b", "s0"), (1, "c\na b", "s1"), (None, "a b", "s2"), (None, "a b", "s3"), (7, "a b\nkeep", "s4")]
+    got = dedup_lines(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert len(got) == 6
+    ones = [r for r in got if r.doc_id == 1 and r.n_lines == 1]
+    assert len(ones) == 2 and ones[0] == ones[1]
+    assert sum(r.n_removed == 0 for r in got) in (1, 2)
+    assert [(r.n_removed, r.text) for r in got if r.doc_id is None] == [(1, "")] * 2
+    assert [(r.n_removed, r.text) for r in got if r.doc_id == 7] == [(1, "keep")]
+
+
+def test_line_sketches_merge(spark):
+    docs = spark.createDataFrame([(i, "same", f"s{i}") for i in range(30)], "doc_id long, text string, source string")
+    halves = line_sketches(docs.where("doc_id < 20")).unionByName(line_sketches(docs.where("doc_id >= 10")))
+    got = merge_sketches(halves).selectExpr("n", "hll_sketch_estimate(sketch) as sites").first()
+    assert (got.n, got.sites) == (40, 30)
