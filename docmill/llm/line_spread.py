@@ -17,12 +17,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, small_side, table
+from .common import BROADCAST_ROWS, table
 
 #: Sites from which a line is boilerplate; log2 of a sketch's registers; standard errors that count as near.
 SITES, REGISTERS, NEAR = 5, 12, 6
-#: Texts up to which the places of their removed lines may be broadcast, if there are no more places than BROADCAST_ROWS.
-LISTS = 100_000
 #: Fixed value: white space at a line's ends.
 BLANK = " \t\n\x0b\f\r"
 
@@ -101,10 +99,12 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def _applied(docs: DataFrame, id_col: str, text_col: str, site_col: str, sites: int, limit: int) -> DataFrame:
-    """(row, gone, left): the rows of docs, the places of the lines they lose, the text that is left."""
+    """(row, gone, left): the rows of docs, the places of the lines they lose, the text that is left.
+
+    What texts lose grows with them, so the two meet by a shuffle on the text's key at every size: texts move once.
+    """
     gone = table(_removals(docs, id_col, text_col, site_col, sites, limit), "removals")
-    places = gone.agg(F.sum(F.size("gone"))).first()[0] or 0
-    joined = docs.join(small_side(gone, LISTS) if places <= BROADCAST_ROWS else gone, docs[id_col].eqNullSafe(gone["t_id"]) & (F.xxhash64(docs[text_col]) == gone["t_h"]), "left")
+    joined = docs.join(gone.hint("merge"), docs[id_col].eqNullSafe(gone["t_id"]) & (F.xxhash64(docs[text_col]) == gone["t_h"]), "left")
     joined = joined.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), gone["gone"].alias("gone"))
     text = F.col(f"row.`{text_col}`")
     joined = joined.select("row", "gone", F.when(F.col("gone").isNotNull(), F.split(text, "\n")).alias("lines"))
