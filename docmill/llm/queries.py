@@ -38,6 +38,11 @@ def op5_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(_read(spark, sf_dir, "documents"))
 
 
+def op5_line_spread_two_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by the least spread there is: any line on more than one site."""
+    return dedup_lines(_read(spark, sf_dir, "documents"), sites=2)
+
+
 def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(_read(spark, sf_dir, "documents"))
 
@@ -63,5 +68,5 @@ def op10_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_ngram_jaccard_join, op2_mixing_sources, op3_token_files, op4_decontamination, op5_line_spread, op6_toxicity, op7_cap_join, op8_html_text, op9_secret_scans, op10_quality_crf)
+    every = (op1_ngram_jaccard_join, op2_mixing_sources, op3_token_files, op4_decontamination, op5_line_spread, op5_line_spread_two_sites, op6_toxicity, op7_cap_join, op8_html_text, op9_secret_scans, op10_quality_crf)
     return {f.__name__: f for f in every}

@@ -71,6 +71,8 @@ SELECT documents.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0)
 FROM documents LEFT JOIN g ON g.doc_id IS NOT DISTINCT FROM documents.doc_id
 """
 
+LINE_SPREAD_TWO_SITES = LINE_SPREAD.replace(">= 5", ">= 2")
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_jaccard_join": JACCARD, "op2_mixing_sources": MIXING, "op4_decontamination": DECONTAMINATION, "op5_line_spread": LINE_SPREAD, "op7_cap_join": NEAR_VECTORS}
+    return {"op1_ngram_jaccard_join": JACCARD, "op2_mixing_sources": MIXING, "op4_decontamination": DECONTAMINATION, "op5_line_spread": LINE_SPREAD, "op5_line_spread_two_sites": LINE_SPREAD_TWO_SITES, "op7_cap_join": NEAR_VECTORS}

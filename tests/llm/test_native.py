@@ -4,6 +4,7 @@ import re
 import duckdb
 import pandas as pd
 
+import __spark_entry__ as entry
 from docmill.llm import sql
 from docmill.llm.decontaminate import clean_documents, decontaminate, proximity_matches
 from docmill.llm.line_spread import dedup_lines, line_sketches, merge_sketches, without_boilerplate
@@ -148,6 +149,18 @@ def test_line_spread_matches_sql(spark):
     assert dedup_lines(docs.limit(0)).count() == 0 and without_boilerplate(docs.limit(0)).columns == docs.columns
 
 
+def test_lines_on_two_sites_match_sql(spark, tmp_path):
+    passage = " ".join(f"p{k}" for k in range(60))
+    rows = [(1, f"own\n{passage}", "s0"), (2, f"{passage}\nother", "s1"), (3, "in one source\n" * 3000 + "end", "s1"), (4, f"x\n{passage}\n{passage}", "s1"), (5, "in one source", "s1"), (6, "y\n four kinds", None), (7, "four kinds", "")]
+    documents = pd.DataFrame(rows, columns=["doc_id", "text", "source"])
+    documents.to_parquet(tmp_path / "documents.parquet")
+    got = entry.queries()["op5_line_spread_two_sites"](spark, str(tmp_path)).orderBy("doc_id").collect()
+    want = duckdb.sql(entry.oracle_sql()["op5_line_spread_two_sites"] + " ORDER BY doc_id").fetchall()
+    assert [tuple(r) for r in got] == want
+    assert [(r.n_removed, r.text) for r in got][:2] == [(0, rows[0][1]), (1, "other")]
+    assert [r.n_removed for r in got] == [0, 1, 0, 2, 0, 0, 1]
+
+
 def test_line_spread_repeated_and_missing_ids(spark):
     rows = [(1, "a b", "s0"), (1, "a b", "s0"), (1, "c\na b", "s1"), (None, "a b", "s2"), (None, "a b", "s3"), (7, "a b\nkeep", "s4")]
     got = dedup_lines(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
