@@ -123,6 +123,12 @@ def test_main_text():
     assert main_text(None) == main_text("") == main_text("<p></p>") == "" and main_text("a < b") == "a < b"
 
 
+def test_article_elements_in_furniture_mark_no_article():
+    body = "<div>Plain text of the page.</div><p>More of it.</p>"
+    for extra in ("<ol class='comment-list'><li><article class='comment-body'><p>First!</p></article></li></ol>", "<aside><article>Teaser</article></aside>"):
+        assert main_text(body + extra) == "Plain text of the page.\n\nMore of it."
+
+
 def test_extract_all_pages(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     got = extract_text(pages).collect()
