@@ -129,6 +129,12 @@ def test_article_elements_in_furniture_mark_no_article():
         assert main_text(body + extra) == "Plain text of the page.\n\nMore of it."
 
 
+def test_unmarked_pages_keep_paragraphs_around_a_long_one():
+    texts = ["Before.", "Two.", "x" * 10_000, *[str(k) + "y" * 299 for k in range(5)], "After.", "z" * 9_000, "End."]
+    page = "".join(f"<p>{t}</p>" for t in texts[:8]) + "<nav>Menu</nav><p><a href=/x>Linked</a></p>" * 4 + "".join(f"<p>{t}</p>" for t in texts[8:])
+    assert main_text(page) == "\n\n".join(texts)
+
+
 def test_extract_all_pages(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     got = extract_text(pages).collect()
