@@ -135,6 +135,14 @@ def test_unmarked_pages_keep_paragraphs_around_a_long_one():
     assert main_text(page) == "\n\n".join(texts)
 
 
+def test_self_closed_elements_and_math_lose_no_text():
+    for tag in ("<svg/>", "<svg viewBox='0 0 > 1'/>", '<svg class="a" hidden />', "<math/>", "<iframe src='x' />", "<object data=x />", "<canvas/>", "<script src='a.js'/>", "<svg a=/b/ />"):
+        assert main_text(f"<article><p>One {tag}two</p><p>three</p></article>") == "One two\n\nthree"
+        assert main_text(f"<article><p>One {tag}two</p><svg><text>no</text></svg><script>var x</script><p>three</p></article>") == "One two\n\nthree"
+    assert main_text("<article><p>where <math display='block'><mi>x</mi><mo>=</mo><mn>2</mn></math> holds</p></article>") == "where x=2 holds"
+    assert main_text("<article><p>a<svg><path d='M0'/><text>no</text></svg>b<script src=/js/>var x</script><script src='y'/>var z</script></p></article>") == "ab"
+
+
 def test_extract_all_pages(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     got = extract_text(pages).collect()
