@@ -248,6 +248,12 @@ def w13_carried_heading(spark, sf_dir):
     return rows.carried(read(spark, sf_dir, "conversations"), "conv_id", "turn", heading, "heading").select("conv_id", "turn", "heading")
 
 
+@query("SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS heading FROM conversations")
+def w13_carried_text(spark, sf_dir):
+    heading = F.when(F.col("role") == "user", F.col("text"))
+    return rows.carried(read(spark, sf_dir, "conversations"), "conv_id", "turn", heading, "heading").select("conv_id", "turn", "heading")
+
+
 @query(r"WITH l AS (SELECT conv_id, turn, lag(text) OVER w AS p, lead(text) OVER w AS n FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) SELECT conv_id, turn, list_filter(string_split(p, chr(10)), lambda x: trim(x) <> '')[-1] AS context_before, list_filter(string_split(n, chr(10)), lambda x: trim(x) <> '')[1] AS context_after FROM l")
 def w12_neighbours(spark, sf_dir):
     return rows.neighbours(read(spark, sf_dir, "conversations"), "conv_id", "turn", "text").select("conv_id", "turn", "context_before", "context_after")

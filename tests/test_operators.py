@@ -31,6 +31,13 @@ def test_query_matches_sql(spark, duck, name):
     assert sorted((tuple(flat(r[c]) for c in cols) for r in got.collect()), key=str) == want
 
 
+def test_whole_text_is_carried(spark, tmp_path):
+    rows = [(1, 0, "system", "s"), (1, 1, "user", "long " * 50 + "end"), (1, 2, "assistant", "a"), (1, 3, "user", "next"), (2, 0, "assistant", "b")]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = entry.queries()["w13_carried_text"](spark, str(tmp_path)).orderBy("conv_id", "turn").collect()
+    assert [r.heading for r in got] == [None, rows[1][3], rows[1][3], "next", None]
+
+
 def test_chunks_keep_every_word_under_the_limit():
     units = ["word " * n for n in (3, 50, 7, 400, 1, 1, 90)] + ["A sentence here. " * 60, "x" * 900]
     for most in (20, 60, 200):
