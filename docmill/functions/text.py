@@ -71,21 +71,30 @@ def joined_decimals(text: Column) -> Column:
 
 
 def ocr_signals(text: Column) -> dict[str, Column]:
-    """What makes a text look scanned; a text of fewer than six lines looks like nothing."""
+    """What makes a text look scanned, from a score of three; a text of fewer than six lines looks like nothing."""
     full = F.filter(lines(text), lambda x: F.trim(x) != "")
     n = F.size(full)
     short = F.size(F.filter(full, lambda x: F.length(F.trim(x)).between(18, 95)))
     open_ = F.size(F.filter(full, lambda x: (F.length(F.trim(x)) >= 20) & ~x.rlike(r"[.!?;:)\]\"']\s*$") & ~x.rlike(r"^\s*(?:[-*\x{2022}]|[0-9]+[.)]|[A-Za-z][.)])\s+")))
     hyphens = count(text, r"[A-Za-z\x{00C0}-\x{024F}]-\s*\n\s*[A-Za-z\x{00C0}-\x{024F}]")
     pages = F.size(F.filter(full, lambda x: x.rlike(PAGE_LINE)))
-    points = F.when(hyphens >= 2, 3).when(hyphens == 1, 1).otherwise(0) + F.when(short / n >= 0.65, 2).otherwise(0) + F.when(open_ / n >= 0.45, 2).otherwise(0) + F.when(pages >= 2, 1).otherwise(0)
-    return {"hyphen_breaks": hyphens, "page_lines": pages.cast("long"), "ocr_score": F.when(n >= 6, points).otherwise(0).cast("long")}
+    controls = count(text, r"[\p{Cc}\p{Cf}&&[^\n\t]]")
+    points = F.when(hyphens >= 2, 3).when(hyphens == 1, 1).otherwise(0) + F.when(short / n >= 0.65, 2).otherwise(0) + F.when(open_ / n >= 0.45, 2).otherwise(0) + F.when(pages >= 2, 1).otherwise(0) + F.when(controls > 0, 1).otherwise(0)
+    score = F.when(n >= 6, points).otherwise(0).cast("long")
+    return {"hyphen_breaks": hyphens, "page_lines": pages.cast("long"), "controls": controls, "ocr_score": score, "likely_scan": score >= 3}
 
 
 def script_counts(text: Column) -> dict[str, Column]:
     return {k: count(text, p) for k, p in SCRIPTS.items()}
 
 
+def script_shares(counts: dict[str, Column]) -> dict[str, Column]:
+    """The share of each script among the letters of all; 0 where there are none. counts are columns already made, as
+    each is used in every share."""
+    total = sum(counts.values(), F.lit(0))
+    return {k: F.when(total > 0, c / total).otherwise(0.0) for k, c in counts.items()}
+
+
 def _members(tokens: Column, names: str) -> Column:
     return F.size(F.filter(tokens, lambda w: w.isin(names.split())))
 
@@ -152,6 +161,18 @@ def semantic_verdict(source: Column, target: Column) -> Column:
     return F.when(size(source) < 100, "ok").when(ratio < 0.55, "probable_semantic_omission").when(ratio > 2.2, "probable_semantic_addition").otherwise("ok")
 
 
+def semantic_issues(source: Column, target: Column) -> Column:
+    """Omission or addition by the ratio of non-blank characters, for sources of 100 characters or more, and the loss
+    of every negation; an empty source or target has none."""
+    blank = r"[\s\x{00A0}]+"
+    trimmed = lambda t: F.regexp_replace(F.coalesce(t, F.lit("")), r"^[\s\x{00A0}]+|[\s\x{00A0}]+$", "")
+    size = lambda t: F.length(F.regexp_replace(F.coalesce(t, F.lit("")), blank, ""))
+    ratio = F.when((F.length(trimmed(source)) >= 100) & (size(source) > 0), size(target) / size(source))
+    length = F.when(ratio < 0.55, "probable_semantic_omission").when(ratio > 2.2, "probable_semantic_addition")
+    loss = F.when((negations(source) > 0) & (negations(target) == 0), "possible_negation_loss")
+    return F.when((size(source) > 0) & (size(target) > 0), F.concat_ws(",", length, loss)).otherwise("")
+
+
 def slug(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"[^a-z0-9]+", "-"), F.lit("-"))
 

@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+#: Fixed value: terms of single texts, whose names in a prompt say that it fits those.
+TEXT_TERMS = "austen wilde doyle thoreau melville pride prejudice dorian gray scarlet walden moby dick ishmael watson holmes wotton afghanistan laburnum persian".split()
+
 
 def score_bucket(score: Column) -> Column:
     return F.when(score >= 9, "excellent").when(score >= 7, "good").when(score >= 5, "acceptable").when(score >= 3, "poor").otherwise("failed")
@@ -60,6 +63,17 @@ def fitness(evaluations: DataFrame, weight: float = 0.5) -> DataFrame:
     return evaluations.groupBy("prompt").agg(F.round(F.avg("score") - variance * weight, 6).alias("fitness"))
 
 
+def penalized_fitness(evaluations: DataFrame, variance: float = 0.1, longest: int = 500, excess: float = 0.001, term: float = 0.05, gap: float = 0.5) -> DataFrame:
+    """Per prompt: mean training score less penalties on the sample variance of all scores, the prompt's length, its
+    terms that name single texts, and the fall from training to test (test is a column; no scores are a mean of 0)."""
+    mean = lambda of: F.coalesce(F.avg(F.when(of, F.col("score"))), F.lit(0.0))
+    train, test = mean(~F.col("test")), mean(F.col("test"))
+    means = evaluations.groupBy("prompt").agg(train.alias("train"), test.alias("held"), F.coalesce(F.var_samp("score"), F.lit(0.0)).alias("v"))
+    terms = sum((F.lower("prompt").contains(t).cast("int") for t in TEXT_TERMS), F.lit(0))
+    found = F.col("train") - F.col("v") * variance - F.greatest(F.lit(0), F.length("prompt") - longest) * excess - terms * term - F.greatest(F.lit(0.0), F.col("train") - F.col("held")) * gap
+    return means.select("prompt", F.round(found, 6).alias("fitness"))
+
+
 def judged(translations: DataFrame, judgments: DataFrame, keys: list[str]) -> DataFrame:
     """Translations with their judgment if it is of the same output: a left join, hash checked."""
     same = F.col("judged_hash").isNull() | (F.col("judged_hash") == F.col("output_hash"))

@@ -176,6 +176,11 @@ def g40_fitness(spark, sf_dir):
     return ranking.fitness(scores(spark, sf_dir).select(F.col("model").alias("prompt"), F.col("overall").alias("score")))
 
 
+@query(SCORES + f", m AS (SELECT model AS prompt, coalesce(avg(overall) FILTER (language % 2 = 0), 0) AS train, coalesce(avg(overall) FILTER (language % 2 = 1), 0) AS held, coalesce(var_samp(overall), 0) AS v FROM s GROUP BY 1) SELECT prompt, round(train - v * 0.1::DOUBLE - greatest(0, length(prompt) - 500) * 0.001::DOUBLE - len(list_filter({ranking.TEXT_TERMS}, lambda t: contains(lower(prompt), t))) * 0.05::DOUBLE - greatest(0, train - held) * 0.5::DOUBLE, 6) AS fitness FROM m")
+def g40_penalized_fitness(spark, sf_dir):
+    return ranking.penalized_fitness(scores(spark, sf_dir).select(F.col("model").alias("prompt"), F.col("overall").alias("score"), (F.col("language") % 2 == 1).alias("test")))
+
+
 @query("SELECT lang, list_sort(list(n_chars))[CAST(round_even(0.9::DOUBLE * (count(*) - 1), 0) AS BIGINT) + 1] AS p90 FROM documents GROUP BY 1")
 def g41_nearest_rank(spark, sf_dir):
     return read(spark, sf_dir, "documents").groupBy("lang").agg(ranking.nearest_rank(F.col("n_chars"), 90).alias("p90"))
@@ -319,6 +324,12 @@ def f13_script_profile(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", *[counts[k].alias(k) for k in ("latin", "greek", "cyrillic")])
 
 
+@query("WITH c AS (SELECT doc_id, " + ", ".join(f"len(regexp_extract_all(text, '{p}')) AS {k}" for k, p in T.SCRIPTS.items()) + " FROM documents), s AS (SELECT *, " + " + ".join(T.SCRIPTS) + " AS total FROM c) SELECT doc_id, " + ", ".join(f"coalesce({k} / nullif(total, 0)::DOUBLE, 0) AS {k}" for k in T.SCRIPTS) + " FROM s")
+def f13_script_shares(spark, sf_dir):
+    counts = read(spark, sf_dir, "documents").select("doc_id", *[c.alias(k) for k, c in T.script_counts(F.col("text")).items()])
+    return counts.select("doc_id", *[c.alias(k) for k, c in T.script_shares({k: F.col(k) for k in T.SCRIPTS}).items()])
+
+
 _SCORE = "len(list_filter(w, lambda x: list_contains(string_split('{}', ' '), x)))"
 
 
@@ -387,6 +398,19 @@ def x11_semantic_verdict(spark, sf_dir):
     return pairs(spark, sf_dir).select("conv_id", "turn", T.semantic_verdict(F.col("s"), F.col("t")).alias("verdict"))
 
 
+_NEGATED = "len(list_filter(regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}_]+'), lambda w: list_contains(string_split('" + T.NEGATIONS + "', ' '), w)))"
+
+
+@query(
+    PAIRS
+    + r", n AS (SELECT conv_id, turn, length(regexp_replace(s, '[\s\x{00A0}]+', '', 'g')) AS a, length(regexp_replace(t, '[\s\x{00A0}]+', '', 'g')) AS b, length(regexp_replace(s, '^[\s\x{00A0}]+|[\s\x{00A0}]+$', '', 'g')) AS whole, "
+    + f"{_NEGATED.format('s')} AS x, {_NEGATED.format('t')} AS y FROM p) "
+    + "SELECT conv_id, turn, CASE WHEN a > 0 AND b > 0 THEN concat_ws(',', CASE WHEN whole < 100 THEN NULL WHEN b / a::DOUBLE < 0.55 THEN 'probable_semantic_omission' WHEN b / a::DOUBLE > 2.2 THEN 'probable_semantic_addition' END, CASE WHEN x > 0 AND y = 0 THEN 'possible_negation_loss' END) ELSE '' END AS issues FROM n"
+)
+def x11_semantic_issues(spark, sf_dir):
+    return pairs(spark, sf_dir).select("conv_id", "turn", T.semantic_issues(F.col("s"), F.col("t")).alias("issues"))
+
+
 @query(PAIRS + ", n AS (SELECT conv_id, turn, length(s) AS a, length(t) AS b FROM p) SELECT conv_id, turn, CASE WHEN a < 80 THEN 'ok' WHEN a >= 120 AND b / a::DOUBLE < 0.35 THEN 'reject' WHEN a >= 300 AND b / a::DOUBLE < 0.45 THEN 'reject' WHEN b / a::DOUBLE < 0.58 OR b / a::DOUBLE > 2.2 THEN 'warn' ELSE 'ok' END AS verdict FROM n")
 def x42_length_verdict(spark, sf_dir):
     return pairs(spark, sf_dir).select("conv_id", "turn", T.length_verdict(F.length("s"), F.length("t")).alias("verdict"))

@@ -47,6 +47,39 @@ def test_chunks_keep_every_word_under_the_limit():
         assert all(chunking.tokens(c) <= max(most, longest + int(most * 0.25) + 1) for c in chunks)
 
 
+def test_chunks_have_context_and_keep_structured_lines(spark):
+    rows = "\n".join(f"| {k}.5 | a. b |" for k in range(40))
+    assert chunking.pack([rows], 90) == [rows]
+    split = chunking.pack(["short", rows], 20)
+    assert len(split) > 3 and "\n".join(split) == "short\n\n" + rows
+    numbers = "Table 1\n" + "\n".join(["BLEU", "1.5", "2.75 %"] * 20)
+    assert "\n".join(chunking.pack([numbers], 10)) == numbers
+    text = "one two\n\nthree four\n\n" + "five " * 9 + "\n\nsix"
+    got = chunking.chunked(spark.createDataFrame([(1, text), (2, None)], "d long, t string"), "d", "t", 10).orderBy("chunk_index").collect()
+    assert [(r.context_before, r.context_after) for r in got] == [("", "five " * 9), ("three four", "six"), ("five " * 9, "")]
+
+
+def test_methods_without_left_out_parts(spark):
+    from pyspark.sql import functions as F
+
+    from docmill.operators import ranking
+
+    scan = "\n".join(["a line of text that is wrapped."] * 6)
+    ocr = lambda t: spark.range(1).select(*[c.alias(k) for k, c in T.ocr_signals(F.lit(t)).items()]).first()
+    assert (ocr(scan).ocr_score, ocr(scan).likely_scan) == (2, False)
+    for mark in ("\x07", "\u200b", "\r"):
+        assert (ocr(scan + mark).ocr_score, ocr(scan + mark).likely_scan) == (3, True)
+    shares = spark.range(1).select(*[c.alias(k) for k, c in T.script_shares(T.script_counts(F.lit("ab Ж 日本語 한 1"))).items()]).first()
+    assert (shares.latin, shares.cyrillic, shares.cjk, shares.hangul, shares.greek) == (2 / 7, 1 / 7, 3 / 7, 1 / 7, 0)
+    said = lambda s, t: spark.range(1).select(T.semantic_issues(F.lit(s), F.lit(t)).alias("x")).first().x
+    assert said("It is not so.", "It is so.") == "possible_negation_loss" and said("It is not so.", "It is never so.") == said("not", "") == ""
+    assert said("no " + "word " * 40, "word") == "probable_semantic_omission,possible_negation_loss"
+    long = "x" * 600 + " Holmes Watson"
+    rows = [("p", 4.0, False), ("p", 2.0, False), ("p", 2.0, True), (long, 3.0, False), (long, 3.0, True), ("q", 2.0, False)]
+    got = {r.prompt: r.fitness for r in ranking.penalized_fitness(spark.createDataFrame(rows, "prompt string, score double, test boolean")).collect()}
+    assert got["p"] == round(3 - 0.1 * 4 / 3 - 0.5, 6) and got[long] == round(3 - 0.114 - 0.1, 6) and got["q"] == 1.0
+
+
 def test_text_vectors(spark):
     from pyspark.sql import functions as F
 
