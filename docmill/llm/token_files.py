@@ -162,7 +162,7 @@ class Words:
     """A byte-level BPE tokenizer that encodes each distinct word once.
 
     Its pre-tokenizer starts a new piece at every blank that a non-blank follows, so a text's ids are those of its
-    blank-led pieces, joined.
+    blank-led pieces, joined. Texts that hold an added token are encoded whole.
     """
 
     def __init__(self, vocabulary: str, room: int):
@@ -174,13 +174,13 @@ class Words:
 
             vocabulary = public_tokenizers.path(vocabulary)
         self.tokenizer = Tokenizer.from_file(str(vocabulary))
-        self.tokenizer.encode_special_tokens = True
         names = self.tokenizer.get_vocab()
         self.begins = np.zeros(max(names.values()) + 1, bool)
         self.begins[[i for k, i in names.items() if k.startswith("Ġ")]] = True
         self.known: dict[str, bytes] = {}
         self.room = room
         self.odd = re.compile(r" (?:\s|$)").search
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -194,7 +194,7 @@ class Words:
         out: list = [None] * len(texts)
         get, plain, held, lines = self.known.get, [], [], []
         for k, text in enumerate(texts):
-            if self.odd(text):  # white space in a row: rare
+            if self.odd(text) or any(t in text for t in self.added):  # white space in a row, or an added token: rare
                 plain.append(k)
                 continue
             head, *pieces = text.split(" ")

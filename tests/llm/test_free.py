@@ -33,6 +33,17 @@ def test_words_are_encoded_as_whole_texts():
         assert np.frombuffer(got, "<u4").tolist() == words.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_added_tokens_are_encoded_as_the_library_does():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    fresh = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))
+    texts = ["a <|endoftext|> hi", "<|endoftext|>", "a<|endoftext|>b c", "a <|endoftext|", "plain a hi"]
+    for text, got in zip(texts, tokenizer("byte_bpe_50k.json").encode(texts), strict=True):
+        assert np.frombuffer(got, "<u4").tolist() == fresh.encode(text, add_special_tokens=False).ids
+    assert 50256 in fresh.encode(texts[0], add_special_tokens=False).ids
+
+
 def test_token_files_read_back(spark):
     rows = [(i * 3 % 17, t, 0) for i, t in enumerate(ODD)] + [(None, "null id", 0), (40, None, 0), (40, None, 0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, part int").repartition(3)
