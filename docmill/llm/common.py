@@ -8,11 +8,14 @@ from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, StringType
 
-#: Rows up to which a two-column side may be broadcast; beyond it the join shuffles.
-BROADCAST_ROWS = 500_000
+#: Rows and bytes up to which a side may be broadcast; beyond them the join shuffles.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 16_000_000
+#: Folders that go when the application ends.
+_folders: set[str] = set()
 
 
 #: What Python workers remember between tasks, by the operator that fills it: how to forget it.
@@ -54,12 +57,20 @@ def trimmed(run):
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder of this application under the one that all executors see: spark.checkpoint.dir, or where that is unset
+    and all runs on one machine, one of our own. It goes when the application ends."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors see")
         at = f"file:///tmp/checkpoints/docmill-{os.getuid()}"
         spark.sparkContext.setCheckpointDir(at)
-    return at.rstrip("/")
+    at = f"{at.rstrip('/')}/docmill-{spark.sparkContext.applicationId}"
+    if at not in _folders:
+        _folders.add(at)
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return at
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -76,21 +87,34 @@ def table(df: DataFrame, name: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it is counted to have at most limit rows, else df itself."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+def _width(name: str, kind) -> Column:
+    """Bytes of a column's value, about."""
+    if isinstance(kind, (StringType, BinaryType)):
+        return F.coalesce(F.octet_length(F.col(f"`{name}`")), F.lit(0)) + 16
+    if isinstance(kind, ArrayType):
+        return F.coalesce(F.octet_length(F.to_json(F.col(f"`{name}`"))), F.lit(0)) + 16
+    return F.lit(8)
 
 
-def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def small_side(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """df with a broadcast hint if it is measured to have at most `rows` rows and BROADCAST_BYTES bytes, else df itself."""
+    most = BROADCAST_ROWS if rows is None else rows
+    width = sum((_width(f.name, f.dataType) for f in df.schema.fields), F.lit(0))
+    got = df.limit(most + 1).agg(F.count("*").alias("n"), F.coalesce(F.sum(width), F.lit(0)).alias("size")).first()
+    return F.broadcast(df) if got.n <= most and got.size <= BROADCAST_BYTES else df
+
+
+def connected_components(edges: DataFrame) -> DataFrame:
     """Smallest reachable id of each node that has an edge: edges (a, b) -> (id, component); nodes that are their
     own component's smallest id are not listed.
 
     Alternates large-star and small-star steps, each an aggregate and a join (no node's neighbours meet in one
-    task), until the edges no longer change. An empty input gives an empty result; loops and repeats do not matter.
+    task), until the edges no longer change, however many rounds that takes (about the square of the logarithm of the
+    longest chain). An empty input gives an empty result; loops and repeats do not matter.
     """
     e = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     before = None
-    for _ in range(rounds):
+    while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -99,9 +123,8 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         e = cut(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if now == before:
-            break
+            return e.select(F.col("u").alias("id"), F.col("v").alias("component"))
         before = now
-    return e.select(F.col("u").alias("id"), F.col("v").alias("component"))
 
 
 # Word scanning over Arrow string buffers -------------------------------------------------------------------------
@@ -125,12 +148,14 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-@lru_cache(maxsize=2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
+@lru_cache(maxsize=3)
+def powers(n: int, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of an odd base, and of its inverse."""
+    base = np.uint64(int(_BASE) + 8 * which)
+    inverse = np.uint64(pow(int(base), -1, 1 << 64))
     ones = np.ones(n, np.uint64)
     up, down = ones.copy(), ones.copy()
-    up[1:], down[1:] = _BASE, inverse
+    up[1:], down[1:] = base, inverse
     return np.cumprod(up), np.cumprod(down)
 
 
@@ -145,11 +170,11 @@ def buffers(column) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)), offsets
 
 
-def steps(offsets: np.ndarray):
-    """Row ranges of about STEP_BYTES."""
+def steps(offsets: np.ndarray, size: int = STEP_BYTES):
+    """Row ranges of about size bytes."""
     n, i = len(offsets) - 1, 0
     while i < n:
-        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + STEP_BYTES, "right")) - 1)
+        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + size, "right")) - 1)
         yield i, min(j, n)
         i = j
 
@@ -170,7 +195,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     stop[:-1] &= ~solid[1:] | edge[1:-1]
     first, last = np.flatnonzero(start), np.flatnonzero(stop) + 1
     size = 1 << max(20, int(len(raw)).bit_length())
-    up, down = _powers(size)
+    up, down = powers(size)
     total = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)], out=total[1:])
     words = mix((total[last] - total[first]) * down[first] + (last - first).astype(np.uint64) * _ODD)

@@ -9,13 +9,12 @@ A segment is `S8B1`, then little-endian: ids a block (u32), blocks (u32), ids (u
 half file), with the document ids and lengths that they hold and their place (part, seq) in ascending order of ids.
 
 Defined cases: null text is empty and is its end id alone; null document ids come first; rows that share an id are all
-kept, in any order; an empty table gives no segment and no row; other columns are ignored, whatever their names.
+kept, in the order of their texts' hashes; an empty table gives no segment and no row; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -25,10 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import focus, remember, small_side, table, trimmed
+from .common import buffers, focus, mix, powers, remember, small_side, steps, table, trimmed
 
-#: Ids of a block; ids after which a segment is closed; distinct words whose ids a worker remembers.
-BLOCK, SEGMENT, REMEMBER = 1024, 1 << 19, 750_000
+#: Ids of a block; ids after which a segment is closed; distinct words whose ids a worker remembers; new words of a line
+#: for the tokenizer; bytes of text of a step.
+BLOCK, SEGMENT, REMEMBER, LINE, STEP = 1024, 1 << 19, 1_200_000, 256, 4_000_000
 #: Ids a word by selector, and their widths; selector 0 is the escape.
 COUNTS = (1, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)
 WIDTHS = (0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60)
@@ -158,11 +158,52 @@ def read_segment(data: bytes) -> np.ndarray:
 _loaded: dict[str, Words] = {}
 
 
+class Known:
+    """Ids by word, for up to room words: arrays sorted by the first of two 64-bit hashes of a word, found when both agree."""
+
+    def __init__(self, room: int):
+        self.room = room
+        self.first, self.second = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        self.start, self.size = np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.flat = np.zeros(0, "<u4")
+
+    def find(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """Places of words, -1 for those not held."""
+        if not len(self.first):
+            return np.full(len(first), -1)
+        at = np.minimum(np.searchsorted(self.first, first), len(self.first) - 1)
+        return np.where((self.first[at] == first) & (self.second[at] == second), at, -1)
+
+    def add(self, first: np.ndarray, second: np.ndarray, size: np.ndarray, flat: np.ndarray) -> None:
+        if len(self.first) + len(first) > self.room:
+            return
+        start = len(self.flat) + np.cumsum(size) - size
+        order = np.argsort(np.concatenate([self.first, first]), kind="stable")
+        self.first, self.second, self.start, self.size = (np.concatenate(x)[order] for x in ((self.first, first), (self.second, second), (self.start, start), (self.size, size.astype(np.int32))))
+        self.flat = np.concatenate([self.flat, flat])
+
+
+def word_keys(words) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each word of an Arrow column."""
+    data, offsets = buffers(words)
+    base = int(offsets[0])
+    raw = data[base : int(offsets[-1])].astype(np.uint64) + np.uint64(1)
+    at, size = offsets[:-1] - base, np.diff(offsets).astype(np.uint64)
+    out = []
+    for k, odd in enumerate((0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)):
+        up, down = powers(1 << max(20, len(raw).bit_length()), k)
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(raw * up[: len(raw)])])
+        out.append(mix((total[offsets[1:] - base] - total[at]) * down[at] + size * np.uint64(odd)))
+    return out[0], out[1]
+
+
 class Words:
-    """A byte-level BPE tokenizer that encodes each distinct word once.
+    """A byte-level BPE tokenizer that encodes each distinct word of a step once.
 
     Its pre-tokenizer starts a new piece at every blank that a non-blank follows, so a text's ids are those of its
-    blank-led pieces, joined. Texts that hold an added token are encoded whole.
+    blank-led pieces, joined. A step's pieces are numbered by Arrow, the ids of each different one are looked up or made,
+    and all texts are put together by index. Texts that hold an added token, or a blank that white space or the end
+    follows, are encoded whole.
     """
 
     def __init__(self, vocabulary: str, room: int):
@@ -177,52 +218,91 @@ class Words:
         names = self.tokenizer.get_vocab()
         self.begins = np.zeros(max(names.values()) + 1, bool)
         self.begins[[i for k, i in names.items() if k.startswith("Ġ")]] = True
-        self.known: dict[str, bytes] = {}
+        self.known = Known(room)
         self.room = room
-        self.odd = re.compile(r" (?:\s|$)").search
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
-    def _plain(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, as little-endian unsigned 32-bit integers.
-
-        What is not remembered of a text goes to the tokenizer as one line, whose ids part where a piece begins with a
-        blank.
-        """
-        out: list = [None] * len(texts)
-        get, plain, held, lines = self.known.get, [], [], []
-        for k, text in enumerate(texts):
-            if self.odd(text) or any(t in text for t in self.added):  # white space in a row, or an added token: rare
-                plain.append(k)
-                continue
-            head, *pieces = text.split(" ")
-            found = list(map(get, pieces))
-            lost = [i for i, f in enumerate(found) if f is None] if None in found else []
-            held.append((k, head, pieces, found, lost))
-            if lost:
-                lines.append(" " + " ".join([pieces[i] for i in lost]))
-        coded = iter(self.tokenizer.encode_batch_fast(lines, add_special_tokens=False))
-        known, room = self.known, self.room - len(self.known)
-        heads = self._plain([h[1] for h in held])
-        for (k, _, pieces, found, lost), first in zip(held, heads, strict=True):
-            if lost:
-                ids = np.array(next(coded).ids, "<u4")
-                at = np.flatnonzero(self.begins[ids])
-                if len(at) != len(lost) or at[0]:
-                    plain.append(k)
-                    continue
-                raw, ends = ids.tobytes(), (at * 4).tolist()
-                ends.append(len(raw))
-                for n, i in enumerate(lost):
-                    found[i] = raw[ends[n] : ends[n + 1]]
-                if room > 0:
-                    known.update((pieces[i], found[i]) for i in lost)
-            out[k] = first + b"".join(found)
-        for k, ids in zip(plain, self._plain([texts[k] for k in plain]), strict=True):
-            out[k] = ids
-        return out
+    def plain(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of texts encoded whole."""
+        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def pieces(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(numbers of ids, ids) of words, each with a blank before it. They go to the tokenizer in lines, whose ids part
+        where a piece begins with a blank; a line that parts otherwise goes word by word."""
+        groups = [words[i : i + LINE] for i in range(0, len(words), LINE)]
+        sizes, flat = [np.zeros(0, np.int64)], [np.zeros(0, "<u4")]
+        for group, ids in zip(groups, self.plain([" " + " ".join(g) for g in groups]), strict=True):
+            at = np.flatnonzero(self.begins[ids])
+            if len(at) == len(group) and at[0] == 0:
+                sizes.append(np.diff(at, append=len(ids)))
+                flat.append(ids)
+            else:
+                parts = self.plain([" " + w for w in group])
+                sizes.append(np.array([len(p) for p in parts]))
+                flat += parts
+        return np.concatenate(sizes), np.concatenate(flat)
+
+    def encode(self, texts, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of an Arrow string column's texts, each followed by the end id if one is given, and their numbers."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        n = len(texts)
+        if not n:
+            return np.zeros(0, "<u4"), np.zeros(0, np.int64)
+        split = pc.split_pattern(texts, " ")
+        bounds = split.offsets.to_numpy().astype(np.int64)
+        bounds = bounds - bounds[0]
+        first, each = bounds[:-1], np.diff(bounds)
+        coded = pc.dictionary_encode(split.flatten())
+        words, codes = coded.dictionary, coded.indices.to_numpy().astype(np.int32)
+        whole = np.zeros(n, bool)
+        for token in self.added:
+            whole |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
+        odd = pc.or_(pc.equal(words, ""), pc.utf8_is_space(pc.utf8_slice_codeunits(words, 0, 1))).to_numpy(zero_copy_only=False)
+        if odd.any():
+            inner = odd[codes]
+            inner[first] = False  # a head has no blank before it
+            whole |= np.add.reduceat(inner.astype(np.int32), first) > 0
+        heads, at = np.unique(codes[first], return_inverse=True)
+        rows = np.flatnonzero(whole)
+        codes[first] = len(words) + at  # heads are numbered apart from the same words elsewhere
+        codes[first[rows]] = len(words) + len(heads) + np.arange(len(rows))
+        row = np.repeat(np.arange(n, dtype=np.int32), each)
+        if len(rows):
+            keep = ~np.repeat(whole, each)
+            keep[first] = True
+            codes, row = codes[keep], row[keep]
+        # Where the ids of each number begin, and how many they are.
+        one, two = word_keys(words)
+        place = self.known.find(one, two)
+        held = place >= 0
+        lost = ~held
+        if len(rows):
+            used = np.zeros(len(words), bool)
+            used[codes[codes < len(words)]] = True
+            lost &= used
+        lost = np.flatnonzero(lost & ~odd)
+        sizes, flat = self.pieces(words.take(pa.array(lost)).to_pylist())
+        rest = [*self.plain(words.take(pa.array(heads)).to_pylist()), *self.plain(texts.take(pa.array(rows)).to_pylist()), np.array([] if end is None else [end], "<u4")]
+        numbers = len(words) + len(rest)
+        start, size = np.zeros(numbers, np.int64), np.zeros(numbers, np.int64)
+        start[: len(words)][held], size[: len(words)][held] = self.known.start[place[held]], self.known.size[place[held]]
+        start[lost], size[lost] = len(self.known.flat) + np.cumsum(sizes) - sizes, sizes
+        size[len(words) :] = [len(r) for r in rest]
+        start[len(words) :] = len(self.known.flat) + len(flat) + np.cumsum(size[len(words) :]) - size[len(words) :]
+        every = np.concatenate([self.known.flat, flat, *rest])
+        self.known.add(one[lost], two[lost], sizes, flat)
+        # The numbers of all texts in turn, an end after each, and their ids.
+        sequence = np.full(len(codes) + n, numbers - 1, np.int32)
+        sequence[np.arange(len(codes)) + row] = codes
+        took = size[sequence]
+        to = np.cumsum(took)
+        index = np.repeat(start[sequence] - to + took, took)
+        index += np.arange(len(index))
+        begins = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=n) + 1)[:-1]])
+        return every[index], np.add.reduceat(took, begins)
 
 
 remember("token_files", _loaded.clear)
@@ -246,31 +326,34 @@ def encode_segments(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", te
         focus("token_files")
         words = tokenizer(vocabulary, room)
         part, seq = TaskContext.get().partitionId(), 0
-        end = np.array([end_id], "<u4").tobytes()
-        held, names, size = [], [], 0
+        held, names, sizes, size = [], [], [], 0
 
         def close():
-            ids = np.frombuffer(b"".join(held), "<u4")
-            lens = [len(h) // 4 for h in held]
-            cells = [pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([names], pa.list_(pa.int64())), pa.array([lens], pa.list_(pa.int64())), pa.array([len(ids)], pa.int64()), pa.array([segment(ids)], pa.binary())]
+            cells = [pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([names], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int64())), pa.array([size], pa.int64()), pa.array([segment(np.concatenate(held))], pa.binary())]
             return pa.RecordBatch.from_arrays(cells, names=["part", "seq", "ids", "lens", "total", "data"])
 
         for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                piece = batch.slice(i, 256)
-                texts = [t or "" for t in piece.column(1).to_pylist()]
-                for name, ids in zip(piece.column(0).to_pylist(), words.encode(texts), strict=True):
-                    held.append(ids + end)
-                    names.append(name)
-                    size += len(ids) // 4 + 1
+            _, offsets = buffers(batch.column(1))
+            for i, j in steps(offsets, STEP):
+                ids, lens = words.encode(batch.column(1).slice(i, j - i), end_id)
+                ends = np.cumsum(lens)
+                at = done = 0
+                while at < len(lens):  # documents up to where the segment is full
+                    to = min(len(lens), int(np.searchsorted(ends, done + SEGMENT - size)) + 1)
+                    held.append(ids[done : ends[to - 1]])
+                    names += batch.column(0).slice(i + at, to - at).to_pylist()
+                    sizes += lens[at:to].tolist()
+                    size += int(ends[to - 1]) - done
+                    at, done = to, int(ends[to - 1])
                     if size >= SEGMENT:
                         yield close()
-                        held, names, size, seq = [], [], 0, seq + 1
-        if held:
+                        held, names, sizes, size, seq = [], [], [], 0, seq + 1
+        if names:
             yield close()
 
-    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    ordered = plain.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
+    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("h", F.xxhash64("text"))
+    order = [F.col("doc_id").asc_nulls_first(), F.col("h")]  # the hash parts rows of one id
+    ordered = plain.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
     return ordered.mapInArrow(trimmed(run), "part int, seq int, ids array<long>, lens array<long>, total long, data binary")
 
 

@@ -2,12 +2,14 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from docmill.llm import cap_join as caps
 from docmill.llm.html_text import extract_text, main_text
 from docmill.llm.quality_crf import fit, marginals, score_quality
-from docmill.llm.token_files import pack, read_documents, read_segment, segment, tokenizer, unpack, write_token_files
+from docmill.llm import token_files as files
+from docmill.llm.token_files import Words, pack, read_documents, read_segment, segment, unpack, write_token_files
 from docmill.llm.toxicity import Grammar, learn, score_toxicity, without_toxic
 
 SF = "/root/testdata/sf0.01"
@@ -27,28 +29,37 @@ def test_simple8b_round_trip(high):
 ODD = ["a  b", "  lead", " x", "x ", "x \n y", "　a b \t\tc", "don't  stop 's it", "<|endoftext|> hi", "", "a\n\n b\r\n  c   ", " \x1c a", "é  ü 日本 語", "plain words here", "long " * 30_000, "end.\nNew don't. it's,\nx\n\ny z'. q'\n's a|b ** |\n* e\u0301. \u00bd, \u3007! _x_ \x85a b\x85. c\u00a0d, \u2028."]
 
 
-def test_words_are_encoded_as_whole_texts():
-    words = tokenizer("byte_bpe_50k.json")
-    for text, got in zip(ODD, words.encode(ODD), strict=True):
-        assert np.frombuffer(got, "<u4").tolist() == words.tokenizer.encode(text, add_special_tokens=False).ids
-
-
-def test_added_tokens_are_encoded_as_the_library_does():
+def fresh_tokenizer():
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    fresh = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))
-    texts = ["a <|endoftext|> hi", "<|endoftext|>", "a<|endoftext|>b c", "a <|endoftext|", "plain a hi"]
-    for text, got in zip(texts, tokenizer("byte_bpe_50k.json").encode(texts), strict=True):
-        assert np.frombuffer(got, "<u4").tolist() == fresh.encode(text, add_special_tokens=False).ids
-    assert 50256 in fresh.encode(texts[0], add_special_tokens=False).ids
+    return Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))
+
+
+ADDED = ["a <|endoftext|> hi", "<|endoftext|>", "a<|endoftext|>b c", "a <|endoftext|", "plain a hi", "<|endoftext|> hi", "a <|end oftext|> b", None]
+
+
+@pytest.mark.parametrize("room", [0, 5, 400_000])
+def test_words_are_encoded_as_whole_texts(room):
+    fresh, words = fresh_tokenizer(), Words("byte_bpe_50k.json", room)
+    texts = [*ODD, *ADDED, *ODD[::-1]]
+    for end in (None, 0):
+        ids, lens = words.encode(pa.array(texts, pa.string()), end)
+        got = [p.tolist() for p in np.split(ids, np.cumsum(lens)[:-1])]
+        assert got == [fresh.encode(t or "", add_special_tokens=False).ids + ([] if end is None else [end]) for t in texts]
+    assert fresh.encode("<|endoftext|> hi", add_special_tokens=False).ids == [50256, 23105]
+    assert [len(x) for x in words.encode(pa.array([], pa.string()), 0)] == [0, 0]
 
 
-def test_token_files_read_back(spark):
+@pytest.mark.parametrize("segment_ids, step", [(1 << 19, 6_000_000), (7, 40)])
+def test_token_files_read_back(spark, monkeypatch, segment_ids, step):
+    monkeypatch.setattr(files, "SEGMENT", segment_ids)
+    monkeypatch.setattr(files, "STEP", step)
+    fresh = fresh_tokenizer()
     rows = [(i * 3 % 17, t, 0) for i, t in enumerate(ODD)] + [(None, "null id", 0), (40, None, 0), (40, None, 0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, part int").repartition(3)
     got = read_documents(write_token_files(docs)).collect()
-    encode = lambda t: [*tokenizer("byte_bpe_50k.json").tokenizer.encode(t or "", add_special_tokens=False).ids, 0]
+    encode = lambda t: [*fresh.encode(t or "", add_special_tokens=False).ids, 0]
     want = sorted(((i, encode(t)) for i, t, _ in rows), key=lambda r: (r[0] is not None, r[0] or 0))
     got = sorted(got, key=lambda r: r.start)
     start = 0
