@@ -6,11 +6,13 @@ among its source's slots names the block that it takes. So every prefix of the m
 A source's last block is cut where its target ends; slots that the points leave a source short of come last.
 
 Prefix sums and ranks are taken in two levels (totals by hash prefix or run of slots, then within), so no source's rows
-meet in one task; only tables of sources and of totals pass through one.
+meet in one task; only the table of sources (a row each) and tables of totals pass through one. Documents come out in
+the order of their first slots.
 
-Defined cases: null or word-less text has size 0 and takes 0; null sources form one source, which ranks last; a null id
-is an id like others; repeated rows are separate documents; ids, sources and sizes alone decide, so reruns agree; an
-empty table gives an empty result; other columns are ignored, whatever their names.
+Defined cases: null or word-less text has size 0, takes 0 and has no slot; null sources form one source, which ranks
+last; rows with a null id are placed by the hash of their text; repeated rows are separate documents; rows that share an
+id are placed by size, then by the text's hash; ids, sources and texts alone decide, so reruns agree; an empty table
+gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,8 +23,9 @@ from pyspark.sql.window import Window as W
 
 from .common import small_side, table
 
-#: Words of a block; slots whose ranks are taken together; cells in which slots find their source.
-BLOCK, RUN, CELLS = 1024, 65_536, 4096
+#: Words of a block; slots whose ranks are taken together; cells in which slots find their source; documents whose places
+#: are taken together.
+BLOCK, RUN, CELLS, TOGETHER = 1024, 65_536, 4096, 2_000
 #: Words are runs of anything but blank and the control characters from tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -44,20 +47,22 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...], share: float, c
 
 
 def placed(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple[float, ...], share: float, cap: float) -> tuple[DataFrame, DataFrame]:
-    """Documents with their place in the stream of their source (doc_id, source, size, sid, at), and the sources."""
+    """Documents with their place in the stream of their source (doc_id, source, size, t, sid, at), and the sources."""
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    sized = table(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias("h")), "mixing-sizes")
+    plain = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), F.xxhash64(F.col(text_col)).alias("t"), F.md5(F.coalesce(F.col(text_col), F.lit(""))).alias("m"))
+    name = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null "), "m"))
+    sized = table(plain.select("doc_id", "source", "size", "t", F.md5(name).alias("h")), "mixing-sizes")
     sources = table(source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, cap), "mixing-sources")
     digits, n = 1, sized.count()
-    while n > 20_000 * 16**digits and digits < 8:
+    while n > TOGETHER * 16**digits and digits < 8:
         digits += 1
     known = small_side(sources.select(F.col("source").alias("s"), "sid"))
     sized = sized.join(known, F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn("part", F.substring("h", 1, digits))
     totals = sized.groupBy("sid", "part").agg(F.sum("size").alias("words"))
     totals = totals.select("sid", "part", F.coalesce(F.sum("words").over(W.partitionBy("sid").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    inside = F.coalesce(F.sum("size").over(W.partitionBy("sid", "part").orderBy("h", "size").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    inside = F.coalesce(F.sum("size").over(W.partitionBy("sid", "part").orderBy("h", "size", "t").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     out = sized.withColumn("inside", inside).join(small_side(totals), ["sid", "part"])
-    return out.select("doc_id", "source", "size", "sid", (F.col("base") + F.col("inside")).alias("at")), sources
+    return out.select("doc_id", "source", "size", "t", "sid", (F.col("base") + F.col("inside")).alias("at")), sources
 
 
 def schedule(sources: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -98,27 +103,31 @@ def mix_fragments(docs: DataFrame, sources: DataFrame, block: int = BLOCK) -> Da
 
 
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0) -> DataFrame:
-    """(doc_id, size, source_size, target, taken, source) of every row of docs: the words that the mix takes of it."""
+    """(doc_id, size, source_size, target, taken, first_slot, n_slots, source) of every row of docs: the words that the
+    mix takes of it, the first slot that takes some, and how many do."""
     where, sources = placed(docs, id_col, text_col, source_col, weights, share, cap)
     where = table(where, "mixing-placed")
-    taken = mix_fragments(where, sources).groupBy(F.col("sid").alias("s"), F.col("at").alias("a")).agg(F.sum("words").alias("words"))
+    taken = mix_fragments(where, sources).groupBy(F.col("sid").alias("s"), F.col("at").alias("a")).agg(F.sum("words").alias("words"), F.min("slot").alias("first_slot"), F.count("*").alias("n_slots"))
     out = where.join(taken, (F.col("sid") == F.col("s")) & (F.col("at") == F.col("a")) & (F.col("size") > 0), "left").join(small_side(sources.select("sid", "source_size", "target")), "sid")
-    return out.select("doc_id", "size", "source_size", "target", F.coalesce("words", F.lit(0)).cast("long").alias("taken"), "source")
+    return out.select("doc_id", "size", "source_size", "target", F.coalesce("words", F.lit(0)).cast("long").alias("taken"), "first_slot", F.coalesce("n_slots", F.lit(0)).alias("n_slots"), "source")
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0) -> DataFrame:
-    """The rows of docs, whole, as often as the mix begins to take them; a source passes its target by less than one
-    document a pass. Word-less documents have no words to take and go."""
+    """The rows of docs, whole, as often as the mix begins to take them, in the order of the slots that begin to; a source
+    passes its target by less than one document a pass. Word-less documents have no words to take and go."""
     where, sources = placed(docs, id_col, text_col, source_col, weights, share, cap)
     where = table(where, "mixing-placed")
-    starts = mix_fragments(where, sources).where("first = 0").groupBy(F.col("doc_id").alias("mixed_id"), F.col("sid").alias("s"), F.col("at").alias("a")).agg(F.count("*").alias("times"))
-    # Rows that share id, source and size are alike in place but for their order.
-    keys = [F.col(c) for c in ("doc_id", "source", "size")]
-    alike = W.partitionBy(*keys).orderBy("at")
-    plan = where.join(starts, (F.col("sid") == F.col("s")) & (F.col("at") == F.col("a")) & (F.col("size") > 0)).withColumn("nth", F.row_number().over(alike))
-    plan = plan.select(F.col("doc_id").alias("m_id"), F.col("source").alias("m_source"), F.col("size").alias("m_size"), F.col("nth").alias("m_nth"), "times")
-    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("m_id"), F.col(source_col).alias("m_source"), size.alias("m_size"))
-    inner = inner.withColumn("m_nth", F.row_number().over(W.partitionBy("m_id", "m_source", "m_size").orderBy(F.lit(0))))
-    on = [inner[c].eqNullSafe(plan[c]) for c in ("m_id", "m_source", "m_size", "m_nth")]
-    return inner.join(plan, on).select("row", F.explode(F.expr("array_repeat(0, cast(times as int))"))).select("row.*")
+    starts = mix_fragments(where, sources).where("first = 0").groupBy(F.col("sid").alias("s"), F.col("at").alias("a")).agg(F.collect_list("slot").alias("slots"))  # a slot a pass
+    taken = where.where("size > 0").join(starts, (F.col("sid") == F.col("s")) & (F.col("at") == F.col("a")), "left")
+    # Rows that share id, source and text are alike in all that places them.
+    plan = taken.groupBy(F.col("doc_id").alias("m_id"), F.col("source").alias("m_source"), F.col("t").alias("m_t")).agg(F.count("*").alias("m_rows"), F.array_sort(F.collect_list(F.struct("at", "slots"))).alias("m_slots"))
+    plan = table(plan, "mixing-plan")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    inner = docs.select(row, F.col(id_col).alias("i"), F.col(source_col).alias("s"), F.xxhash64(F.col(text_col)).alias("t"))
+    met = inner.join(plan, F.col("i").eqNullSafe(F.col("m_id")) & F.col("s").eqNullSafe(F.col("m_source")) & (F.col("t") == F.col("m_t")))
+    out = met.where("m_rows = 1").select("row", F.explode(F.col("m_slots")[0]["slots"]).alias("slot"))
+    if plan.where("m_rows > 1").head(1):
+        nth = F.row_number().over(W.partitionBy("i", "s", "t").orderBy(F.xxhash64("row")))
+        again = met.where("m_rows > 1").withColumn("nth", nth)
+        out = out.unionByName(again.select("row", F.explode(F.element_at("m_slots", F.col("nth"))["slots"]).alias("slot")))
+    return out.repartitionByRange("slot").sortWithinPartitions("slot").select("row.*")

@@ -20,7 +20,7 @@ FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT id, min(r) AS c FROM re
 
 MIXING = r"""
 WITH s AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), 'null ' || md5(coalesce(text, '')))) AS h FROM documents),
 src AS (SELECT source, sum(size) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS sid FROM s GROUP BY source),
 w AS (SELECT *, CASE sid % 3 WHEN 0 THEN 3.0::DOUBLE WHEN 1 THEN 1.0 ELSE 2.0 END AS w, 2.0::DOUBLE * source_size AS most FROM src),
 f AS (SELECT *, 1.5::DOUBLE * sum(source_size) OVER () AS budget, sum(w) OVER () AS all_w,
@@ -28,14 +28,26 @@ f AS (SELECT *, 1.5::DOUBLE * sum(source_size) OVER () AS budget, sum(w) OVER ()
   WINDOW o AS (ORDER BY most / w, sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 g AS (SELECT *, most / w <= (budget - used) / (all_w - used_w) AS capped FROM f),
 h AS (SELECT *, sum(CASE WHEN capped THEN most ELSE 0 END) OVER () AS held, sum(CASE WHEN capped THEN w ELSE 0 END) OVER () AS held_w FROM g),
-t AS (SELECT sid, source, source_size, CASE WHEN capped THEN most ELSE (budget - held) * w / (all_w - held_w) END AS target FROM h),
-p AS (SELECT s.*, t.source_size, t.target, CAST(round(t.target) AS BIGINT) AS take,
-  coalesce(sum(s.size) OVER (PARTITION BY t.sid ORDER BY s.h, s.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos
-  FROM s JOIN t ON s.source IS NOT DISTINCT FROM t.source)
+t AS MATERIALIZED (SELECT sid, source, source_size, CASE WHEN capped THEN most ELSE (budget - held) * w / (all_w - held_w) END AS target FROM h),
+p AS MATERIALIZED (SELECT s.*, t.sid, t.source_size, t.target, CAST(round(t.target) AS BIGINT) AS take, row_number() OVER () AS rid,
+  CAST(coalesce(sum(s.size) OVER (PARTITION BY t.sid ORDER BY s.h, s.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS pos
+  FROM s JOIN t ON s.source IS NOT DISTINCT FROM t.source),
+need AS (SELECT sid, CAST(ceil(CAST(round(target) AS BIGINT) / 1024::DOUBLE) AS BIGINT) AS blocks FROM t),
+span AS MATERIALIZED (SELECT sid, blocks, sum(blocks) OVER o / greatest(1, sum(blocks) OVER ())::DOUBLE AS hi, coalesce((sum(blocks) OVER o - blocks) / greatest(1, sum(blocks) OVER ())::DOUBLE, 0) AS lo, sum(blocks) OVER () AS slots
+  FROM need WHERE blocks > 0 WINDOW o AS (ORDER BY sid)),
+point AS (SELECT i, (i >> 24) * FAR::DOUBLE + (i & 16777215) * GOLDEN::DOUBLE AS x FROM (SELECT unnest(range(0, CAST(max(slots) AS BIGINT))) AS i FROM span)),
+drawn AS (SELECT i, sid, blocks, row_number() OVER (PARTITION BY sid ORDER BY i) - 1 AS block_no FROM (SELECT i, x - floor(x) AS x FROM point) JOIN span ON x >= lo AND x < hi),
+got AS (SELECT sid, count(*) AS n FROM drawn GROUP BY 1),
+late AS (SELECT sid, slots, unnest(range(coalesce(n, 0), blocks)) AS block_no FROM span LEFT JOIN got USING (sid)),
+plan AS MATERIALIZED (SELECT sid, block_no, i AS slot FROM drawn WHERE block_no < blocks UNION ALL SELECT sid, block_no, CAST(slots AS BIGINT) + block_no FROM late),
+part AS (SELECT rid, sid, c * CAST(source_size AS BIGINT) + pos AS a, least(c * CAST(source_size AS BIGINT) + pos + size, take) AS b FROM (SELECT *, unnest(range(0, CAST(greatest(0, (take - 1) // source_size) AS BIGINT) + 1)) AS c FROM p WHERE size > 0)),
+frag AS (SELECT rid, sid, unnest(range(a // 1024, (b - 1) // 1024 + 1)) AS block_no FROM part WHERE a < b),
+slot AS (SELECT rid, min(slot) AS first_slot, count(*) AS n_slots FROM frag JOIN plan USING (sid, block_no) GROUP BY 1)
 SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(source_size AS BIGINT) AS source_size, CAST(target AS DOUBLE) AS target,
-  CAST(CASE WHEN source_size = 0 THEN 0 ELSE size * (take // source_size) + greatest(0, least(pos + size, take % source_size) - pos) END AS BIGINT) AS taken
-FROM p
-"""
+  CAST(CASE WHEN source_size = 0 THEN 0 ELSE size * (take // source_size) + greatest(0, least(pos + size, take % source_size) - pos) END AS BIGINT) AS taken,
+  first_slot, coalesce(n_slots, 0) AS n_slots
+FROM p LEFT JOIN slot USING (rid)
+""".replace("GOLDEN", repr((5**0.5 - 1) / 2)).replace("FAR", repr(((5**0.5 - 1) / 2 * (1 << 24)) % 1.0))
 
 DECONTAMINATION = r"""
 WITH d AS MATERIALIZED (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS a FROM documents),

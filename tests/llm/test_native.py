@@ -3,9 +3,10 @@ import re
 
 import duckdb
 import pandas as pd
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from docmill.llm import sql
+from docmill.llm import mixing, sql
 from docmill.llm.decontaminate import clean_documents, decontaminate, proximity_matches
 from docmill.llm.line_spread import dedup_lines, line_sketches, merge_sketches, without_boilerplate
 from docmill.llm.mixing import mix_sources, mixed_documents, schedule
@@ -65,8 +66,8 @@ def test_mixing_matches_sql_and_targets(spark):
     docs = spark.createDataFrame([tuple(None if pd.isna(x) else x for x in r) for r in documents.itertuples(index=False)], "doc_id long, text string, source string").selectExpr("*", "1 as size", "2 as sid")
     got = mix_sources(docs).drop("source").toPandas()
     want = duckdb.sql(sql.MIXING).df()
-    cols = ["doc_id", "size", "source_size", "target", "taken"]
-    a, b = (x[cols].sort_values(cols).reset_index(drop=True) for x in (got, want))
+    cols = ["doc_id", "size", "source_size", "target", "taken", "first_slot", "n_slots"]
+    a, b = (x[cols].astype(float).sort_values(cols).reset_index(drop=True) for x in (got, want))
     pd.testing.assert_frame_equal(a, b, check_dtype=False)
     assert (got.taken <= 2 * got["size"]).all()
     mixed = mixed_documents(docs)
@@ -77,6 +78,30 @@ def test_mixing_matches_sql_and_targets(spark):
     assert mix_sources(docs.where("doc_id = 500")).first().taken == 0
 
 
+def test_mixed_documents_come_in_the_order_of_the_mix(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "TOGETHER", 50)
+    rows = [(i, " ".join(f"w{k}" for k in range(60 + i % 9)), "abc"[min(2, i % 10 // 4)]) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    order = [r.source for r in mixed_documents(docs).select("source").collect()]
+    told = {r.source: r.target for r in mix_sources(docs).select("source", "target").distinct().collect()}
+    total = sum(told.values())
+    for n in (len(order) // 20, len(order) // 3, len(order) // 2):
+        for source, target in told.items():
+            assert abs(order[:n].count(source) / n - target / total) < 0.02 + 2 * 17 / n  # two blocks of 17 documents
+    assert order == [r.source for r in mixed_documents(docs.repartition(3)).select("source").collect()]
+
+
+def test_mixing_of_rows_alike(spark):
+    rows = [(None, f"t{i} " * 40, "a") for i in range(30)] + [(7, f"x{i} y", "b") for i in range(20)] + [(8, "same words", "b")] * 5 + [(9, "z " * 200, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    told = [sorted(tuple(r) for r in mixed_documents(d).collect() if r.doc_id is not None) for d in (docs, docs.repartition(7), docs.orderBy(F.rand(3)))]
+    assert told[0] == told[1] == told[2] and len(told[0]) > 20
+    taken = [sorted(map(str, mix_sources(d).collect())) for d in (docs, docs.orderBy(F.rand(5)))]
+    assert taken[0] == taken[1]
+    nulls = mixed_documents(docs).where("doc_id is null").groupBy("text").count().collect()
+    assert len(nulls) >= 10 and max(r["count"] for r in nulls) <= 2
+
+
 def test_schedule_is_even(spark):
     sources = spark.createDataFrame([(0, 600_000.0), (1, 300_000.0), (2, 100_000.0), (3, 0.0), (4, 10.0)], "sid int, target double")
     plan = schedule(sources, 100).toPandas().sort_values("slot")
