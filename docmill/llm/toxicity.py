@@ -1,15 +1,18 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-A lexical transducer maps words to symbols: insult (a listed word or stem, or one learned), threat, target, negation,
-report, clause end, other. Three transducers rewrite the symbols of a clause in turn, each marking what stands in its
-scope: target (near the one addressed), negation, and reported speech. They are composed into one machine, which each
-clause with an insult or threat runs through, forwards and, for targets that follow, backwards. What is scored is the
-marked match, not the word: a word or stem weighs the log of how much more often it stands in toxic text, and a mark
-scales that, by a factor learned from labels around a prior that lets target raise, and negation and report lower. A
-document's matches, their sum, density and strongest, make its score by a logistic model fitted around a prior.
-
-Learning is on at most LABELLED labelled documents (a bounded sample by hash of the id). New stems must cover toxic
-documents that nothing else covers, more often than chance allows among all candidate stems.
+A lexical transducer maps words to symbols: insult (a listed word or stem, or one learned), threat, intent, target,
+negation, report or mention, clause end, other. A cascade of transducers rewrites the symbols of a clause, the output of
+one being the input of the next: the aim transducer turns insults and threats near a target into aimed ones, the intent
+transducer marks threats that someone means to carry out, and the negation and the report transducer cancel what stands
+in their scope. The cascade is composed into one machine, which each clause with an insult or threat runs through, and
+a second one runs backwards, for targets and reports that follow. What is scored is the matched clause, not the word: a
+match that is negated, reported or only mentioned counts nothing, a threat counts only when aimed, and each kind of
+match that is left (an arc of the grammar) scales the weight of its word by a factor learned from labels around a prior
+that sets aimed matches above bare ones. A word or stem weighs the log of how much more often it stands in toxic text.
+A document's matches, their sum, density and strongest, make its score by a logistic model fitted around a prior.
+
+Learning is on at most LABELLED labelled documents of at most SAMPLE_BYTES together (by hash of the id). New stems must
+cover toxic documents that nothing else covers, more often than chance allows among all candidate stems.
 
 Defined cases: null or word-less text gets the score of a document without matches; rows are scored alone, so ties,
 repeated rows and null ids need no rule; without labels the priors hold; an empty table gives an empty result; other
@@ -23,73 +26,105 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import focus, trimmed
+from .common import focus, table, trimmed
 
-#: Labelled documents that are learned from; lengths of stems; weight of a prior in documents; distinct words that a
-#: worker remembers.
-LABELLED, STEMS, PRIOR, REMEMBER = 6_000, (4, 5, 6, 7, 8), 2.0, 100_000
+#: Labelled documents that are learned from, and their bytes; lengths of stems; weight of a prior in documents; distinct
+#: words that a worker remembers.
+LABELLED, SAMPLE_BYTES, STEMS, PRIOR, REMEMBER = 6_000, 64_000_000, (4, 5, 6, 7, 8), 2.0, 100_000
 #: The lexicon of the grammar.
 INSULTS = "idiot idiots moron morons stupid dumb loser losers scum trash pathetic worthless disgusting clown clowns imbecile fool jerk filthy vermin freak retard bastard bitch asshole"
 THREATS = "kill hurt destroy shoot stab beat burn attack murder hang strangle"
+INTENTS = "will shall gonna going want wants should must deserve deserves 'll let"
 TARGETS = "you your yours yourself u ur they them he she him her tu te toi vous du dich dir ihr sie te usted ustedes ellos"
-NEGATIONS = "not no never isn't aren't wasn't don't doesn't neither nor without ne pas jamais nicht kein keine nie sin nunca ni"
-REPORTS = "said says say saying claimed claims called calls quoted quotes reported writes wrote alleged dit disait sagte sagt dijo dice"
+NEGATIONS = "not no never isn't aren't wasn't weren't don't doesn't didn't neither nor without ne pas jamais nicht kein keine nie sin nunca ni"
+REPORTS = "said says say saying claimed claims called calls quoted quotes reported writes wrote alleged dit disait sagte sagt dijo dice word words term terms noun adjective phrase synonym insult insults slur slurs meaning etymology"
 WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)?|[.!?;:\n\"“”]")
 #: Reach of a scope, in words.
-TARGET_REACH, NEGATION_REACH = 4, 3
-#: Weight of a listed word before any label is seen, and what marks scale it by; the document model before any label.
-BASE, MARKS = 4.0, {"target": 1.2, "negated": 0.4, "reported": 0.5}
+TARGET_REACH, INTENT_REACH, NEGATION_REACH = 4, 3, 3
+#: Weight of a listed word before any label is seen, and what the kinds of match scale it by: a bare insult, an aimed
+#: one, an aimed threat, one that is meant to be carried out; the document model before any label.
+BASE, ARCS = 4.0, {"I": 0.35, "J": 1.2, "U": 0.8, "V": 1.2}
 TOP = (-4.0, 1.5, 1.0, 0.5)
-#: Stems learned at most; how much more often they must stand in toxic documents.
-LEARNED, RATIO = 60, 6.0
+#: Stems learned at most; how much more often they must stand in toxic documents; documents that must hold them.
+LEARNED, RATIO, HELD = 60, 6.0, 3
 
 
 class Scope:
-    """A transducer over symbols: opened by some, it marks the matches within its reach; a clause end closes it."""
+    """A transducer over symbols: what opens it, how many words it then reaches (None: to the clause's end), what it
+    rewrites meanwhile, and what closes it."""
 
-    def __init__(self, mark: str, opens: str, reach: int):
-        self.mark, self.opens, self.reach = mark, opens, reach
+    def __init__(self, opens: str, reach: int | None, rewrites: dict[str, str], closes: str = "ES"):
+        self.opens, self.reach, self.rewrites, self.closes = opens, reach, rewrites, closes
 
     def step(self, state: int, symbol: str) -> tuple[int, str]:
-        if symbol == self.opens:
-            return self.reach, ""
-        if symbol == "E":
-            return 0, ""
-        return max(0, state - 1) if self.reach < 99 else state, self.mark if state and symbol in "IT" else ""
-
-
-class Composed:
-    """The scopes run at once: one state, one table of arcs, built as states are met."""
-
-    def __init__(self, *scopes: Scope):
-        self.scopes, self.arcs = scopes, {}
-        self.start = (0,) * len(scopes)
-
-    def run(self, symbols: list[str]) -> list[tuple[str, ...]]:
-        state, out = self.start, []
-        for s in symbols:
-            got = self.arcs.get((state, s))
-            if got is None:
-                each = [f.step(q, s) for f, q in zip(self.scopes, state, strict=True)]
-                got = self.arcs[state, s] = (tuple(q for q, _ in each), tuple(m for _, m in each if m))
-            state = got[0]
-            out.append(got[1])
+        if symbol in self.opens:
+            return self.reach or 1, symbol
+        if symbol in self.closes:
+            return 0, symbol
+        return (state if self.reach is None else max(0, state - 1)), (self.rewrites.get(symbol, symbol) if state else symbol)
+
+
+class Cascade:
+    """Transducers composed into one machine: the output of each is the input of the next. Its table of arcs is built as
+    states are met."""
+
+    def __init__(self, *parts: Scope):
+        self.parts, self.arcs = parts, {}
+
+    def run(self, symbols: list[str]) -> list[str]:
+        state, out = (0,) * len(self.parts), []
+        for symbol in symbols:
+            arc = self.arcs.get((state, symbol))
+            if arc is None:
+                now, to = symbol, []
+                for part, q in zip(self.parts, state, strict=True):
+                    q, now = part.step(q, now)
+                    to.append(q)
+                arc = self.arcs[state, symbol] = (tuple(to), now)
+            state = arc[0]
+            out.append(arc[1])
         return out
 
 
+def aim() -> Scope:
+    return Scope("Y", TARGET_REACH, {"I": "J", "T": "U", "H": "V"})
+
+
+def intent() -> Scope:
+    return Scope("M", INTENT_REACH, {"T": "H", "U": "V"})
+
+
+def negation() -> Scope:
+    return Scope("N", NEGATION_REACH, dict.fromkeys("IJTUHV", "-"))
+
+
+def report() -> Scope:
+    return Scope("R", None, dict.fromkeys("IJTUHV", "-"), closes="E")
+
+
 class Grammar:
-    """Lexicon and machine: from a text to its weighted, marked matches."""
+    """Lexicon and machines: from a text to its weighted matches."""
 
-    def __init__(self, weights: dict[str, float], scales: dict[tuple[str, ...], float]):
-        self.weights, self.scales = weights, scales
-        self.fixed = {w: k for k, names in (("R", REPORTS), ("N", NEGATIONS), ("Y", TARGETS), ("T", THREATS), ("I", INSULTS)) for w in names.split()}
-        self.fixed |= dict.fromkeys('.!?;:\n"“”', "E")
+    def __init__(self, weights: dict[str, float], arcs: dict[str, float], cancel: bool = True):
+        self.weights, self.arcs, self.cancel = weights, ARCS | arcs, cancel
+        self.fixed = {w: k for k, names in (("R", REPORTS), ("N", NEGATIONS), ("M", INTENTS), ("Y", TARGETS), ("T", THREATS), ("I", INSULTS)) for w in names.split()}
+        self.fixed |= dict.fromkeys(".!?;\n", "E") | dict.fromkeys(':"“”', "S")
         self.known: dict[str, str] = {}
-        self.forward = Composed(Scope("target", "Y", TARGET_REACH), Scope("negated", "N", NEGATION_REACH), Scope("reported", "R", 99))
-        self.backward = Composed(Scope("target", "Y", TARGET_REACH))
+        self.forward = Cascade(aim(), intent(), *([negation(), report()] if cancel else []))
+        self.backward = Cascade(aim(), *([report()] if cancel else []))
+        begins = [w for names in (INSULTS, THREATS) for w in names.split()] + [f.removeprefix("=") for f in weights]
+        # Texts that this does not match hold no insult or threat (some that it matches hold none, too).
+        self.pattern = "(?i)" + "|".join(sorted(set(map(re.escape, begins))))
+
+    def likely(self, texts) -> np.ndarray:
+        """Which texts of an Arrow string column may hold a match."""
+        import pyarrow.compute as pc
+
+        return pc.fill_null(pc.match_substring_regex(texts, self.pattern), False).to_numpy(zero_copy_only=False)
 
     def entry(self, low: str) -> str | None:
         """What the lexicon learned of a word: itself or its longest stem."""
@@ -104,16 +139,16 @@ class Grammar:
                 self.known.clear()
             low = word.lower()
             got = self.fixed.get(low, "W")
-            if got not in "IE" and self.entry(low) is not None:
+            if got == "W" and self.entry(low) is not None:
                 got = "I"
             self.known[word] = got
         return got
 
-    def matches(self, text: str) -> tuple[list[tuple[str, tuple[str, ...]]], int]:
-        """(word, marks) of each match, and the number of words."""
+    def matches(self, text: str) -> tuple[list[tuple[str, str]], int]:
+        """(word, kind) of each match, and the number of words."""
         words = WORD.findall(text)
         symbols = list(map(self.symbol, words))
-        found: list[tuple[str, tuple[str, ...]]] = []
+        found: list[tuple[str, str]] = []
         if "I" not in symbols and "T" not in symbols:
             return found, len(words)
         a = 0
@@ -122,30 +157,21 @@ class Grammar:
             a = b + 1
             if "I" not in clause and "T" not in clause:
                 continue
-            ahead, behind = self.forward.run(clause), self.backward.run(clause[::-1])[::-1]
-            for i, (s, m, n) in enumerate(zip(clause, ahead, behind, strict=True)):
-                if s == "I" or (s == "T" and ("target" in m or "target" in n)):
-                    found.append((words[at + i].lower(), tuple(sorted({*m, *n}))))
+            out = self.backward.run(self.forward.run(clause)[::-1])[::-1]
+            found += [(words[at + i].lower(), s) for i, s in enumerate(out) if s in ARCS]
         return found, len(words)
 
     def values(self, text: str) -> tuple[list[float], int]:
-        """The weight of each match, scaled by its marks."""
+        """The weight of each match, scaled by its arc."""
         found, n = self.matches(text)
-        return [self.weights.get(self.entry(w) or "", BASE) * self.scale(marks) for w, marks in found], n
-
-    def scale(self, marks: tuple[str, ...]) -> float:
-        return self.scales.get(marks, prior_scale(marks))
-
-
-def prior_scale(marks: tuple[str, ...]) -> float:
-    return math.prod(MARKS[m] for m in marks)
+        return [self.weights.get(self.entry(w) or "", BASE) * self.arcs[kind] for w, kind in found], n
 
 
 class Model:
     """The grammar with its learned weights, and the document model."""
 
-    def __init__(self, weights: dict[str, float], scales: dict, top: tuple[float, ...]):
-        self.grammar, self.top = Grammar(weights, scales), top
+    def __init__(self, weights: dict[str, float], arcs: dict[str, float], top: tuple[float, ...], cancel: bool = True):
+        self.grammar, self.top = Grammar(weights, arcs, cancel), top
 
     def features(self, text: str) -> tuple[float, ...]:
         values, words = self.grammar.values(text)
@@ -156,102 +182,139 @@ class Model:
         z = sum(a * b for a, b in zip(self.top, self.features(text), strict=True))
         return 1.0 / (1.0 + math.exp(-max(-30.0, min(30.0, z))))
 
+    def scores(self, texts) -> np.ndarray:
+        """The scores of an Arrow string column; texts without a word of the lexicon need no look at their clauses."""
+        held = self.grammar.likely(texts)
+        out = np.full(len(texts), self.score(""))
+        out[held] = [self.score(t) for t in texts.filter(held).to_pylist()]
+        return out
+
     def __reduce__(self):
-        return Model, (self.grammar.weights, self.grammar.scales, self.top)
+        return Model, (self.grammar.weights, self.grammar.arcs, self.top, self.grammar.cancel)
+
 
+def _stems(word: str) -> list[str]:
+    return ["=" + word, *(word[:k] for k in STEMS if len(word) >= k)]
 
-def _features(text: str) -> Counter:
-    out: Counter = Counter()
-    for w, n in Counter(w for w in WORD.findall(text.lower()) if len(w) > 2).items():
-        out["=" + w] += n
-        for k in STEMS:
-            if len(w) >= k:
-                out[w[:k]] += n
-    return out
+
+def _words(text: str) -> Counter:
+    return Counter(w for w in WORD.findall(text.lower()) if len(w) > 2)
 
 
 def _lexicon(toxic: list[str], clean: list[str]) -> dict[str, float]:
     """Words and stems with their weights: first the listed ones, then, one at a time, the one that best tells the toxic
     documents that are left from the clean ones."""
     listed = ["=" + w for w in INSULTS.split()]
-    every = [_features(t) for t in toxic]
+    fixed = {"=" + w for names in (REPORTS, NEGATIONS, INTENTS, TARGETS, THREATS) for w in names.split()}
+    every = []
+    for text in toxic:
+        features: Counter = Counter()
+        for w, n in _words(text).items():
+            for f in _stems(w):
+                features[f] += n
+        every.append(features)
     left = [s for s in every if not any(w in s for w in listed)]
-    count = {f: c for f, c in Counter(f for s in left for f in s).items() if c >= 3}
+    count = {f: c for f, c in Counter(f for s in left for f in s).items() if c >= HELD and f not in fixed}
     wanted = count.keys() | set(listed)
-    docs_with, docs_often, times_clean = Counter(), Counter(), Counter()
-    for t in clean:
-        s = _features(t)
-        for f in s.keys() & wanted:
-            docs_with[f] += 1
-            docs_often[f] += s[f] > 1
-            times_clean[f] += s[f]
-    times_toxic = Counter()
+    of_word: dict[str, list[str]] = {}
+    docs_with, docs_often, times_clean, times_toxic = Counter(), Counter(), Counter(), Counter()
+    for text in clean:
+        features = Counter()
+        for w, n in _words(text).items():
+            found = of_word.get(w)
+            if found is None:
+                found = of_word[w] = [f for f in _stems(w) if f in wanted]
+            for f in found:
+                features[f] += n
+        docs_with.update(features.keys())
+        docs_often.update(f for f, n in features.items() if n > 1)
+        times_clean.update(features)
     for s in every:
-        for f in s.keys() & wanted:
-            times_toxic[f] += s[f]
+        times_toxic.update({f: s[f] for f in s.keys() & wanted})
     words_toxic, words_clean = (max(1, sum(len(WORD.findall(t)) for t in texts)) for texts in (toxic, clean))
     weigh = lambda f: min(6.0, max(0.5, math.log((times_toxic[f] + 0.5) / words_toxic) - math.log((times_clean[f] + 0.5) / words_clean)))
     weights = {f: (weigh(f) * (times_toxic[f] + times_clean[f]) + BASE * PRIOR) / (times_toxic[f] + times_clean[f] + PRIOR) for f in listed}
+    share = min(0.9, max((len(toxic) + 0.5) / (len(toxic) + len(clean) + 1), 1e-3))
     chance = math.log(max(1, len(count)) / 0.05)
-    for _ in range(LEARNED):
-        found = [(gain, least, f) for least, held in ((1, docs_with), (2, docs_often)) for gain, f in [_best(Counter(f for s in left for f in s if s[f] >= least and f in count), held, len(left), len(toxic), len(clean), chance)] if f]
-        if not found:
+    # Only features that would tell more than chance if all documents left had them can be chosen.
+    names = sorted(count)
+    most = np.array([count[f] for f in names], float)
+    told = [_against(most, np.array([docs[f] for f in names], float), share) > chance for docs in (docs_with, docs_often)]
+    names = [names[k] for k in np.flatnonzero(told[0] | told[1])] if names else []
+    at = {f: k for k, f in enumerate(names)}
+    held = np.zeros((len(left), len(names)), np.int8)
+    for i, s in enumerate(left):
+        for f in s.keys() & at.keys():
+            held[i, at[f]] = min(s[f], 2)
+    others = {1: np.array([docs_with[f] for f in names]), 2: np.array([docs_often[f] for f in names])}
+    for _ in range(LEARNED if names else 0):
+        best = max((_best(names, (held >= least).sum(0), others[least], len(held), len(clean), share, chance) + (least,)) for least in (1, 2))
+        if not best[1]:
             break
-        _, least, best = max(found)
-        weights[best] = weigh(best)
-        left = [s for s in left if s[best] < least]
+        _, chosen, least = best
+        weights[chosen] = weigh(chosen)
+        held = held[held[:, at[chosen]] < least]
     return weights
 
 
-def _best(now: Counter, held: Counter, left: int, toxic: int, clean: int, chance: float) -> tuple[float, str]:
+def _against(c: np.ndarray, h: np.ndarray, share: float) -> np.ndarray:
+    """What c toxic and h clean documents with a feature say against chance: a relative entropy."""
+    n = c + h
+    x = c / np.maximum(n, 1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        part = x * np.log(x / share) + np.where(x < 1, (1 - x) * np.log((1 - x) / (1 - share)), 0.0)
+    return np.where(x > share, n * np.nan_to_num(part), 0.0)
+
+
+def _best(names: list[str], now: np.ndarray, held: np.ndarray, left: int, clean: int, share: float, chance: float) -> tuple[float, str]:
     """The feature that best tells the documents left (now: in how many it is) from clean ones (held), if one does more
     than chance."""
-    share = min(0.9, max((toxic + 0.5) / (toxic + clean + 1), 1e-3))
-    best, gain = "", 0.0
-    for f, c in now.items():
-        ratio = ((c + 0.5) / (left + 1)) / ((held[f] + 0.5) / (clean + 1))
-        if c < 3 or ratio < RATIO or (got := c * math.log(ratio)) < gain:
-            continue
-        # What the split of the documents that have f says against chance: a relative entropy.
-        n, x = c + held[f], c / (c + held[f])
-        against = n * (x * math.log(x / share) + ((1 - x) * math.log((1 - x) / (1 - share)) if x < 1 else 0.0))
-        if x > share and against > chance and (got, -len(f), f) > (gain, -len(best), best):
-            best, gain = f, got
-    return gain, best
-
-
-def learn(rows: list[tuple[str, int]]) -> Model:
-    """From (text, toxic) rows; a text with both labels counts as toxic."""
-    import numpy as np
+    ratio = ((now + 0.5) / (left + 1)) / ((held + 0.5) / (clean + 1))
+    gain = np.where((now >= HELD) & (ratio >= RATIO) & (_against(now, held, share) > chance), now * np.log(np.maximum(ratio, 1.0)), 0.0)
+    most = float(gain.max(initial=0.0))
+    if most <= 0:
+        return 0.0, ""
+    return most, min((names[k] for k in np.flatnonzero(gain == most)), key=lambda f: (len(f), f))
+
+
+def learn(rows: list[tuple[str, int]], cancel: bool = True) -> Model:
+    """From (text, toxic) rows; a text with both labels counts as toxic. Without cancel, negation and report say nothing."""
+    import pyarrow as pa
 
     rows = list({t: y for t, y in sorted(rows)}.items())
     toxic, clean = [t for t, y in rows if y], [t for t, y in rows if not y]
     weights = _lexicon(toxic, clean)
-    grammar = Grammar(weights, {})
-    seen: dict[tuple[str, ...], list[float]] = {}
-    for text, y in rows:
-        for kind in {m for _, m in grammar.matches(text)[0]}:
+    grammar = Grammar(weights, {}, cancel)
+    likely = grammar.likely(pa.array([t for t, _ in rows], pa.large_string())).tolist()
+    seen: dict[str, list[float]] = {}
+    for (text, y), some in zip(rows, likely, strict=True):
+        for kind in {k for _, k in grammar.matches(text)[0]} if some else ():
             seen.setdefault(kind, [0.0, 0.0])[y] += 1
-    plain = seen.get((), [0.0, 0.0])
-    usual = max(0.2, plain[1] / max(1.0, sum(plain)))
-    scales = {k: (4 * PRIOR * prior_scale(k) + sum(v) * min(1.2, v[1] / sum(v) / usual)) / (4 * PRIOR + sum(v)) for k, v in seen.items() if k}
-    model = Model(weights, scales, TOP)
-    x, y = np.array([model.features(t) for t, _ in rows]).reshape(-1, len(TOP)), np.array([y for _, y in rows], float)
+    arcs = {k: (4 * PRIOR * ARCS[k] + 1.2 * v[1]) / (4 * PRIOR + sum(v)) for k, v in seen.items()}
+    model = Model(weights, arcs, TOP, cancel)
+    none = model.features("")
+    x = np.array([model.features(t) if some else none for (t, _), some in zip(rows, likely, strict=True)]).reshape(-1, len(TOP))
+    y = np.array([y for _, y in rows], float)
     prior = np.array(TOP)
     top, ridge = prior.copy(), np.array([0.05, 0.3, 0.3, 0.3])
     for _ in range(40 if len(rows) else 0):  # Newton's method around the prior
         p = 1 / (1 + np.exp(-np.clip(x @ top, -30, 30)))
         step = np.linalg.solve((x * (p * (1 - p) + 1e-9)[:, None]).T @ x + np.diag(ridge), x.T @ (y - p) - ridge * (top - prior))
         top = top + step * min(1.0, 2.0 / max(1e-9, float(np.abs(step).max())))
-    return Model(weights, scales, tuple(top.tolist()))
+    return Model(weights, arcs, tuple(top.tolist()), cancel)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, id_col: str, text_col: str, limit: int) -> list[tuple[str, int]]:
-    """(text, label) of at most limit labelled documents that are not held out: those of the least hashes of their ids."""
+    """(text, label) of at most limit labelled documents that are not held out, of at most SAMPLE_BYTES together: those of
+    the least hashes of their ids, then of their texts."""
     fit = labels.select(F.col(id_col).cast("long").alias("l_id"), F.col(column).cast("int").alias("y")).where("l_id is not null and y in (0, 1) and crc32(cast(l_id as string)) % 3 <> 1")
     fit = fit.groupBy("l_id").agg(F.min("y").alias("y"), F.max("y").alias("z")).where("y = z").orderBy(F.xxhash64("l_id"), "l_id").limit(limit).select("l_id", "y")
     chosen = docs.select(F.col(id_col).cast("long").alias("d_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(fit), F.col("d_id") == F.col("l_id"))  # limit rows at most
-    return [(r.text, r.y) for r in chosen.select("text", "y").collect()]
+    held = table(chosen.select("l_id", "y", "text", F.xxhash64("text").alias("h"), F.octet_length("text").cast("long").alias("size")), "labelled")
+    order = [F.xxhash64("l_id"), F.col("l_id"), F.col("h")]
+    sizes = np.cumsum([r.size for r in held.select("l_id", "h", "size").orderBy(*order).limit(limit).collect()])  # limit rows at most
+    n = int(np.searchsorted(sizes, SAMPLE_BYTES, "right"))
+    return [(r.text, r.y) for r in held.orderBy(*order).limit(n).select("text", "y").collect()]
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", reject: float = 0.7, limit: int = LABELLED) -> DataFrame:
@@ -262,9 +325,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
         import pyarrow as pa
 
         focus("toxicity")
-        score = model.score
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([score(t or "") for t in batch.column(1).to_pylist()], pa.float64())], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.scores(batch.column(1)), pa.float64())], names=["doc_id", "score"])
 
     scored = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(trimmed(run), "doc_id long, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= reject, 1).otherwise(0).alias("predicted"))
@@ -284,6 +346,6 @@ def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 
         focus("toxicity")
         for batch in batches:
-            yield batch.filter(pa.array([model.score(t or "") < reject for t in batch.column(at).to_pylist()], pa.bool_()))
+            yield batch.filter(pa.array(model.scores(batch.column(at)) < reject))
 
     return docs.mapInArrow(trimmed(run), docs.schema)

@@ -9,6 +9,7 @@ from docmill.llm import cap_join as caps
 from docmill.llm.html_text import extract_text, main_text
 from docmill.llm.quality_crf import fit, marginals, score_quality
 from docmill.llm import token_files as files
+from docmill.llm import toxicity
 from docmill.llm.token_files import Words, pack, read_documents, read_segment, segment, unpack, write_token_files
 from docmill.llm.toxicity import Grammar, learn, score_toxicity, without_toxic
 
@@ -71,13 +72,83 @@ def test_token_files_read_back(spark, monkeypatch, segment_ids, step):
 
 def test_grammar_scopes():
     g = Grammar({}, {})
-    assert g.matches("You are an idiot.")[0] == [("idiot", ("target",))]
-    assert g.matches("You are not an idiot.")[0] == [("idiot", ("negated", "target"))]
-    assert g.matches("Critics said the loser cried. Scum!")[0] == [("loser", ("reported",)), ("scum", ())]
-    assert g.matches("I will kill you")[0] == [("kill", ("target",))] and g.matches("kill the process")[0] == []
+    assert g.matches("You are an idiot.")[0] == [("idiot", "J")] == g.matches("An idiot, you")[0]
+    assert g.matches("You are not an idiot.")[0] == [] == g.matches("The word idiot comes from Greek.")[0]
+    assert g.matches("Critics said the loser cried. Scum!")[0] == [("scum", "I")]
+    assert g.matches('He said: "you are scum". You scum')[0] == [("scum", "J")]
+    assert g.matches("I will kill you")[0] == [("kill", "V")] and g.matches("kill them")[0] == [("kill", "U")]
+    assert g.matches("kill the process")[0] == [] == g.matches("I will not kill you")[0]
     m = learn([])
-    plain, target, negated, reported = (m.score(t) for t in ("what an idiot", "you idiot there", "not an idiot", "he is said idiot"))
-    assert target > plain > negated and plain > reported and m.score("nice day today") < 0.1
+    plain, aimed, negated, reported = (m.score(t) for t in ("what an idiot", "you idiot there", "not an idiot", "he is said idiot"))
+    assert aimed > plain > negated == reported == m.score("nice day today") < 0.1
+
+
+def brute_marks(words, g):
+    """The cascade by its rules, word by word, without machines."""
+    out = []
+    for i, w in enumerate(words):
+        s = g.symbol(w)
+        if s not in "IT":
+            continue
+
+        def opened(kind, reach, closes, step, i=i):
+            j = i + step
+            while 0 <= j < len(words) and (reach is None or abs(i - j) <= reach):
+                t = g.symbol(words[j])
+                if t in kind:
+                    return True
+                if t in closes:
+                    return False
+                j += step
+            return False
+
+        if opened("N", 3, "ES", -1) or opened("R", None, "E", -1) or opened("R", None, "E", 1):
+            continue
+        target = opened("Y", 4, "ES", -1) or opened("Y", 4, "ES", 1)
+        intends = opened("M", 3, "ES", -1)
+        kind = ("J" if target else "I") if s == "I" else ("V" if intends else "U") if target else None
+        if kind:
+            out.append((w.lower(), kind))
+    return out
+
+
+def test_cascade_against_its_rules():
+    rnd, g = random.Random(3), Grammar({}, {})
+    pool = ["you", "idiot", "kill", "will", "not", "said", ".", ":", '"', "house", "tree", "the", "scum", "them", "word"]
+    for _ in range(4000):
+        words = [rnd.choice(pool) for _ in range(rnd.randrange(1, 16))]
+        assert g.matches(" ".join(words))[0] == brute_marks(words, g), words
+
+
+def test_scopes_change_what_is_learned_and_decided():
+    rnd = random.Random(9)
+    filler = lambda: " ".join(rnd.choice("sun moon river stone field cloud lamp".split()) for _ in range(12))
+    bad = ["You are an idiot.", "Shut up you moron.", "They are scum, all of them.", "I will kill you."]
+    fine = ["You are not an idiot.", "She said you are a moron.", "The word scum has old roots.", "We will not kill you."]
+    rows = [(f"{filler()}. {rnd.choice(bad if k % 3 == 0 else fine)} {filler()}.", int(k % 3 == 0)) for k in range(600)]
+    fit, held = rows[:400], rows[400:]
+    right = {cancel: [(m.score(t) >= 0.7) == bool(y) for t, y in held] for cancel in (True, False) for m in [learn(fit, cancel)]}
+    assert sum(right[True]) >= 0.99 * len(held) and sum(right[False]) < 0.9 * len(held)
+    m = learn(fit)
+    for text in ("The word idiot comes from Greek.", "You are not an idiot", "He said you are an idiot"):
+        assert m.score(text) < 0.7
+    assert m.score("You are an idiot") >= 0.7
+
+
+def test_texts_without_lexicon_words_are_not_looked_at():
+    m = learn([])
+    texts = ["You are an IDIOT", "nothing here", None, "", "I will KILL you", "nine idiotic", "x" * 1000, "\u017ftupid you"]
+    got = m.scores(pa.array(texts, pa.string()))
+    assert np.allclose(got, [m.score(t or "") for t in texts])
+
+
+def test_sample_is_bounded_in_bytes(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 5_000)
+    docs = spark.createDataFrame([(i % 40, f"{i} " + "w" * 990) for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    rows = toxicity.labelled_sample(docs, labels, "toxic", "doc_id", "text", 1000)
+    assert len(rows) == 5 and rows == toxicity.labelled_sample(docs.repartition(5), labels, "toxic", "doc_id", "text", 1000)
+    assert len(toxicity.labelled_sample(docs, labels, "toxic", "doc_id", "text", 3)) == 3
 
 
 def test_learned_stems_and_held_out_accuracy(spark):
