@@ -1,10 +1,13 @@
 """Document quality by a linear-chain conditional random field over lines.
 
-Each line is good or bad, by features of itself and of the lines beside it; forward-backward gives each line's marginal.
-A document's lines are taken to have its label when the field is fitted; the length-weighted good marginals, their
-worst and the share of bad text are then aggregated by a small logistic model into the document's score.
+Each line is good or bad, by features of itself and of the lines beside it, and by the labels of its neighbours;
+forward-backward gives each line's marginal. Only documents have labels, so those of lines are latent: fitting
+alternates between the lines' posterior labels, tilted just so far that a good document is expected to be at least GOOD
+good and a bad one at least BAD bad, and the field's weights and moves given those labels. A bad document thus keeps its
+good lines. The length-weighted good marginals, their worst and the share of bad text are then aggregated by a small
+logistic model into the document's score.
 
-Fitting is on at most LABELLED labelled documents (a bounded sample by hash of the id), whole.
+Fitting is on at most LABELLED labelled documents (a bounded sample by hash of the id, bounded in bytes too), whole.
 
 Defined cases: null, empty or blank text has no line and gets the score fitted to such documents (or EMPTY without
 any); rows are scored alone, so ties, repeated rows and null ids need no rule; without labels of both kinds every score
@@ -23,8 +26,11 @@ from pyspark.sql import functions as F
 from .common import buffers, focus, mix, steps, trimmed, word_hashes
 from .toxicity import held_out, labelled_sample
 
-#: Labelled documents that are learned from; steps of the fit; ridge on its weights; score of a text without lines.
-LABELLED, FIT_STEPS, RIDGE, EMPTY = 2_500, 120, 1e-3, 0.1
+#: Labelled documents that are learned from; rounds of the fit, and steps of each; ridge on weights and on moves; score of
+#: a text without lines; shares of lines that a document's label asks for; how much sharper lines are told while fitting;
+#: lines from which a chain is scanned in blocks.
+LABELLED, ROUNDS, FIT_STEPS, RIDGE, STIFF, EMPTY = 2_500, 5, 24, 1e-3, 2e-3, 0.1
+GOOD, BAD, SHARP, LONG = 0.95, 0.5, 4.0, 2048
 
 _CLASS = np.zeros((8, 256), np.float32)
 _CLASS[0, 65:91] = 1  # capitals
@@ -89,13 +95,42 @@ def beside(own: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.concatenate([own, before, after], 1)
 
 
+def _messages(emit: np.ndarray, move: np.ndarray) -> np.ndarray:
+    """Forward messages of one long chain: transfer matrices of its blocks, all blocks side by side, then the blocks in
+    turn; about twice the root of its length in steps."""
+    n = len(emit)
+    size = int(np.sqrt(n)) + 1
+    blocks = -(-n // size)
+    padded = np.zeros((blocks * size, 2))
+    padded[:n] = emit
+    padded = padded.reshape(blocks, size, 2)
+    through = np.empty((size, blocks, 2, 2))  # from the label before a block to that of its j-th line
+    through[0] = move[None] + padded[:, 0][:, None, :]
+    through[0, 0] = [padded[0, 0], [-1e30, -1e30]]  # before the chain is nothing
+    for j in range(1, size):
+        x = through[j - 1][:, :, :, None] + move[None, None]
+        through[j] = np.logaddexp(x[:, :, 0], x[:, :, 1]) + padded[:, j][:, None, :]
+    before, held = np.empty((blocks, 2)), np.array([0.0, -1e30])
+    for k in range(blocks):
+        before[k] = held
+        x = held[:, None] + through[-1, k]
+        held = np.logaddexp(x[0], x[1])
+    x = before[None, :, :, None] + through
+    return np.logaddexp(x[:, :, 0], x[:, :, 1]).transpose(1, 0, 2).reshape(-1, 2)[:n]
+
+
 def marginals(emit: np.ndarray, move: np.ndarray, first: np.ndarray, pairs: bool = False):
-    """Forward-backward over all rows side by side: P(label) of each line, log Z of each row and, if asked, the expected
-    moves between labels. emit: lines x 2."""
-    lens = np.diff(first)
+    """Forward-backward over all rows side by side, long ones in blocks: P(label) of each line, log Z of each row and, if
+    asked, the expected moves between labels. emit: lines x 2."""
+    every = np.diff(first)
+    alpha, beta = np.zeros_like(emit), np.zeros_like(emit)
+    for r in np.flatnonzero(every > LONG):
+        own = emit[first[r] : first[r + 1]]
+        alpha[first[r] : first[r + 1]] = _messages(own, move)
+        beta[first[r] : first[r + 1]] = _messages(own[::-1], move.T)[::-1] - own
+    lens = np.where(every > LONG, 0, every)
     order = np.argsort(-lens, kind="stable")
     most = int(lens.max(initial=0))
-    alpha, beta = np.zeros_like(emit), np.zeros_like(emit)
     live = [int((lens[order] > t).sum()) for t in range(most)]
     for t in range(most):
         at = first[:-1][order[: live[t]]] + t
@@ -108,10 +143,10 @@ def marginals(emit: np.ndarray, move: np.ndarray, first: np.ndarray, pairs: bool
         at = first[:-1][order[: live[t + 1]]] + t
         x = move[None] + (emit[at + 1] + beta[at + 1])[:, None, :]
         beta[at] = np.logaddexp(x[:, :, 0], x[:, :, 1])
-    rows = np.repeat(np.arange(len(lens)), lens)
+    rows = np.repeat(np.arange(len(every)), every)
     ends = first[1:] - 1
-    z = np.zeros(len(lens))
-    full = lens > 0
+    z = np.zeros(len(every))
+    full = every > 0
     z[full] = np.logaddexp(alpha[ends[full], 0], alpha[ends[full], 1])
     p = np.exp(alpha + beta - z[rows][:, None])
     if not pairs:
@@ -129,6 +164,11 @@ class Field:
     def __init__(self, centre, scale, weights, move, top, constant):
         self.centre, self.scale, self.weights, self.move, self.top, self.constant = centre, scale, weights, move, top, constant
 
+    def good(self, own: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """P(good) of each line."""
+        x = (beside(own, first) - self.centre) / self.scale
+        return marginals(x @ self.weights, self.move, first)[0][:, 1]
+
     def aggregate(self, own: np.ndarray, size: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Document features from length-weighted marginals."""
         n = len(first) - 1
@@ -136,9 +176,7 @@ class Field:
         out[:, 5] = 1
         out[:, 4] = np.diff(first) == 0
         if len(own):
-            x = (beside(own, first) - self.centre) / self.scale
-            p, _ = marginals(x @ self.weights, self.move, first)
-            good = np.clip(p[:, 1], 1e-6, 1 - 1e-6)
+            good = np.clip(self.good(own, first), 1e-6, 1 - 1e-6)
             rows = np.repeat(np.arange(n), np.diff(first))
             total = np.maximum(np.bincount(rows, size, n), 1)
             out[:, 0] = np.bincount(rows, size * good, n) / total
@@ -177,8 +215,25 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float, rounds: int = 30) -> n
     return w
 
 
+def _posterior(emit: np.ndarray, move: np.ndarray, first: np.ndarray, size: np.ndarray, y: np.ndarray):
+    """Lines' labels and moves expected under the sharpened field, tilted in each document towards its label until the
+    expected share of its text that has it is enough."""
+    n, rows = len(y), np.repeat(np.arange(len(y)), np.diff(first))
+    total, wanted = np.maximum(np.bincount(rows, size, n), 1), np.where(y == 1, GOOD, BAD)
+    tilt = np.zeros(n)
+    for _ in range(6):
+        tilted = SHARP * emit
+        tilted[np.arange(len(emit)), y[rows]] += tilt[rows]
+        p, _, joint = marginals(tilted, SHARP * move, first, pairs=True)
+        short = np.bincount(rows, size * p[np.arange(len(p)), y[rows]], n) / total < wanted
+        if not short[np.diff(first) > 0].any():
+            break
+        tilt[short] = np.maximum(2 * tilt[short], 1.0)
+    return p, joint
+
+
 def fit(rows: list[tuple[str, int]]) -> Field:
-    """From (text, quality) rows: the field's likelihood by Adam, then the document model."""
+    """From (text, quality) rows: the field by expectation and ascent (Adam) in turn, then the document model."""
     rows = sorted(rows)
     y = np.array([r[1] for r in rows], np.int64)
     if len(set(y.tolist())) < 2:
@@ -192,22 +247,24 @@ def fit(rows: list[tuple[str, int]]) -> Field:
     lens = np.diff(first)
     label = np.repeat(y, lens)
     weights, move = np.zeros((x.shape[1], 2)), np.zeros((2, 2))
-    hot = np.eye(2)[label]
-    inner = np.ones(len(x), bool)
-    inner[first[:-1][lens > 0]] = False
-    seen = np.zeros((2, 2))
-    np.add.at(seen, (label[inner], label[inner]), 1)
+    # In the first round, all lines of a document have its label, and the lines beside one say nothing of it: else those of
+    # a bad document would all be told by the worst of them.
+    hot, seen = np.eye(2)[label], None
     n = max(1, len(x))
     state = [np.zeros_like(weights), np.zeros_like(weights), np.zeros_like(move), np.zeros_like(move)]
-    for t in range(1, FIT_STEPS + 1):
+    for t in range(1, ROUNDS * FIT_STEPS + 1):
         p, _, joint = marginals(x @ weights, move, first, pairs=True)
         g = (x.T @ (hot - p)) / n - RIDGE * weights
-        m = (seen - joint) / n - 0.05 * move
+        if seen is None:
+            g[OWN:] = 0
+        m = np.zeros((2, 2)) if seen is None else (seen - joint) / n - STIFF * move
         for k, (what, grad) in enumerate(((weights, g), (move, m))):
             a, b = state[2 * k], state[2 * k + 1]
             a += 0.1 * (grad - a)
             b += 0.01 * (grad**2 - b)
             what += 0.1 * (a / (1 - 0.9**t)) / (np.sqrt(b / (1 - 0.99**t)) + 1e-8)
+        if t % FIT_STEPS == 0 and t < ROUNDS * FIT_STEPS:
+            hot, seen = _posterior(x @ weights, move, first, size, y)
     field = Field(centre, scale, weights, move, None, None)
     docs = field.aggregate(own, size, first)
     # Texts without a line: as fitted to a few of them that EMPTY stands for, and to any there are.

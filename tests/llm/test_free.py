@@ -7,7 +7,8 @@ import pytest
 
 from docmill.llm import cap_join as caps
 from docmill.llm.html_text import extract_text, main_text
-from docmill.llm.quality_crf import fit, marginals, score_quality
+from docmill.llm.quality_crf import _lines_of, fit, marginals, score_quality
+from docmill.llm import quality_crf
 from docmill.llm import token_files as files
 from docmill.llm import toxicity
 from docmill.llm.token_files import Words, pack, read_documents, read_segment, segment, unpack, write_token_files
@@ -199,15 +200,64 @@ def test_marginals_against_enumeration():
     assert np.allclose(pairs, joint)
 
 
+def test_long_chains_are_scanned_in_blocks(monkeypatch):
+    rng = np.random.default_rng(1)
+    first = np.array([0, 3, 3, 40, 41, 300, 302])
+    emit, move = rng.normal(size=(302, 2)) * 3, rng.normal(size=(2, 2))
+    want = marginals(emit, move, first, pairs=True)
+    for long in (0, 1, 2, 36):
+        monkeypatch.setattr(quality_crf, "LONG", long)
+        assert all(np.allclose(a, b) for a, b in zip(want, marginals(emit, move, first, pairs=True), strict=True))
+
+
 def test_field_separates_line_kinds():
     good, bad = "A fine line of words here.\nAnd one more of them now.", "BUY!! NOW!! BUY!! NOW!!\nBUY!! NOW!! BUY!! NOW!!"
     f = fit([(good + f" w{k}", 1) for k in range(40)] + [(bad + f" W{k}!!", 0) for k in range(40)])
-    from docmill.llm.quality_crf import _lines_of
-
     s = f.scores(*_lines_of([good, bad, ""]))
     assert s[0] > 0.5 > s[1] and s[2] < 0.5
 
 
+def test_lines_of_bad_documents_keep_their_own_labels():
+    rnd = random.Random(2)
+    fine = lambda: " ".join(rnd.choice("calm water runs below the old stone bridge at noon".split()) for _ in range(rnd.randrange(7, 12))) + "."
+    junk = lambda: " ".join(rnd.choice("BUY!! NOW!! $$$ CLICK!! ###".split()) for _ in range(rnd.randrange(7, 12)))
+    kinds = lambda: rnd.sample([True] * 10 + [False] * 10, 20)
+    page = lambda k: "\n".join(fine() if good else junk() for good in k)
+    rows = [(page([True] * 12), 1) for _ in range(80)] + [(page(kinds()), 0) for _ in range(80)]
+    f = fit(rows)
+    want = [kinds() for _ in range(30)]
+    own, _, first = _lines_of([page(k) for k in want])
+    got = f.good(own, first) >= 0.5
+    flat = np.concatenate(want)
+    assert (~got[~flat]).mean() > 0.99 and got[flat].mean() > 0.7
+    assert (f.good(*_lines_of([page([True] * 12)])[::2]) >= 0.5).all()
+    assert f.scores(*_lines_of([rows[0][0], rows[-1][0]])).round().tolist() == [1, 0]
+
+
+def test_moves_decide_where_lines_do_not_tell():
+    rnd = random.Random(4)
+    plain = lambda: " ".join(rnd.choice("one two three four five six seven".split()) for _ in range(8))
+    page = lambda y: "\n".join([("Calm opening of the page here." if y else "BUY!! NOW!! $$$ ### @@@ %%%"), *(plain() for _ in range(9))])
+    rows = [(page(k % 2), k % 2) for k in range(300)]
+    f = fit(rows[:200])
+    own, size, first = _lines_of([t for t, _ in rows[200:]])
+    y = np.array([y for _, y in rows[200:]])
+    lines, label = f.good(own, first) >= 0.5, np.repeat(y, np.diff(first)) == 1
+    assert (lines == label).mean() > 0.95 and ((f.scores(own, size, first) >= 0.5) == y).all()
+    mixed, wanted = [], []
+    for _ in range(200):  # runs of both kinds, each under its first line
+        runs = [(rnd.random() < 0.5, rnd.randrange(1, 12)) for _ in range(3)]
+        mixed.append("\n".join("\n".join([("Calm opening of the page here." if g else "BUY!! NOW!! $$$ ### @@@ %%%"), *(plain() for _ in range(n))]) for g, n in runs))
+        wanted.append(np.repeat([g for g, _ in runs], [n + 1 for _, n in runs]))
+    other = _lines_of(mixed)
+    with_moves = ((f.good(other[0], other[2]) >= 0.5) == np.concatenate(wanted)).mean()
+    decided = f.scores(*other) >= 0.5
+    f.move = np.zeros((2, 2))
+    assert ((f.good(own, first) >= 0.5) == label).mean() < 0.8
+    without = ((f.good(other[0], other[2]) >= 0.5) == np.concatenate(wanted)).mean()
+    assert with_moves > without + 0.05 and (decided != (f.scores(*other) >= 0.5)).sum() >= 10
+
+
 def test_main_text():
     page = "<html><head><title>T</title><style>p{}</style></head><body><nav><a href=/x>Home</a></nav><div class='ad'>Buy</div><article><header><h1>Head &amp; tail</h1></header><p><b>One\n two<br>three<p>4 &lt; 5 &am<script>var x='</p>'</script></p><div class=\"share-bar\">Tweet</div><ul><li>a<li>b</ul><section id=comments><p>First!</p></section></article><aside>s</aside><footer>&copy; me</footer>"
     assert main_text(page) == "Head & tail\n\nOne two three\n\n4 < 5 &am\n\na\n\nb"
