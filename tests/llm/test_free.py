@@ -1,11 +1,14 @@
+import itertools
 import random
 import zlib
+from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
 from docmill.llm import cap_join as caps
+from docmill.llm import html_text
 from docmill.llm.html_text import extract_text, main_text
 from docmill.llm.quality_crf import _lines_of, fit, marginals, score_quality
 from docmill.llm import quality_crf
@@ -286,6 +289,71 @@ def test_self_closed_elements_and_math_lose_no_text():
     assert main_text("<article><p>a<svg><path d='M0'/><text>no</text></svg>b<script src=/js/>var x</script><script src='y'/>var z</script></p></article>") == "ab"
 
 
+def test_names_of_running_text_in_an_article_drop_nothing():
+    for name in ("share-price", "notice-period", "commentary", "promo-code-text", "railway", "rail-history", "search-results-analysis"):
+        for tag in ("p", "h2", "blockquote", "div", "section"):
+            assert main_text(f'<article><{tag} class="{name}">Stock rose today.</{tag}><p>End.</p></article>') == "Stock rose today.\n\nEnd."
+    for name in ("share-bar", "ad", "ads-top", "cookie-notice", "related-links", "comments", "newsletter-signup-box", "comment-12"):
+        assert main_text(f'<article><div class="x {name}">Tweet</div><p>End.</p></article>') == "End."
+    assert main_text('<article><p class="ad">Buy</p><p><a href="/x">All of it linked</a></p></article>') == "All of it linked"
+
+
+def test_links_stay_between_paragraphs_and_go_outside_them():
+    menu, link = "<div><a href=/a>Menu one</a> <a href=/b>two</a></div>", "<p><a href=/x>A linked line</a></p>"
+    page = f"{menu}{menu}<p>First paragraph.</p>{link}<p>Second one.</p>{menu}{menu}{menu}{menu}<p>Third.</p>{menu}"
+    assert main_text(page) == "First paragraph.\n\nA linked line\n\nSecond one.\n\nThird."
+    adverts = "<div class=ad>Buy</div>" * 4
+    assert main_text(f"<p>One.</p>{adverts}<p>Two.</p>") == "One.\n\nTwo."
+
+
+def test_stretches_against_brute_force(monkeypatch):
+    rnd = random.Random(8)
+    for reach, surge in ((1, 1), (2, 1), (1, 60), (2, 100)):
+        monkeypatch.setattr(html_text, "REACH", reach)
+        monkeypatch.setattr(html_text, "SURGE", surge)
+        for _ in range(300):
+            size = [rnd.choice([0, 0, 0, 5, 40, 200]) for _ in range(rnd.randrange(0, 30))]
+            on = [sum(size[max(0, i - reach) : i + reach + 1]) >= surge for i in range(len(size))]
+            want = []
+            for key, run in itertools.groupby(range(len(size)), key=lambda i, on=on: on[i]):
+                lines = [i for i in run if size[i]]
+                if key and lines:
+                    want.append((lines[0], lines[-1]))
+            assert html_text.stretches(size) == want
+
+
+class Plain(HTMLParser):
+    """The text of an article's block elements, by the standard library's parser: for well-formed pages."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.depth, self.skip, self.out = 0, 0, [""]
+
+    def handle_starttag(self, tag, attrs):
+        self.depth += tag == "article"
+        self.skip += tag in ("script", "style", "nav", "footer", "aside", "title") or dict(attrs).get("class") == "ad"
+        self.out.append("") if tag in ("p", "h1", "div", "li", "article") else None
+        self.out[-1] += " " * (tag == "br")
+
+    def handle_endtag(self, tag):
+        self.depth -= tag == "article"
+        self.skip -= tag in ("script", "style", "nav", "footer", "aside", "title", "div")
+        self.out.append("") if tag in ("p", "h1", "div", "li", "article") else None
+
+    def handle_data(self, data):
+        if self.depth and not self.skip:
+            self.out[-1] += data
+
+
+def test_given_pages_against_another_parser(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    got = {r.page_id: r.text for r in extract_text(pages).collect()}
+    for r in pages.collect():
+        other = Plain()
+        other.feed(r.html)
+        assert got[r.page_id] == "\n\n".join(t for t in (" ".join(x.split()) for x in other.out) if t), r.page_id
+
+
 def test_extract_all_pages(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     got = extract_text(pages).collect()
