@@ -1,11 +1,16 @@
 """Secret scans with a randomness test battery, in DataFrame operations only.
 
 Base spans come from three patterns. The battery adds spans of kind "random": a token of 20 or more characters that
-mixes letters and digits is taken to be written in the least alphabet that holds it (hex, base 32 or base 64), and
-tested three ways against the hypothesis that it is an ordinary identifier: the chi-squared uniformity of its characters
-(as their repeat rate), runs of character classes, and the serial correlation of neighbours' codes. The three normal
-scores are summed, and false discoveries are controlled at FDR (Benjamini-Hochberg) among tokens of like length over the
-whole corpus, from counts of scores by bin: bounded tables, however large the corpus.
+mixes letters with digits, or cases inside a word, and that is no UUID, is taken to be written in the least alphabet that
+holds it (hex, base 32 or base 62 and 64), and tested three ways, on its letters and digits: how much its characters
+repeat beyond what is uniform in that alphabet (chi-squared), how often the class of character changes (runs; a capital
+goes with the small letter after it), and the serial correlation of neighbours' codes.
+
+What ordinary tokens score is measured on the corpus itself: all tokens of NULL_LENGTH or more characters that are made
+of words alone (with numbers and separators between them) give the mean and spread of each test, and then the spread of
+the sum of the standardised tests, all shrunk to a prior that holds where there are few. False discoveries
+are controlled at FDR (Benjamini-Hochberg) among tokens of like length over the whole corpus, from counts of scores by
+bin: bounded tables, however large the corpus. Base spans are tested like others, so random spans may touch them.
 
 Positions come from the lengths of what a pattern matches and of what lies between, summed within a document.
 
@@ -16,6 +21,9 @@ ignored, whatever their names.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -25,16 +33,21 @@ from .common import table
 #: The base patterns, in the order in which kinds are listed.
 ASSIGN = r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{12,}"
-HEX = r"[0-9a-f]{32,}"
+HEX = r"(?<![0-9a-f])[0-9a-f]{32,}"
+#: One of these is in every text that the first pattern matches, in lower case.
+NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 KINDS = ("assign", "access", "hex", "random")
-#: What may be random; the least length of an assigned value.
-TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
+#: What may be random; tokens of words and numbers, which are ordinary; the least length of an assigned value.
+TOKEN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}"
+ORDINARY = r"^[+/_-]*(?:(?:[A-Z]?[a-z]{3,}|[A-Z]{4,})(?:[+/_-]+|[0-9]{1,4}(?![0-9])|(?=[A-Z])|$)|[0-9]{1,4}[+/_-]+)+[0-9]{0,4}$"
+UUID = r"^(?i)[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}$"
 VALUE = 8
-#: Expected false share among the random spans; score bins a unit; lengths at which classes of like length begin.
-FDR, BINS, LENGTHS = 0.01, 50, (20, 32, 64, 256)
-#: The ordinary identifier: how often two of its characters agree, how often the class changes from one character to
-#: the next, how neighbouring codes correlate.
-REPEAT, SWITCH, SERIAL = 0.1, 0.12, 0.4
+#: Least length of a token that is tested, and of one that tells what ordinary tokens score; expected false share among
+#: the random spans; score bins a unit; lengths at which classes of like length begin.
+LENGTH, NULL_LENGTH, FDR, BINS, LENGTHS = 20, 16, 0.01, 50, (20, 32, 64, 256)
+#: Ordinary tokens before any is seen: mean and spread (of one character) of the tests, and how many tokens that counts for.
+TESTS = ("repeats", "changes", "serial")
+MEAN, SPREAD, WEIGHT = (0.05, 0.07, 0.3), (0.15, 0.4, 1.0), 200.0
 
 
 def _found(text: Column, pattern: str, group: int) -> Column:
@@ -47,8 +60,9 @@ def _found(text: Column, pattern: str, group: int) -> Column:
 
 def _matches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
-    shown = {"assign": (ASSIGN, 2), "access": (ACCESS, 0), "hex": (HEX, 0), "random": (TOKEN, 0)}
-    return docs.select(F.col(id_col).alias("doc_id"), text.alias("t")).select("doc_id", F.xxhash64("t").alias("h"), *[_found(F.col("t"), p, g).alias(k) for k, (p, g) in shown.items()])
+    named = reduce(or_, [F.contains(F.lower("t"), F.lit(n)) for n in NAMES])
+    shown = {"assign": F.when(named, _found(F.col("t"), ASSIGN, 2)), "access": F.when(F.contains("t", F.lit("AKIA")), _found(F.col("t"), ACCESS, 0)), "hex": _found(F.col("t"), HEX, 0), "random": _found(F.col("t"), TOKEN, 0)}
+    return docs.select(F.col(id_col).alias("doc_id"), text.alias("t")).select("doc_id", F.xxhash64("t").alias("h"), *[c.alias(k) for k, c in shown.items()])
 
 
 def _spans(scanned: DataFrame) -> DataFrame:
@@ -63,29 +77,46 @@ def _spans(scanned: DataFrame) -> DataFrame:
     return rows.withColumn("end", end).withColumn("start", F.col("end") - F.col("hit")).select("doc_id", "h", "kind", "start", "end", "value")
 
 
-def battery(token: Column) -> Column:
-    """The summed normal score of a token against an ordinary identifier: the higher, the more random."""
-    chars = F.split(token, "")
-    n = F.length(token).cast("double")
+def battery(token: Column) -> list[Column]:
+    """What the three tests measure of a token's letters and digits, and how many these are."""
+    solid = F.regexp_replace(token, "[^A-Za-z0-9]", "")
+    chars = F.split(solid, "")
+    n = F.length(solid).cast("double")
     codes = F.transform(chars, lambda c: F.ascii(c).cast("double"))
-    alphabet = F.when(token.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"), 16.0).when(token.rlike("^[A-Z2-7=]+$"), 32.0).otherwise(64.0)
+    alphabet = F.when(solid.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"), 16.0).when(solid.rlike("^[A-Z2-7]+$"), 32.0).otherwise(62.0)
+    # Chi-squared over the alphabet, as the rate at which two characters agree beyond the uniform one.
     counts = F.transform(F.array_distinct(chars), lambda c: F.size(F.filter(chars, lambda x: x == c)).cast("double"))
-    agree = F.aggregate(counts, F.lit(0.0), lambda a, c: a + c * (c - 1))
-    chi = (agree + n) * alphabet / n - n
-    # The repeat rate that chi-squared stands for, with that of the alphabet as its floor.
-    rate = F.greatest(F.lit(0.0), (chi / (alphabet - 1.0) - 1.0) / n) + 1.0 / alphabet
-    usual = F.greatest(F.lit(REPEAT), 1.6 / alphabet)
-    uniform = (usual - rate) * n / F.sqrt(F.lit(2.0) * usual * (1 - usual))
-    kind = lambda c: F.when(c.between(48, 57), 0).when(c.between(65, 90), 1).when(c.between(97, 122), 2).otherwise(3)
-    kinds = F.transform(codes, kind)
-    ahead, behind = F.slice(kinds, F.lit(2), F.size(kinds) - 1), F.slice(kinds, F.lit(1), F.size(kinds) - 1)
-    changes = F.aggregate(F.zip_with(ahead, behind, lambda a, b: (a != b).cast("double")), F.lit(0.0), lambda a, c: a + c)
-    runs = (changes - (n - 1) * SWITCH) / F.sqrt((n - 1) * (SWITCH * (1 - SWITCH)))
+    repeats = F.aggregate(counts, F.lit(0.0), lambda a, c: a + c * (c - 1)) / (n * (n - 1)) - 1.0 / alphabet
+    kind = lambda c: F.when(c < 58, 0).when(c < 91, 1).otherwise(2)
+    pairs = lambda x, f: F.aggregate(F.zip_with(F.slice(x, F.lit(2), F.size(x) - 1), F.slice(x, F.lit(1), F.size(x) - 1), f), F.lit(0.0), lambda a, c: a + c)
+    changes = pairs(F.transform(codes, kind), lambda b, a: ((a != b) & ~((a == 1) & (b == 2))).cast("double")) / (n - 1)
     mean = F.aggregate(codes, F.lit(0.0), lambda a, c: a + c) / n
     spread = F.aggregate(codes, F.lit(0.0), lambda a, c: a + (c - mean) * (c - mean))
-    product = F.aggregate(F.zip_with(F.slice(codes, F.lit(2), F.size(codes) - 1), F.slice(codes, F.lit(1), F.size(codes) - 1), lambda a, b: (a - mean) * (b - mean)), F.lit(0.0), lambda a, c: a + c)
-    serial = (F.lit(SERIAL) - F.when(spread > 0, product / spread).otherwise(1.0)) * F.sqrt(n)
-    return (uniform + runs + serial) / F.sqrt(F.lit(3.0))
+    serial = F.when(spread > 0, pairs(codes, lambda a, b: (a - mean) * (b - mean)) / spread).otherwise(1.0)
+    return [repeats.alias("repeats"), changes.alias("changes"), serial.alias("serial"), n.alias("size")]
+
+
+def ordinary_tests(tokens: DataFrame) -> DataFrame:
+    """One row: mean and spread (as of one character) of each test over ordinary tokens with their tests."""
+    w, n = F.lit(WEIGHT), F.count("*")
+    means = [((F.coalesce(F.sum(t), F.lit(0.0)) + w * m) / (n + w)).alias(f"m_{t}") for t, m in zip(TESTS, MEAN, strict=True)]
+    spreads = [((F.coalesce(F.sum("size") * F.var_pop(t), F.lit(0.0)) + w * s * s) / (n + w)).alias(f"v_{t}") for t, s in zip(TESTS, SPREAD, strict=True)]
+    return tokens.agg(*means, *spreads)
+
+
+def summed(tests: DataFrame, usual: DataFrame) -> DataFrame:
+    """tests with the sum of their standard scores: the higher, the less ordinary."""
+    z = [sign * (F.col(t) - F.col(f"m_{t}")) * F.sqrt("size") / F.sqrt(F.col(f"v_{t}")) for t, sign in zip(TESTS, (-1.0, 1.0, -1.0), strict=True)]
+    score = (z[0] + z[1] + z[2] * F.signum(F.col("m_serial"))) / F.sqrt(F.lit(3.0))
+    return tests.join(F.broadcast(usual)).withColumn("score", score).drop(*usual.columns)  # one row
+
+
+def calibrated(tests: DataFrame) -> DataFrame:
+    """The rows to be tested with their score, whose spread over ordinary tokens is one."""
+    scored = table(summed(tests, ordinary_tests(tests.where("ordinary"))), "secrets-scored")
+    w = F.lit(WEIGHT)
+    spread = scored.where("ordinary").agg(F.sqrt((F.coalesce(F.sum(F.col("score") * F.col("score")), F.lit(0.0)) + w) / (F.count("*") + w)).alias("usual"))
+    return scored.where("tested").join(F.broadcast(spread)).withColumn("score", F.col("score") / F.col("usual")).drop("usual")  # one row
 
 
 def upper_tail(z: Column) -> Column:
@@ -98,30 +129,48 @@ def upper_tail(z: Column) -> Column:
 
 def random_spans(spans: DataFrame) -> DataFrame:
     """Of the spans of kind random, those that the battery discovers."""
-    tested = spans.where((F.col("kind") == KINDS.index("random")) & F.col("value").rlike("[0-9]") & F.col("value").rlike("[A-Za-z]"))
-    length = F.lit(0)
+    value = F.col("value")
+    mixed = (value.rlike("[0-9]") & value.rlike("[A-Za-z]")) | value.rlike("[a-z][A-Z]")
+    ordinary = value.rlike(ORDINARY)
+    tokens = spans.where(F.col("kind") == KINDS.index("random")).withColumn("ordinary", ordinary)
+    tokens = tokens.where(~value.rlike(UUID) & (F.col("ordinary") | (mixed & (F.length("value") >= LENGTH))))
+    known = table(tokens.select("doc_id", "h", "kind", "start", "end", F.length("value").alias("length"), "ordinary", (mixed & (F.length("value") >= LENGTH)).alias("tested"), *battery(value)), "secrets-tested")
+    of_length = F.lit(0)
     for i, n in enumerate(LENGTHS):
-        length = F.when(F.length("value") >= n, i).otherwise(length)
-    tested = table(tested.withColumn("score", battery(F.col("value"))).withColumns({"length": length, "bin": F.floor(F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.col("score"))) * BINS)}).drop("value"), "secrets-tested")
-    counts = tested.groupBy("length", "bin").agg(F.count("*").alias("n"))
-    above = W.partitionBy("length").orderBy(F.desc("bin"))
-    counts = counts.withColumns({"k": F.sum("n").over(above), "m": F.sum("n").over(W.partitionBy("length"))})
-    least = counts.where(upper_tail(F.col("bin") / F.lit(float(BINS))) <= F.lit(FDR) * F.col("k") / F.col("m")).groupBy("length").agg(F.min("bin").alias("least"))
-    return tested.join(F.broadcast(least), "length").where("bin >= least").select("doc_id", "h", "kind", "start", "end")  # at most a row for each of LENGTHS
+        of_length = F.when(F.col("length") >= n, i).otherwise(of_length)
+    scored = calibrated(known).withColumn("class", of_length)
+    scored = scored.withColumn("bin", F.floor(F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.col("score"))) * BINS))
+    counts = scored.groupBy("class", "bin").agg(F.count("*").alias("n"))
+    above = W.partitionBy("class").orderBy(F.desc("bin"))
+    counts = counts.withColumns({"k": F.sum("n").over(above), "m": F.sum("n").over(W.partitionBy("class"))})
+    least = counts.where(upper_tail(F.col("bin") / F.lit(float(BINS))) <= F.lit(FDR) * F.col("k") / F.col("m")).groupBy("class").agg(F.min("bin").alias("least"))
+    return scored.join(F.broadcast(least), "class").where("bin >= least").select("doc_id", "h", "kind", "start", "end")  # at most a row for each of LENGTHS
+
+
+def told_apart(spans: DataFrame) -> DataFrame:
+    """Spans, with fresh: a random one that touches no base span."""
+    known = F.col("kind") < KINDS.index("random")
+    order = W.partitionBy("doc_id", "h").orderBy("start", "kind")
+    before = F.max(F.when(known, F.col("end"))).over(order.rowsBetween(W.unboundedPreceding, 0))
+    after = F.min(F.when(known, F.col("start"))).over(order.rowsBetween(0, W.unboundedFollowing))
+    new = spans.withColumns({"before": before, "after": after})
+    touches = F.coalesce(F.col("before") > F.col("start"), F.lit(False)) | F.coalesce(F.col("after") < F.col("end"), F.lit(False))
+    return new.withColumn("fresh", ~known & ~touches).drop("before", "after")
 
 
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_random) of every row of docs."""
+    """(doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_random, n_new) of every row of docs; n_new random spans
+    touch no base span."""
     scanned = table(_matches(docs, id_col, text_col), "secrets-scanned")
     spans = table(_spans(scanned), "secrets-spans")
     base = spans.where((F.col("kind") != KINDS.index("random")) & ((F.col("kind") != 0) | (F.length("value") >= VALUE))).drop("value")
-    every = base.unionByName(random_spans(spans))
-    by_doc = every.groupBy("doc_id", "h").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end"))).alias("found"))
-    by_doc = by_doc.select(F.col("doc_id").alias("s_id"), F.col("h").alias("s_h"), "found")
+    every = told_apart(base.unionByName(random_spans(spans)))
+    by_doc = every.groupBy("doc_id", "h").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end"))).alias("found"), F.count_if("fresh").alias("n_new"))
+    by_doc = by_doc.select(F.col("doc_id").alias("s_id"), F.col("h").alias("s_h"), "found", "n_new")
     plain = scanned.select("doc_id", "h")
     out = plain.join(by_doc, plain["doc_id"].eqNullSafe(by_doc["s_id"]) & (F.col("h") == F.col("s_h")), "left")
     found = F.coalesce("found", F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>"))
     names = F.array(*map(F.lit, KINDS))
     said = lambda a: F.array_join(F.transform(a, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
     count = lambda k: F.size(F.filter(found, lambda s: s["kind"] == k)).cast("long")
-    return out.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(said(F.filter(found, lambda s: s["kind"] < 3)), 256).alias("base_sha256"), said(found).alias("spans"), count(3).alias("n_random"))
+    return out.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(said(F.filter(found, lambda s: s["kind"] < 3)), 256).alias("base_sha256"), said(found).alias("spans"), count(3).alias("n_random"), F.coalesce("n_new", F.lit(0)).alias("n_new"))

@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+import uuid
 
 import duckdb
 import pandas as pd
@@ -56,6 +58,45 @@ def test_secrets_against_brute_force(spark):
     assert scan_secrets(docs.limit(0)).count() == 0
 
 
+def planted(rnd):
+    """(token, is it a secret) of many kinds and lengths."""
+    hexes, base32, base64 = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    words = "report house river stone meadow garden winter market people window number system table letter figure museum station village".split()
+    out = []
+    for n in [20, 22, 24, 28, 31, 40, 64, 100, 200, 256] * 12:
+        out += [("".join(rnd.choice(a) for _ in range(n)), True) for a in (hexes[:16] if n < 32 else base32, base32, base64)]
+    for _ in range(1500):
+        some = [rnd.choice(words) for _ in range(rnd.randrange(3, 9))]
+        out.append(("-".join(some) + f"-{rnd.randrange(3000)}", False))
+        out.append(("/" + "/".join(some) + f"/v{rnd.randrange(9)}/{rnd.choice(words)}", False))
+        out.append(("_".join(some[:3]).upper() + f"_{rnd.randrange(1, 32):02d}_2024", False))
+        out.append(("".join(w.title() for w in some) + str(rnd.randrange(100)), False))
+        out.append((str(uuid.UUID(int=rnd.getrandbits(128))), False))
+    return out
+
+
+def test_battery_finds_planted_tokens_and_leaves_ordinary_ones(spark):
+    rnd = random.Random(6)
+    tokens = planted(rnd)
+    rows = [(i, f"see {t} there and antidisestablishmentarianism {rnd.choice(tokens[-5000:])[0]} too") for i, (t, _) in enumerate(tokens)]
+    got = {r.doc_id: r for r in scan_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    said_of = lambda i, t: f"random:4:{4 + len(t)}" in got[i].spans or got[i].n_assign + got[i].n_hex > 0
+    found = {n: [said_of(i, t) for i, (t, y) in enumerate(tokens) if y and len(t) in n and any(c.isdigit() for c in t)] for n in (range(20, 32), range(32, 300))}
+    recall = {str(n): sum(x) / len(x) for n, x in found.items()}
+    false = sum(got[i].n_random - (y and f"random:4:{4 + len(t)}" in got[i].spans) for i, (t, y) in enumerate(tokens))
+    every = sum(r.n_random for r in got.values())
+    assert recall["range(20, 32)"] >= 0.75 and recall["range(32, 300)"] >= 0.97 and false <= 0.02 * every
+
+
+def test_random_spans_that_touch_base_spans_are_not_new(spark):
+    rnd = random.Random(1)
+    token = "".join(rnd.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(40))
+    texts = [f"secret={token} and {token}", f"{token} secret={token}", f"{token}"]
+    got = scan_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [(r.n_assign, r.n_random, r.n_new) for r in got] == [(1, 2, 1), (1, 2, 1), (0, 1, 1)]
+    assert got[0].spans == "assign:0:47,random:7:47,random:52:92" and got[1].spans == "random:0:40,assign:41:88,random:48:88"
+
+
 def docs_frame():
     rows = [(i, " ".join(f"w{k % 50}" for k in range(i * 7 % 97 + 1)), ["a", "b", None, "é", "Z"][i % 5] if i % 3 else "a") for i in range(200)]
     return pd.DataFrame([*rows, (500, None, "a"), (501, "", "empty"), (502, " \n", None), (7, rows[7][1], rows[7][2])], columns=["doc_id", "text", "source"])
