@@ -9,11 +9,12 @@ Between classes:
    bounded sample last, else by hash). Two sets of Jaccard >= t share one of these; a listing without a neighbour of a
    fitting size drops out. The sample decides the order alone: any order finds every link.
 2. Classes under one shingle are candidates if their points' bound allows a link. Up to CROWD classes meet as pairs;
-   more go into an R-tree, packed sort-tile fashion, that is joined with itself, first by the bound between the boxes
-   of two leaves, then between points, and that gives only as many candidates as join all that its candidates join.
+   more go into an R-tree, packed sort-tile fashion, that is joined with itself from the root down, by the bound between
+   the boxes of nodes and at last between points, and that gives only as many candidates as join all that its candidates
+   join. Classes under a shingle that more than HOT have are dealt, by size and hash, to several tasks.
 3. Classes that candidates join, directly or in a chain, form a unit, whose texts meet in one task. A unit of more
-   than UNIT shingles is dealt as pairs of size-ordered blocks whose sizes can match. In a unit, the same R-tree join
-   finds the pairs that survive the bound; they are verified on the sets, unless other links have joined them already.
+   than UNIT shingles is dealt in the same way. In a unit, the same R-tree join finds the pairs that survive the bound;
+   they are verified on the sets, unless other links have joined them already.
 4. Spanning links of all units join into components.
 
 Defined cases: null or word-less text has 0 shingles and is its own component; fewer than n words are one shingle; a
@@ -27,18 +28,19 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import BROADCAST_ROWS, buffers, connected_components, cut, focus, mix, steps, table, trimmed, word_hashes
+from .common import buffers, connected_components, cut, focus, mix, small_side, steps, table, trimmed, word_hashes
 
 #: Shingles that one unit of verification holds at most (16 MB of hashes).
 UNIT = 2_000_000
 #: Documents of the sample that tells frequent shingles, and shingles it may name.
 SAMPLE, FREQUENT = 4096, 20_000
-#: Points in a leaf; classes under one shingle that meet as pairs.
-LEAF, CROWD = 32, 48
+#: Points in a leaf, nodes in a node above; classes under one shingle that meet as pairs, and from which on they are dealt
+#: to several tasks.
+LEAF, FANOUT, CROWD, HOT = 32, 8, 48, 512
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> list[np.ndarray]:
@@ -150,11 +152,32 @@ def least_overlap(a, b, num: int, den: int):
     return -(-num * (a + b) // (num + den))
 
 
+class Level:
+    """The nodes of one level of the tree: which rows or nodes of the level below are in each, a box of group counts that
+    bounds all points inside from above, and the least and most size."""
+
+    def __init__(self, ends: np.ndarray, high: np.ndarray, least: np.ndarray, most: np.ndarray):
+        self.ends, self.high, self.least, self.most = ends, high, least, most
+
+    def above(self, width: int) -> Level:
+        starts = np.arange(0, len(self.least), width)
+        return Level(np.append(starts, len(self.least)), np.maximum.reduceat(self.high, starts, axis=0), np.minimum.reduceat(self.least, starts), np.maximum.reduceat(self.most, starts))
+
+    def meets(self, p: np.ndarray, q: np.ndarray, num: int, den: int) -> np.ndarray:
+        """Which pairs of nodes may hold a link, by sizes and by the sum of coordinate-wise minima of their boxes."""
+        near = (self.least[p] * num <= self.most[q] * den) & (self.least[q] * num <= self.most[p] * den)
+        at = np.flatnonzero(near)
+        near[at] = np.minimum(self.high[p[at]], self.high[q[at]]).sum(1) >= least_overlap(self.least[p[at]], self.least[q[at]], num, den)
+        return near
+
+
 def tree_join(size: np.ndarray, points: list[np.ndarray], apart, visit, num: int, den: int) -> None:
-    """Join an R-tree of points with itself: visit(i, j) for each pair that the bound lets pass while apart(rows of one
-    leaf, rows of another) still holds for it."""
+    """Join an R-tree of points with itself, from its root down: visit(i, j) for each pair that the bound lets pass while
+    apart(rows of one leaf, rows of another) still holds for it."""
     order = np.argsort(size, kind="stable")
     order = order[size[order] > 0]
+    if not len(order):
+        return
     leaves = range(0, len(order), LEAF)
     if len(leaves) > 2:  # sort-tile: slabs by size, and by the first half of the groups within a slab
         slab = LEAF * max(1, int(np.sqrt(len(leaves))))
@@ -163,23 +186,33 @@ def tree_join(size: np.ndarray, points: list[np.ndarray], apart, visit, num: int
     rows = [order[s : s + LEAF] for s in leaves]
     groups = [min(len(points[i]) for i in r) for r in rows]
     inside = [np.stack([fold(points[i], g) for i in r]) for r, g in zip(rows, groups, strict=True)]
-    least, most = [size[r].min() for r in rows], [size[r].max() for r in rows]
-    high = np.stack([fold(x.max(0), 64) for x in inside]) if rows else np.zeros((0, 64))
-    least, most = np.array(least), np.array(most)
-    for p in range(len(rows)):
-        box = np.minimum(high[p], high[p:]).sum(1)
-        near = (box >= least_overlap(least[p], least[p:], num, den)) & (least[p:] * num <= most[p] * den) & (least[p] * num <= most[p:] * den)
-        for q in p + np.flatnonzero(near):
-            open_ = apart(rows[p], rows[q])
-            if p == q:
-                open_ &= np.arange(len(rows[p]))[:, None] < np.arange(len(rows[p]))[None, :]
-            if not open_.any():
-                continue
-            g = min(groups[p], groups[q])
-            over = np.minimum(fold(inside[p], g)[:, None, :], fold(inside[q], g)[None, :, :]).sum(2)
-            x, y = np.nonzero(open_ & (over >= least_overlap(size[rows[p]][:, None], size[rows[q]][None, :], num, den)))
-            for i, j in zip(rows[p][x], rows[q][y], strict=True):
-                visit(int(i), int(j))
+    levels = [Level(np.append(np.array(leaves), len(order)), np.stack([fold(x.max(0), 64) for x in inside]), np.array([size[r].min() for r in rows]), np.array([size[r].max() for r in rows]))]
+    while len(levels[-1].least) > FANOUT:
+        levels.append(levels[-1].above(FANOUT))
+    n = len(levels[-1].least)
+    p, q = np.triu_indices(n)
+    for below, level in zip([*levels[-2::-1], None], levels[::-1], strict=True):
+        near = level.meets(p, q, num, den)
+        p, q = p[near], q[near]
+        if below is None:
+            break
+        pairs = []
+        for i, j in zip(p, q, strict=True):  # the children of nodes that meet
+            x, y = np.meshgrid(np.arange(level.ends[i], level.ends[i + 1]), np.arange(level.ends[j], level.ends[j + 1]), indexing="ij")
+            keep = x <= y
+            pairs.append((x[keep], y[keep]))
+        p, q = (np.concatenate([np.zeros(0, np.int64), *(k[side] for k in pairs)]) for side in (0, 1))
+    for p, q in zip(p, q, strict=True):
+        open_ = apart(rows[p], rows[q])
+        if p == q:
+            open_ &= np.arange(len(rows[p]))[:, None] < np.arange(len(rows[p]))[None, :]
+        if not open_.any():
+            continue
+        g = min(groups[p], groups[q])
+        over = np.minimum(fold(inside[p], g)[:, None, :], fold(inside[q], g)[None, :, :]).sum(2)
+        x, y = np.nonzero(open_ & (over >= least_overlap(size[rows[p]][:, None], size[rows[q]][None, :], num, den)))
+        for i, j in zip(rows[p][x], rows[q][y], strict=True):
+            visit(int(i), int(j))
 
 
 class Joined:
@@ -206,6 +239,11 @@ class Joined:
         return np.array([self.find(i) for i in p])[:, None] != np.array([self.find(i) for i in q])[None, :]
 
 
+def across(left: np.ndarray, right: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Which pairs have one row in left and one in right."""
+    return (left[p][:, None] & right[q][None, :]) | (right[p][:, None] & left[q][None, :])
+
+
 def unit_links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
     """Spanning links between the sets of a unit: pairs (i, j) of Jaccard >= num/den, one in left and one in right, that
     are enough to join all that such pairs join."""
@@ -221,18 +259,39 @@ def unit_links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, num:
             held.join(i, j)
 
     def apart(p: np.ndarray, q: np.ndarray) -> np.ndarray:
-        return held.apart(p, q) & ((left[p][:, None] & right[q][None, :]) | (right[p][:, None] & left[q][None, :]))
+        return held.apart(p, q) & across(left, right, p, q)
 
-    if len(sets) == 2:
-        if len(sets[0]) and len(sets[1]) and ((left[0] and right[1]) or (left[1] and right[0])):
-            verify(0, 1)
-    else:
-        tree_join(np.array([len(s) for s in sets], np.int64), [point(s).astype(np.int64) for s in sets], apart, verify, num, den)
+    tree_join(np.array([len(s) for s in sets], np.int64), [point(s).astype(np.int64) for s in sets], apart, verify, num, den)
     return held.links
 
 
+def deal(rows: DataFrame, key: str, weight: Column, most: int, num: int, den: int) -> DataFrame:
+    """rows (key, n, ...) of keys too heavy for one task, dealt to units (key, u1, u2, side) that hold all pairs of rows
+    whose sizes n can link: cells of like size, cut by hash into blocks of about `most`, and every block with those of
+    its own cell and of the next. side: 0 the only block, 1 and 2 the first and the second one."""
+    ratio = float(np.log(den / num) * (1 + 1e-9)) if den > num else 1e-9
+    rows = rows.withColumn("cell", F.floor(F.log(F.col("n").cast("double")) / F.lit(ratio)))
+    cells = rows.groupBy(key, "cell").agg(F.sum(weight).alias("w")).select(key, "cell", F.ceil(F.col("w") / F.lit(float(most))).cast("int").alias("blocks"))
+    cells = table(cells, "cells")
+    near = cells
+    for name, step in (("before", 1), ("after", -1)):
+        near = near.join(cells.select(key, (F.col("cell") + step).alias("cell"), F.col("blocks").alias(name)), [key, "cell"], "left")
+    met = rows.join(small_side(near), [key, "cell"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    name = lambda cell, block: F.struct(cell.alias("cell"), block.alias("block"))
+    mine = name(F.col("cell"), F.col("block"))
+    unit = lambda a, b, side: F.struct(a.alias("u1"), b.alias("u2"), side.cast("int").alias("side"))
+    some = lambda n, f: F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), f))
+    own = some(F.col("blocks"), lambda k: unit(name(F.col("cell"), F.least(F.col("block"), k)), name(F.col("cell"), F.greatest(F.col("block"), k)), F.when(F.col("block") == k, 0).when(F.col("block") < k, 1).otherwise(2)))
+    before = some(F.col("before"), lambda k: unit(name(F.col("cell") - 1, k), mine, F.lit(2)))
+    after = some(F.col("after"), lambda k: unit(mine, name(F.col("cell") + 1, k), F.lit(1)))
+    none = F.array().cast("array<struct<u1:struct<cell:bigint,block:int>,u2:struct<cell:bigint,block:int>,side:int>>")
+    every = met.withColumn("unit", F.explode(F.concat(own, F.coalesce(before, none), F.coalesce(after, none))))
+    number = lambda u: F.col(f"unit.{u}.cell") * (1 << 31) + F.col(f"unit.{u}.block")
+    return every.withColumns({"u1": number("u1"), "u2": number("u2"), "side": F.col("unit.side")}).drop("unit", "blocks", "before", "after", "block", "cell")
+
+
 def _crowd_candidates(num: int, den: int):
-    """For rows (tok, rep, n, point) that come by tok: enough candidate pairs (a, b) under each tok."""
+    """For rows (tok, u1, u2, side, rep, n, point) that come by unit: enough candidate pairs (a, b) of each unit."""
 
     def run(batches) -> Iterator:
         import pyarrow as pa
@@ -242,16 +301,18 @@ def _crowd_candidates(num: int, den: int):
         now = None
 
         def pairs():
-            found = Joined(len(held))
-            tree_join(np.array([h[1] for h in held], np.int64), [_unpacked(h[2]) for h in held], found.apart, found.join, num, den)
-            return pa.RecordBatch.from_arrays([pa.array([held[i][0] for i, _ in found.links], pa.int64()), pa.array([held[j][0] for _, j in found.links], pa.int64())], names=["a", "b"])
+            found, side = Joined(len(held)), np.array([h[0] for h in held])
+            left, right = side != 2, side != 1
+            apart = lambda p, q: found.apart(p, q) & across(left, right, p, q)
+            tree_join(np.array([h[2] for h in held], np.int64), [_unpacked(h[3]) for h in held], apart, found.join, num, den)
+            return pa.RecordBatch.from_arrays([pa.array([held[i][1] for i, _ in found.links], pa.int64()), pa.array([held[j][1] for _, j in found.links], pa.int64())], names=["a", "b"])
 
         for batch in batches:
-            for tok, *row in zip(*(batch.column(k).to_pylist() for k in ("tok", "rep", "n", "point")), strict=True):
-                if tok != now:
+            for tok, u1, u2, *row in zip(*(batch.column(k).to_pylist() for k in ("tok", "u1", "u2", "side", "rep", "n", "point")), strict=True):
+                if (tok, u1, u2) != now:
                     if held:
                         yield pairs()
-                    held, now = [], tok
+                    held, now = [], (tok, u1, u2)
                 held.append(row)
         if held:
             yield pairs()
@@ -291,8 +352,11 @@ def candidates(classes: DataFrame, num: int, den: int) -> DataFrame:
     points = classes.select("rep", "n", "point")
     pairs = pairs.join(points.selectExpr("rep as a", "n as na", "point as pa"), "a").join(points.selectExpr("rep as b", "n as nb", "point as pb"), "b")
     met_pairs = pairs.select("a", "b", "na", "nb", "pa", "pb").mapInArrow(trimmed(_pair_candidates(num, den)), "a long, b long")
-    crowds = met.where(F.col("times") > CROWD).join(classes.select("rep", "point"), "rep").repartition("tok").sortWithinPartitions("tok", "rep")
-    return met_pairs.unionByName(crowds.select("tok", "rep", "n", "point").mapInArrow(trimmed(_crowd_candidates(num, den)), "a long, b long"))
+    crowds = met.where(F.col("times") > CROWD)
+    whole = crowds.where(F.col("times") <= HOT).select("tok", "rep", "n", F.lit(0).cast("long").alias("u1"), F.lit(0).cast("long").alias("u2"), F.lit(0).alias("side"))
+    hot = deal(crowds.where(F.col("times") > HOT).select("tok", "rep", "n"), "tok", F.lit(1), HOT, num, den)
+    crowds = whole.unionByName(hot).join(classes.select("rep", "point"), "rep").repartition("tok", "u1", "u2").sortWithinPartitions("tok", "u1", "u2", "rep")
+    return met_pairs.unionByName(crowds.select("tok", "u1", "u2", "side", "rep", "n", "point").mapInArrow(trimmed(_crowd_candidates(num, den)), "a long, b long"))
 
 
 def _units(signed: DataFrame, num: int, den: int) -> DataFrame:
@@ -304,26 +368,17 @@ def _units(signed: DataFrame, num: int, den: int) -> DataFrame:
     members = cut(classes.select("rep", "n", "k1", "k2").join(both, "rep"))
     weigh = members.groupBy("component").agg(F.sum("n").alias("weight"))
     fit = members.join(weigh, "component")
-    small = fit.where(F.col("weight") <= UNIT).select("rep", "n", "k1", "k2", F.col("component").alias("u0"), F.lit(0).alias("u1"), F.lit(0).alias("u2"), F.lit(0).alias("side"))
-    wide = fit.where(F.col("weight") > UNIT)
-    if not wide.head(1):
-        return small
-    run = W.partitionBy("component").orderBy("n", "rep").rowsBetween(W.unboundedPreceding, -1)
-    blocks = cut(wide.withColumn("block", F.floor(F.coalesce(F.sum("n").over(run), F.lit(0)) / (UNIT // 2)).cast("int")))
-    span = blocks.groupBy("component", "block").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    left, right = span.selectExpr("component", "block as u1", "most as most_left"), span.selectExpr("component", "block as u2", "least as least_right")
-    pairs = left.join(right, "component").where(f"u1 <= u2 and least_right * {num} <= most_left * {den}").select("component", "u1", "u2")
-    sides = pairs.select("component", F.col("u1").alias("block"), "u1", "u2", F.when(F.col("u1") == F.col("u2"), 0).otherwise(1).alias("side"))
-    sides = sides.unionByName(pairs.where("u1 < u2").select("component", F.col("u2").alias("block"), "u1", "u2", F.lit(2).alias("side")))
-    return small.unionByName(blocks.join(sides, ["component", "block"]).select("rep", "n", "k1", "k2", F.col("component").alias("u0"), "u1", "u2", "side"))
+    zero = F.lit(0).cast("long")
+    small = fit.where(F.col("weight") <= UNIT).select("rep", "n", "k1", "k2", F.col("component").alias("u0"), zero.alias("u1"), zero.alias("u2"), F.lit(0).alias("side"))
+    wide = fit.where(F.col("weight") > UNIT).select("rep", "n", "k1", "k2", F.col("component").alias("u0"))
+    return small.unionByName(deal(wide, "u0", F.col("n"), UNIT // 2, num, den)) if wide.head(1) else small
 
 
 def ngram_jaccard_links(docs: DataFrame, signed: DataFrame, id_col: str, text_col: str, n: int, num: int, den: int) -> DataFrame:
     """Spanning links (a, b) between class representatives."""
     units = cut(_units(signed, num, den).withColumn("unit", F.xxhash64("u0", "u1", "u2")))
     plain = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text"))
-    chosen = F.broadcast(units) if units.count() <= BROADCAST_ROWS else units
-    full = plain.join(chosen, "rep").select("unit", "u0", "u1", "u2", "side", "rep", "n", "k1", "k2", "text")
+    full = plain.join(small_side(units), "rep").select("unit", "u0", "u1", "u2", "side", "rep", "n", "k1", "k2", "text")
     dealt = full.repartition("unit").sortWithinPartitions("unit", "u0", "u1", "u2", "rep")
 
     def verify(batches) -> Iterator:

@@ -1,6 +1,10 @@
 import itertools
 import random
 
+import numpy as np
+import pytest
+
+from docmill.llm import ngram_jaccard as m
 from docmill.llm.ngram_jaccard import ngram_jaccard_join
 
 
@@ -60,10 +64,50 @@ def test_empty(spark):
 
 
 def test_wide_units_are_dealt_by_shingle_and_block(spark, monkeypatch):
-    from docmill.llm import ngram_jaccard as m
-
     monkeypatch.setattr(m, "UNIT", 300)
     rows = near_rows()
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: r.component_id for r in ngram_jaccard_join(docs, n=4, num=85, den=100).collect() if r.doc_id is not None}
     assert got == brute(rows, 4, 85, 100)
+
+
+def crowd_rows():
+    """Families of many near copies, and texts that share words with all of them."""
+    rnd = random.Random(12)
+    words = [f"w{k}" for k in range(300)]
+    rows = []
+    for _ in range(4):
+        text = [rnd.choice(words) for _ in range(60)]
+        for _ in range(70):
+            copy = list(text) + [rnd.choice(words) for _ in range(rnd.choice([0, 1, 2, 8, 40]))]
+            for _ in range(rnd.choice([0, 1, 2, 3])):
+                copy[rnd.randrange(len(copy))] = rnd.choice(words)
+            rows.append((len(rows), " ".join(copy)))
+    return rows
+
+
+@pytest.mark.parametrize("sizes", [{"LEAF": 3, "FANOUT": 2, "CROWD": 2, "HOT": 1 << 30}, {"LEAF": 4, "FANOUT": 3, "CROWD": 3, "HOT": 10}, {"CROWD": 1, "HOT": 5, "UNIT": 900}])
+def test_crowds_trees_and_hot_shingles(spark, monkeypatch, sizes):
+    for name, value in sizes.items():
+        monkeypatch.setattr(m, name, value)
+    rows = crowd_rows()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for n, num, den in ((4, 85, 100), (5, 4, 5)):
+        got = {r.doc_id: r.component_id for r in ngram_jaccard_join(docs, n=n, num=num, den=den).collect()}
+        assert got == brute(rows, n, num, den)
+
+
+def test_tree_visits_all_pairs_that_the_bound_lets_pass(monkeypatch):
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 1 << 63, int(rng.integers(1, 400)), dtype=np.uint64) * np.uint64(2)) for _ in range(150)]
+    sets += [np.unique(np.concatenate([s[: int(len(s) * 0.95)], s[:3] + np.uint64(1)])) for s in sets[:60]]
+    size, points = np.array([len(s) for s in sets]), [m.point(s).astype(np.int64) for s in sets]
+    for leaf, fanout in ((2, 2), (5, 3), (32, 8)):
+        monkeypatch.setattr(m, "LEAF", leaf)
+        monkeypatch.setattr(m, "FANOUT", fanout)
+        seen = set()
+        m.tree_join(size, points, lambda p, q: np.ones((len(p), len(q)), bool), lambda i, j: seen.add((min(i, j), max(i, j))), 4, 5)
+        for i, j in itertools.combinations(range(len(sets)), 2):
+            if np.minimum(points[i], points[j]).sum() >= m.least_overlap(size[i], size[j], 4, 5):
+                assert (i, j) in seen
+        assert len(seen) < len(sets) ** 2 / 4
