@@ -12,6 +12,9 @@ than BLOCK rows are dealt as pairs of blocks. Vectors that are equal are one cla
 
 Recall, measured against brute force in tests and in the README, is above 0.98 at cosine 0.9 and rises with the cosine.
 
+The code's parts grow with the vectors, not its words, so a worker holds at most WORDS directions for each dimension;
+rows of one block are compared by SLICE filters at a time.
+
 Defined cases: null, empty or zero vectors and those with null or non-finite components link with nothing; vectors of
 different lengths do not link; a null id links with nothing and has a null component; repeated rows are copies, each
 linked with the others; an empty table gives an empty result; other columns are ignored, whatever their names.
@@ -29,8 +32,9 @@ from pyspark.sql import functions as F
 
 from .common import connected_components, focus, small_side, table, trimmed
 
-#: Vectors a filter holds, filters a vector passes, and at least; rows of a block; parts of the code.
-CROWD, PASSED, LEAST, BLOCK = 96, 18, 18, 2048
+#: Vectors a filter holds, filters a vector passes, and at least; rows of a block; words of a part's code at most; filters
+#: that rows are compared by at a time.
+CROWD, PASSED, LEAST, BLOCK, WORDS, SLICE = 96, 18, 18, 2048, 2048, 4096
 
 
 class Caps:
@@ -40,8 +44,9 @@ class Caps:
         share = min(0.2, CROWD / max(n, 1))
         self.height = NormalDist().inv_cdf(1 - share)
         filters = max(16, PASSED / share)
-        self.parts = 1 if dim < 8 else 2 if filters < 4e6 else 3
-        self.words = max(4, math.ceil(filters ** (1 / self.parts)))
+        # As many parts as keep each code short (but one dimension each at least), so no code grows with the vectors.
+        self.parts = min(dim, max(1 if dim < 8 else 2, math.ceil(math.log(filters) / math.log(WORDS))))
+        self.words = min(WORDS, max(4, math.ceil(filters ** (1 / self.parts))))
         rng = np.random.default_rng(seed)
         self.cuts = np.linspace(0, dim, self.parts + 1).astype(int)
         self.codes = []
@@ -49,8 +54,6 @@ class Caps:
             c = rng.standard_normal((self.words, b - a))
             self.codes.append(c / np.linalg.norm(c, axis=1, keepdims=True))
         self.dim = dim
-        if self.words**self.parts >= 1 << 31:
-            raise ValueError("more filters than 31 bits name")
 
     def passed(self, unit: np.ndarray) -> list[np.ndarray]:
         """The ascending filters of each row of unit vectors."""
@@ -123,9 +126,9 @@ def filtered(classes: DataFrame, caps: dict[int, Caps]) -> DataFrame:
             for dim in np.unique(lens):
                 own = batch.filter(pa.array(lens == dim))
                 got = caps[int(dim)].passed(_unit(_matrix(own.column(2))))
-                yield pa.RecordBatch.from_arrays([*own.columns, pa.array([g.astype(np.int32) for g in got], pa.list_(pa.int32()))], names=["rep", "n", "vec", "passed"])
+                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(got, pa.list_(pa.int64()))], names=["rep", "n", "vec", "passed"])
 
-    return classes.mapInArrow(trimmed(run), f"rep long, n long, vec {classes.schema['vec'].dataType.simpleString()}, passed array<int>")
+    return classes.mapInArrow(trimmed(run), f"rep long, n long, vec {classes.schema['vec'].dataType.simpleString()}, passed array<long>")
 
 
 def _verify(threshold: float):
@@ -137,10 +140,26 @@ def _verify(threshold: float):
         side = np.array([h[4] for h in held])
         unit = _unit(np.array([h[2] for h in held], np.float64))
         earlier = [h[3][: int(np.searchsorted(h[3], now[1]))] for h in held]
-        names = np.unique(np.concatenate([np.zeros(0, np.int32), *earlier]))
-        shared = np.zeros((len(held), len(names)), np.float32)
-        for i, e in enumerate(earlier):
-            shared[i, np.searchsorted(names, e)] = 1
+        # Filters before this one that several rows pass, and which rows pass which.
+        row = np.repeat(np.arange(len(held)), [len(e) for e in earlier])
+        names, at, times = np.unique(np.concatenate([np.zeros(0, np.int64), *earlier]), return_inverse=True, return_counts=True)
+        several = times > 1
+        number = np.cumsum(several) - 1
+        row, at = row[several[at]], number[at[several[at]]]
+        slices = []
+        for s in range(0, int(several.sum()), SLICE):
+            inside = (at >= s) & (at < s + SLICE)
+            slices.append((row[inside], at[inside] - s))
+
+        def met_before(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            """Which of rows a and b share one of those filters."""
+            out = np.zeros((len(a), len(b)), bool)
+            for rows, cols in slices:
+                passed = np.zeros((len(held), int(cols.max()) + 1), np.float32)
+                passed[rows, cols] = 1
+                out |= passed[a] @ passed[b].T > 0
+            return out
+
         root = np.arange(len(held))
 
         def find(i: int) -> int:
@@ -158,7 +177,7 @@ def _verify(threshold: float):
             x, y = np.nonzero(near)
             if not len(x):
                 continue
-            fresh = near & ~((shared[a] @ shared[right].T) > 0) if len(names) else near
+            fresh = near & ~met_before(a, right)
             total[a] += fresh @ count[right]
             if now[2] != now[3]:
                 total[right] += fresh.T @ count[a]

@@ -407,3 +407,26 @@ def test_cap_join_against_brute_force(spark, monkeypatch):
         assert all(got[i].n_links == 0 and got[i].component_id == i and got[i].kept for i in (900, 901, 902, 903, 904, 905))
         assert got[None].n_links == 0 and got[None].component_id is None and not got[None].kept
     assert caps.cap_join(vectors.limit(0)).count() == 0
+
+
+def test_codes_stay_short():
+    rng = np.random.default_rng(3)
+    for dim in (1, 2, 3, 5, 8, 64, 768):
+        for n in (10, 10_000, 10**8, 10**12):
+            c = caps.Caps(dim, n)
+            assert c.words <= caps.WORDS and len(c.codes) == c.parts <= dim
+        x = rng.standard_normal((40, dim))
+        got = caps.Caps(dim, 10**6).passed(x / np.linalg.norm(x, axis=1, keepdims=True))
+        assert all(len(g) and g.dtype == np.int64 and (np.diff(g) > 0).all() for g in got)
+
+
+@pytest.mark.parametrize("dim", [1, 2, 3, 5])
+def test_cap_join_in_few_dimensions(spark, monkeypatch, dim):
+    monkeypatch.setattr(caps, "BLOCK", 40)
+    monkeypatch.setattr(caps, "SLICE", 7)
+    rng = np.random.default_rng(dim)
+    x = rng.standard_normal((150, dim))
+    link = brute_links(x, 0.9)
+    got = {r.vec_id: r.n_links for r in caps.cap_join(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()}
+    found = sum(got.values()) / max(1, link.sum())
+    assert all(got[i] <= link[i].sum() for i in got) and found >= 0.95
