@@ -50,19 +50,31 @@ TESTS = ("repeats", "changes", "serial")
 MEAN, SPREAD, WEIGHT = (0.05, 0.07, 0.3), (0.15, 0.4, 1.0), 200.0
 
 
-def _found(text: Column, pattern: str, group: int) -> Column:
+#: What marks matches while they are taken apart.
+EDGE, INNER = "\x01", "\x02"
+
+
+def _marked(text: Column, pattern: str, group: int) -> Column:
+    """text cut at the matches of a pattern: what lies between them and, in turn, each match with a group of it."""
+    return F.split(F.regexp_replace(text, pattern, f"{EDGE}$0{INNER}${group}{EDGE}"), EDGE, -1)
+
+
+def _found(parts: Column) -> Column:
     """(gap, hit, value) of each match: lengths of the text before it and of itself, and a group of it."""
-    gaps = F.split(text, pattern, -1)
-    hits, values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    rows = F.transform(F.arrays_zip(hits.alias("hit"), values.alias("value"), F.slice(gaps, F.lit(1), F.size(hits)).alias("gap")), lambda m: F.struct(F.length(m["gap"]).alias("gap"), F.length(m["hit"]).alias("hit"), m["value"].alias("value")))
-    return F.when(text.rlike(pattern), rows)
+    gaps, hits = F.filter(parts, lambda _, i: i % 2 == 0), F.filter(parts, lambda _, i: i % 2 == 1)
+    rows = F.zip_with(hits, F.slice(gaps, F.lit(1), F.size(hits)), lambda h, g: F.struct(F.length(g).alias("gap"), F.length(F.substring_index(h, INNER, 1)).alias("hit"), F.substring_index(h, INNER, -1).alias("value")))
+    return F.when(F.size(parts) > 1, rows)
 
 
 def _matches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
     named = reduce(or_, [F.contains(F.lower("t"), F.lit(n)) for n in NAMES])
-    shown = {"assign": F.when(named, _found(F.col("t"), ASSIGN, 2)), "access": F.when(F.contains("t", F.lit("AKIA")), _found(F.col("t"), ACCESS, 0)), "hex": _found(F.col("t"), HEX, 0), "random": _found(F.col("t"), TOKEN, 0)}
-    return docs.select(F.col(id_col).alias("doc_id"), text.alias("t")).select("doc_id", F.xxhash64("t").alias("h"), *[c.alias(k) for k, c in shown.items()])
+    # No pattern matches the marks, so texts that hold them are told by blanks in their place.
+    plain = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("h"), F.translate(text, EDGE + INNER, "\x03\x03").alias("t"))
+    # Whatever else a text holds, hex runs lie in tokens.
+    cut = plain.select("doc_id", "h", "t", F.when(named, _marked(F.col("t"), ASSIGN, 2)).alias("assign"), F.when(F.contains("t", F.lit("AKIA")), _marked(F.col("t"), ACCESS, 0)).alias("access"), _marked(F.col("t"), TOKEN, 0).alias("random"))
+    cut = cut.withColumn("hex", F.when(F.exists("random", lambda x: x.rlike(HEX)), _marked(F.col("t"), HEX, 0)))
+    return cut.select("doc_id", "h", *[_found(F.col(k)).alias(k) for k in KINDS])
 
 
 def _spans(scanned: DataFrame) -> DataFrame:
@@ -77,23 +89,26 @@ def _spans(scanned: DataFrame) -> DataFrame:
     return rows.withColumn("end", end).withColumn("start", F.col("end") - F.col("hit")).select("doc_id", "h", "kind", "start", "end", "value")
 
 
-def battery(token: Column) -> list[Column]:
-    """What the three tests measure of a token's letters and digits, and how many these are."""
-    solid = F.regexp_replace(token, "[^A-Za-z0-9]", "")
-    chars = F.split(solid, "")
-    n = F.length(solid).cast("double")
-    codes = F.transform(chars, lambda c: F.ascii(c).cast("double"))
+def battery(tokens: DataFrame) -> DataFrame:
+    """tokens (value, ...) with what the three tests measure of the value's letters and digits, and how many these are.
+
+    Each step is a column of its own, so that no step runs again for every character of the next."""
+    solid, chars, codes = F.col("solid"), F.col("chars"), F.col("codes")
+    total = lambda x: F.aggregate(x, F.lit(0.0), lambda a, c: a + c)
+    out = tokens.withColumn("solid", F.regexp_replace("value", "[^A-Za-z0-9]", "")).withColumns({"chars": F.split(solid, ""), "size": F.length(solid).cast("double")})
+    out = out.withColumn("codes", F.transform(chars, lambda c: F.ascii(c).cast("double")))
+    kind = lambda c: F.when(c < 58, 0).when(c < 91, 1).otherwise(2)
+    out = out.withColumns({"kinds": F.transform(codes, kind), "mean": total(codes) / F.col("size")})
+    out = out.withColumn("off", F.transform(codes, lambda c: c - F.col("mean")))
+    neighbours = lambda name, f: total(F.zip_with(F.slice(name, F.lit(1), F.size(name) - 1), F.slice(name, F.lit(2), F.size(name) - 1), f))
     alphabet = F.when(solid.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"), 16.0).when(solid.rlike("^[A-Z2-7]+$"), 32.0).otherwise(62.0)
+    times = F.transform(F.array_distinct(chars), lambda c: F.col("size") - F.length(F.replace(solid, c, F.lit(""))))
+    out = out.withColumns({"times": times, "spread": total(F.transform("off", lambda c: c * c)), "alphabet": alphabet})
     # Chi-squared over the alphabet, as the rate at which two characters agree beyond the uniform one.
-    counts = F.transform(F.array_distinct(chars), lambda c: F.size(F.filter(chars, lambda x: x == c)).cast("double"))
-    repeats = F.aggregate(counts, F.lit(0.0), lambda a, c: a + c * (c - 1)) / (n * (n - 1)) - 1.0 / alphabet
-    kind = lambda c: F.when(c < 58, 0).when(c < 91, 1).otherwise(2)
-    pairs = lambda x, f: F.aggregate(F.zip_with(F.slice(x, F.lit(2), F.size(x) - 1), F.slice(x, F.lit(1), F.size(x) - 1), f), F.lit(0.0), lambda a, c: a + c)
-    changes = pairs(F.transform(codes, kind), lambda b, a: ((a != b) & ~((a == 1) & (b == 2))).cast("double")) / (n - 1)
-    mean = F.aggregate(codes, F.lit(0.0), lambda a, c: a + c) / n
-    spread = F.aggregate(codes, F.lit(0.0), lambda a, c: a + (c - mean) * (c - mean))
-    serial = F.when(spread > 0, pairs(codes, lambda a, b: (a - mean) * (b - mean)) / spread).otherwise(1.0)
-    return [repeats.alias("repeats"), changes.alias("changes"), serial.alias("serial"), n.alias("size")]
+    repeats = total(F.transform("times", lambda c: c * (c - 1))) / (F.col("size") * (F.col("size") - 1)) - 1.0 / F.col("alphabet")
+    changes = neighbours("kinds", lambda a, b: ((a != b) & ~((a == 1) & (b == 2))).cast("double")) / (F.col("size") - 1)
+    serial = F.when(F.col("spread") > 0, neighbours("off", lambda a, b: a * b) / F.col("spread")).otherwise(1.0)
+    return out.withColumns({"repeats": repeats, "changes": changes, "serial": serial}).drop("solid", "chars", "codes", "kinds", "mean", "off", "times", "spread", "alphabet")
 
 
 def ordinary_tests(tokens: DataFrame) -> DataFrame:
@@ -134,7 +149,9 @@ def random_spans(spans: DataFrame) -> DataFrame:
     ordinary = value.rlike(ORDINARY)
     tokens = spans.where(F.col("kind") == KINDS.index("random")).withColumn("ordinary", ordinary)
     tokens = tokens.where(~value.rlike(UUID) & (F.col("ordinary") | (mixed & (F.length("value") >= LENGTH))))
-    known = table(tokens.select("doc_id", "h", "kind", "start", "end", F.length("value").alias("length"), "ordinary", (mixed & (F.length("value") >= LENGTH)).alias("tested"), *battery(value)), "secrets-tested")
+    tokens = tokens.select("doc_id", "h", "kind", "start", "end", "value", F.length("value").alias("length"), "ordinary", (mixed & (F.length("value") >= LENGTH)).alias("tested"))
+    tokens = tokens.repartition(int(spans.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id", "h", "start")  # a few bytes, but much to do
+    known = table(battery(tokens).drop("value"), "secrets-tested")
     of_length = F.lit(0)
     for i, n in enumerate(LENGTHS):
         of_length = F.when(F.col("length") >= n, i).otherwise(of_length)
