@@ -19,10 +19,11 @@ from pyspark.sql.window import Window as W
 
 from .common import small_side, table
 
-#: Words of a window; terms by which a window is looked up.
-WINDOW, ANCHORS = 13, 2
+#: Words of a window; terms by which a window is looked up; places by which they may be off in a proximity match.
+WINDOW, ANCHORS, SLOP = 13, 2, 2
 #: What lies between words, and the letters that are lowered.
 GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -81,31 +82,37 @@ def exact_phrases(docs: DataFrame, index: DataFrame, keys: DataFrame, windows: D
     met = _lists(index, keys).groupBy("doc_id", "h", "wid", "start", "len", "of").agg(F.count_distinct("rank").alias("n")).where("n = of")
     tested = met.join(small_side(windows.select("wid", F.concat_ws(" ", "terms").alias("phrase"))), "wid")
     tested = table(tested.groupBy("doc_id", "h").agg(F.collect_list(F.struct("start", "len", "wid", "phrase")).alias("met")), "phrases-met")
-    chosen = small_side(tested.select(F.col("doc_id").alias("t_id"), F.col("h").alias("t_h")))
-    texts = _scan(docs, id_col, text_col)
-    texts = texts.join(chosen, texts["doc_id"].eqNullSafe(F.col("t_id")) & (F.col("h") == F.col("t_h")), "left_semi")
     met = tested.select(F.col("doc_id").alias("t_id"), F.col("h").alias("t_h"), "met")
+    # Only the texts that have a candidate are taken apart again.
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("h"), F.col(text_col).alias("text"))
+    texts = texts.join(small_side(met.select("t_id", "t_h")), texts["doc_id"].eqNullSafe(F.col("t_id")) & (F.col("h") == F.col("t_h")), "left_semi").distinct()
     texts = texts.join(met, texts["doc_id"].eqNullSafe(F.col("t_id")) & (F.col("h") == F.col("t_h")))
-    texts = texts.select("doc_id", "h", F.transform("words", lowered).alias("words"), "met")
+    texts = texts.select("doc_id", "h", F.transform(raw_words(F.col("text")), lowered).alias("words"), "met")
     same = F.filter("met", lambda m: F.array_join(F.slice("words", m["start"] + 1, m["len"]), " ") == m["phrase"])
     return texts.select("doc_id", "h", F.inline(F.transform(same, lambda m: F.struct(m["wid"].alias("wid"), m["start"].alias("start"), m["len"].alias("len"))))).distinct()
 
 
-def proximity_matches(docs: DataFrame, items: DataFrame, slop: int, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
-    """(doc_id, wid, start): where the rarest terms of a window stand within slop places of their places in it."""
-    windows, _ = test_windows(items, item_col, item_text, window)
-    keys = anchors(docs, windows, id_col, text_col)
-    lists = _lists(postings(docs, keys, id_col, text_col), keys)
+def near_starts(index: DataFrame, keys: DataFrame, slop: int) -> DataFrame:
+    """(doc_id, h, wid, start): where the rarest terms of a window stand within slop places of their places in it."""
+    lists = _lists(index, keys)
     cell = F.floor(F.col("start") / (slop + 1))
     first = lists.where("rank = 1").select("doc_id", "h", "wid", "start", "of", F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell"))
     rest = lists.where("rank > 1").select(F.col("doc_id").alias("r_id"), F.col("h").alias("r_h"), F.col("wid").alias("r_wid"), F.col("start").alias("r_start"), cell.alias("r_cell"))
     on = F.col("doc_id").eqNullSafe(F.col("r_id")) & (F.col("h") == F.col("r_h")) & (F.col("wid") == F.col("r_wid")) & (F.col("cell") == F.col("r_cell"))
     near = first.join(rest, on).where(F.abs(F.col("start") - F.col("r_start")) <= slop)
-    return near.unionByName(first.where("of = 1"), allowMissingColumns=True).select("doc_id", "wid", "start").distinct()
+    return near.unionByName(first.where("of = 1"), allowMissingColumns=True).select("doc_id", "h", "wid", "start").distinct()
+
+
+def proximity_matches(docs: DataFrame, items: DataFrame, slop: int, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
+    """(doc_id, wid, start): where the rarest terms of a window stand within slop places of their places in it."""
+    windows, _ = test_windows(items, item_col, item_text, window)
+    keys = anchors(docs, windows, id_col, text_col)
+    return near_starts(postings(docs, keys, id_col, text_col), keys, slop).select("doc_id", "wid", "start")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
-    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated, h) of every row of docs."""
+    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated, n_near, h) of every row of docs; n_near counts where the
+    rarest terms of a window stand within SLOP places of their places in it (what a window less exact would match)."""
     windows, owners = test_windows(items, item_col, item_text, window)
     keys = anchors(docs, windows, id_col, text_col)
     index = postings(docs, keys, id_col, text_col)
@@ -116,10 +123,14 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     hit = spans.withColumn("fresh", fresh).groupBy("doc_id", "h").agg(F.sum("fresh").alias("n_hit"))
     listed = hits.select("doc_id", "h", "wid").distinct().join(small_side(owners), "wid").groupBy("doc_id", "h").agg(F.array_sort(F.collect_set("item")).alias("items"))
     told = hit.join(listed, [hit["doc_id"].eqNullSafe(listed["doc_id"]), hit["h"] == listed["h"]]).select(hit["doc_id"].alias("t_id"), hit["h"].alias("t_h"), "n_hit", "items")
-    every = _scan(docs, id_col, text_col).select("doc_id", "h", F.size("words").cast("long").alias("n_words"))
+    near = near_starts(index, keys, SLOP).groupBy(F.col("doc_id").alias("p_id"), F.col("h").alias("p_h")).agg(F.count("*").alias("n_near"))
+    told = told.join(near, [told["t_id"].eqNullSafe(near["p_id"]), told["t_h"] == near["p_h"]], "full_outer")
+    told = told.select(F.coalesce("t_id", "p_id").alias("t_id"), F.coalesce("t_h", "p_h").alias("t_h"), "n_hit", "items", "n_near")
+    text = F.col(text_col)
+    every = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("h"), F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("n_words"))
     out = every.join(told, every["doc_id"].eqNullSafe(F.col("t_id")) & (F.col("h") == F.col("t_h")), "left")
     n_hit, found = F.coalesce("n_hit", F.lit(0)).cast("long"), F.coalesce("items", F.array().cast("array<string>"))
-    return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size(found).cast("long").alias("n_items"), F.sha2(F.array_join(found, ","), 256).alias("items_sha256"), ((n_hit > 0) & (n_hit * 20 >= F.col("n_words"))).alias("contaminated"), "h")
+    return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size(found).cast("long").alias("n_items"), F.sha2(F.array_join(found, ","), 256).alias("items_sha256"), ((n_hit > 0) & (n_hit * 20 >= F.col("n_words"))).alias("contaminated"), F.coalesce("n_near", F.lit(0)).alias("n_near"), "h")
 
 
 def clean_documents(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -59,10 +59,19 @@ occ AS MATERIALIZED (
     SELECT doc_id, len, unnest(range(1, len(a) - len + 2)) AS i, unnest(list_transform(range(1, len(a) - len + 2), lambda i: array_to_string(a[i:i + len - 1], ' '))) AS s FROM d, lens WHERE len(a) >= len) o
   JOIN win ON win.s = o.s AND win.len = o.len),
 hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + len)) AS p FROM occ) GROUP BY 1),
-items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM occ) GROUP BY 1)
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM occ) GROUP BY 1),
+wt AS (SELECT s, len, min(i) - 1 AS off, term FROM (SELECT s, len, unnest(string_split(s, ' ')) AS term, unnest(range(1, len + 1)) AS i FROM (SELECT DISTINCT s, len FROM win)) GROUP BY ALL),
+vocab AS (SELECT DISTINCT term FROM wt),
+dt AS MATERIALIZED (SELECT doc_id, term, pos, n FROM (SELECT doc_id, len(a) AS n, unnest(a) AS term, unnest(range(len(a))) AS pos FROM d) JOIN vocab USING (term)),
+tc AS (SELECT term, count(*) AS n FROM dt GROUP BY 1),
+keys AS (SELECT *, max(rank) OVER (PARTITION BY s) AS terms FROM (
+  SELECT s, len, off, term, row_number() OVER (PARTITION BY s ORDER BY n, term) AS rank, bool_or(n IS NULL) OVER (PARTITION BY s) AS lost FROM wt LEFT JOIN tc USING (term)) WHERE NOT lost AND rank <= 2),
+post AS MATERIALIZED (SELECT doc_id, s, pos - off AS start, rank, terms FROM dt JOIN keys USING (term) WHERE pos - off >= 0 AND pos - off + len <= dt.n),
+near AS (SELECT doc_id, count(*) AS n_near FROM (
+  SELECT DISTINCT f.doc_id, f.s, f.start FROM post f WHERE f.rank = 1 AND (f.terms = 1 OR EXISTS (SELECT 1 FROM post r WHERE r.rank = 2 AND r.doc_id = f.doc_id AND r.s = f.s AND r.start BETWEEN f.start - 2 AND f.start + 2))) GROUP BY 1)
 SELECT doc_id, CAST(len(a) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
-  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(a) AS contaminated
-FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(a) AS contaminated, coalesce(n_near, 0) AS n_near
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id) LEFT JOIN near USING (doc_id)
 """
 
 NEAR_VECTORS = r"""
