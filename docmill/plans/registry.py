@@ -2,32 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docmill.functions import text as T
 from docmill.operators import chunking, ledger, ranking, rows
+from docmill.plans.base import QUERIES, SQL, query, read
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def keep(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return keep
-
-
-def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+__all__ = ["QUERIES", "SQL"]
 
 # Hosts: what the driver's tables stand for -----------------------------------------------------------------------
 
@@ -429,3 +411,6 @@ def x57_slug(spark, sf_dir):
 @query()
 def s13_plain_html(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", T.plain_html(F.col("html")).alias("text"))
+
+
+from docmill.plans import usage_plans  # noqa: E402, F401
