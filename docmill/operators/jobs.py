@@ -243,9 +243,9 @@ def pricing_status(at: Column, guarded: bool = True) -> dict[str, Column]:
 
 def progress(chunks: DataFrame, job: str = "job", tokens: str = "tokens", done: str = "done", seconds: str = "seconds") -> DataFrame:
     """Per job: percent of its tokens done, tokens a second over what is done, and seconds left at that rate."""
-    sums = chunks.groupBy(job).agg(F.sum(F.when(F.col(done), F.col(tokens)).otherwise(0)).alias("t"), F.sum(tokens).alias("n"), F.sum(F.when(F.col(done), F.col(seconds)).otherwise(0.0)).alias("s"))
+    sums = chunks.groupBy(job).agg(F.sum(F.when(F.col(done), F.col(tokens)).otherwise(0)).alias("t"), F.sum(tokens).alias("n"), F.sum(F.when(F.col(done), F.col(seconds)).otherwise(0)).cast("double").alias("s"))
     rate = F.try_divide(F.col("t"), F.col("s"))
-    return sums.select(job, F.round(F.coalesce(F.try_divide(100.0 * F.col("t"), F.col("n")), F.lit(0.0)), 4).alias("percent"), F.round(rate, 4).alias("rate"), F.round(F.try_divide((F.col("n") - F.col("t")) * F.col("s"), F.col("t")), 3).alias("seconds_left"))
+    return sums.select(job, F.round(F.coalesce(F.try_divide(100.0 * F.col("t"), F.col("n")), F.lit(0.0)), 4).alias("percent"), F.round(rate, 4).alias("rate"), F.try_divide((F.col("n") - F.col("t")) * F.col("s"), F.col("t")).alias("seconds_left"))
 
 
 def ranked_within(rows: DataFrame, keys: list[str], order: list[Column], most: int) -> DataFrame:

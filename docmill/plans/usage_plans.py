@@ -54,7 +54,7 @@ CHUNKS = {
     "translated": "CASE WHEN l_returnflag = 'R' THEN NULL ELSE concat('out ', l_suppkey) END",
     "status": "CASE WHEN l_linestatus = 'F' OR l_returnflag = 'R' THEN 'failed' ELSE 'completed' END",
     "tokens": "CAST(l_quantity AS BIGINT)",
-    "seconds": "l_extendedprice / 100",
+    "seconds": "CAST(l_extendedprice AS DECIMAL(18,2))",
 }
 
 
@@ -310,7 +310,7 @@ def g33_completed_sizes(spark, sf_dir):
     return jobs.completed_sizes(chunk_rows(spark, sf_dir))
 
 
-@query(J + ", s AS (SELECT job, sum(CASE WHEN status = 'completed' THEN tokens ELSE 0 END) AS t, sum(tokens) AS n, sum(CASE WHEN status = 'completed' THEN seconds ELSE 0 END) AS s FROM h GROUP BY 1) SELECT job, round(coalesce(100.0::DOUBLE * t / nullif(n, 0), 0), 4) AS percent, round(t / nullif(s, 0), 4) AS rate, round((n - t) * s / nullif(t, 0), 3) AS seconds_left FROM s")
+@query(J + ", s AS (SELECT job, sum(CASE WHEN status = 'completed' THEN tokens ELSE 0 END) AS t, sum(tokens) AS n, CAST(sum(CASE WHEN status = 'completed' THEN seconds ELSE 0 END) AS DOUBLE) AS s FROM h GROUP BY 1) SELECT job, round(coalesce(100.0::DOUBLE * t / nullif(n, 0), 0), 4) AS percent, round(t / nullif(s, 0), 4) AS rate, (n - t) * s / nullif(t, 0) AS seconds_left FROM s")
 def y25_progress(spark, sf_dir):
     return jobs.progress(chunk_rows(spark, sf_dir).withColumn("done", F.col("status") == "completed"))
 
