@@ -18,7 +18,9 @@ SCRIPTS = {
 }
 MARKERS = {"Spanish": "el la los las un una de del que en para con por se no su al es son era fue habia había pero pues cuando entonces tambien también mas más como desde hasta sobre", "English": "the and of to in that is was for with as on by from this it be are were or an at which not have has had but they their", "French": "le la les des du de et que qui dans pour avec sur est sont une un ce cette par pas plus mais comme"}
 PAGE_LINE = r"^\s*(?:[Pp][Aa][Gg][Ee]\s*)?[0-9]{1,4}\s*$"
-NEGATIONS = "not no never nor without ne pas jamais nicht kein keine nie sin nunca ni"
+NEGATIONS = "no not never nicht kein keine jamais ne pas non nunca sin sans senza nao нет не jamás nadie nada tampoco ningún ninguna ninguno ningunas ningunos μη δεν 无 不 未 ない ません"
+#: "Though ... never so much" grants something and denies nothing.
+CONCESSIVE = r"(?<![\p{L}\p{N}_])(?:though|although)(?![\p{L}\p{N}_])[^.!?;:«»“”\"‘’\n]*(?<![\p{L}\p{N}_])never\s+so\s+much(?![\p{L}\p{N}_])(?!\s+as(?![\p{L}\p{N}_]))"
 CONTEXT_SIZES = (2048, 4096, 8192, 16384, 32768, 65536, 131072)
 
 
@@ -145,7 +147,10 @@ def sample_indices(total: Column, n: int) -> Column:
 
 
 def negations(text: Column) -> Column:
-    return F.size(F.filter(words(text), lambda w: w.isin(NEGATIONS.split()))).cast("long")
+    """Negations among a text's words, without the never of a concession; none in a null text."""
+    small = F.lower(F.coalesce(text, F.lit("")))
+    found = F.size(F.filter(words(text), lambda w: w.isin(NEGATIONS.split())))
+    return (found - F.when(small.contains("never"), F.regexp_count(small, F.lit(CONCESSIVE))).otherwise(0)).cast("long")
 
 
 def length_verdict(source: Column, candidate: Column) -> Column:
