@@ -23,7 +23,6 @@ from .common import small_side, table
 WINDOW, ANCHORS, SLOP = 13, 2, 2
 #: What lies between words, and the letters that are lowered.
 GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -64,11 +63,14 @@ def anchors(docs: DataFrame, windows: DataFrame, id_col: str, text_col: str) ->
     return table(found.withColumn("of", F.max("rank").over(whole)).select("term", "wid", "off", "len", "rank", "of"), "anchors")
 
 
-def postings(docs: DataFrame, keys: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The index: (term, doc_id, h, n_words, pos) for the terms that keys name; h tells texts of one id apart."""
-    each = _scan(docs, id_col, text_col).select("doc_id", "h", F.size("words").alias("n_words"), F.posexplode("words").alias("pos", "w"))
+def postings(docs: DataFrame, keys: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """In one pass over the texts: the index (term, doc_id, h, n_words, pos) for the terms that keys name (h tells texts of
+    one id apart), and (doc_id, h, n_words) of every row of docs, which a word of null after a text's last one stands for."""
+    each = _scan(docs, id_col, text_col).select("doc_id", "h", F.size("words").alias("n_words"), F.posexplode(F.concat("words", F.array(F.lit(None).cast("string")))).alias("pos", "w"))
     each = each.select(lowered(F.col("w")).alias("term"), "doc_id", "h", "n_words", "pos")
-    return table(each.join(small_side(keys.select("term").distinct()), "term"), "postings")
+    wanted = keys.select("term").distinct().withColumn("wanted", F.lit(True))
+    written = table(each.join(small_side(wanted), "term", "left").where("wanted or term is null").drop("wanted"), "postings")
+    return written.where("term is not null"), written.where("term is null").select("doc_id", "h", F.col("n_words").cast("long").alias("n_words"))
 
 
 def _lists(index: DataFrame, keys: DataFrame) -> DataFrame:
@@ -107,7 +109,7 @@ def proximity_matches(docs: DataFrame, items: DataFrame, slop: int, id_col: str
     """(doc_id, wid, start): where the rarest terms of a window stand within slop places of their places in it."""
     windows, _ = test_windows(items, item_col, item_text, window)
     keys = anchors(docs, windows, id_col, text_col)
-    return near_starts(postings(docs, keys, id_col, text_col), keys, slop).select("doc_id", "wid", "start")
+    return near_starts(postings(docs, keys, id_col, text_col)[0], keys, slop).select("doc_id", "wid", "start")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
@@ -115,7 +117,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     rarest terms of a window stand within SLOP places of their places in it (what a window less exact would match)."""
     windows, owners = test_windows(items, item_col, item_text, window)
     keys = anchors(docs, windows, id_col, text_col)
-    index = postings(docs, keys, id_col, text_col)
+    index, every = postings(docs, keys, id_col, text_col)
     hits = table(exact_phrases(docs, index, keys, windows, id_col, text_col), "phrases")
     before = W.partitionBy("doc_id", "h").orderBy("start", "len").rowsBetween(W.unboundedPreceding, -1)
     spans = hits.select("doc_id", "h", "start", (F.col("start") + F.col("len")).alias("end"), "len").distinct()
@@ -126,8 +128,6 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     near = near_starts(index, keys, SLOP).groupBy(F.col("doc_id").alias("p_id"), F.col("h").alias("p_h")).agg(F.count("*").alias("n_near"))
     told = told.join(near, [told["t_id"].eqNullSafe(near["p_id"]), told["t_h"] == near["p_h"]], "full_outer")
     told = told.select(F.coalesce("t_id", "p_id").alias("t_id"), F.coalesce("t_h", "p_h").alias("t_h"), "n_hit", "items", "n_near")
-    text = F.col(text_col)
-    every = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("h"), F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("n_words"))
     out = every.join(told, every["doc_id"].eqNullSafe(F.col("t_id")) & (F.col("h") == F.col("t_h")), "left")
     n_hit, found = F.coalesce("n_hit", F.lit(0)).cast("long"), F.coalesce("items", F.array().cast("array<string>"))
     return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size(found).cast("long").alias("n_items"), F.sha2(F.array_join(found, ","), 256).alias("items_sha256"), ((n_hit > 0) & (n_hit * 20 >= F.col("n_words"))).alias("contaminated"), F.coalesce("n_near", F.lit(0)).alias("n_near"), "h")

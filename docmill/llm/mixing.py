@@ -26,8 +26,8 @@ from .common import small_side, table
 #: Words of a block; slots whose ranks are taken together; cells in which slots find their source; documents whose places
 #: are taken together.
 BLOCK, RUN, CELLS, TOGETHER = 1024, 65_536, 4096, 2_000
-#: Words are runs of anything but blank and the control characters from tab to carriage return.
-WORD = r"[^\x20\x09-\x0D]+"
+#: Between words stand runs of blanks and of the control characters from tab to carriage return.
+GAP = r"[\x20\x09-\x0D]+"
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...], share: float, cap: float) -> DataFrame:
@@ -48,7 +48,7 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...], share: float, c
 
 def placed(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple[float, ...], share: float, cap: float) -> tuple[DataFrame, DataFrame]:
     """Documents with their place in the stream of their source (doc_id, source, size, t, sid, at), and the sources."""
-    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
+    size = F.size(F.array_remove(F.split(F.coalesce(F.col(text_col), F.lit("")), GAP), "")).cast("long")
     plain = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), F.xxhash64(F.col(text_col)).alias("t"), F.md5(F.coalesce(F.col(text_col), F.lit(""))).alias("m"))
     name = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null "), "m"))
     sized = table(plain.select("doc_id", "source", "size", "t", F.md5(name).alias("h")), "mixing-sizes")
