@@ -413,4 +413,4 @@ def s13_plain_html(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", T.plain_html(F.col("html")).alias("text"))
 
 
-from docmill.plans import boards, quality_plans, text_plans, usage_plans  # noqa: E402, F401
+from docmill.plans import boards, ordered_plans, quality_plans, text_plans, usage_plans  # noqa: E402, F401
