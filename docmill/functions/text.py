@@ -17,10 +17,12 @@ SCRIPTS = {
     "devanagari": r"[\x{0900}-\x{097F}]",
 }
 MARKERS = {"Spanish": "el la los las un una de del que en para con por se no su al es son era fue habia había pero pues cuando entonces tambien también mas más como desde hasta sobre", "English": "the and of to in that is was for with as on by from this it be are were or an at which not have has had but they their", "French": "le la les des du de et que qui dans pour avec sur est sont une un ce cette par pas plus mais comme"}
-PAGE_LINE = r"^\s*(?:[Pp][Aa][Gg][Ee]\s*)?[0-9]{1,4}\s*$"
+PAGE_LINE = r"(?i)^\s*(?:page\s*)?[0-9]{1,4}\s*$"
 NEGATIONS = "no not never nicht kein keine jamais ne pas non nunca sin sans senza nao нет не jamás nadie nada tampoco ningún ninguna ninguno ningunas ningunos μη δεν 无 不 未 ない ません"
 #: "Though ... never so much" grants something and denies nothing.
 CONCESSIVE = r"(?<![\p{L}\p{N}_])(?:though|although)(?![\p{L}\p{N}_])[^.!?;:«»“”\"‘’\n]*(?<![\p{L}\p{N}_])never\s+so\s+much(?![\p{L}\p{N}_])(?!\s+as(?![\p{L}\p{N}_]))"
+#: Boxes that stand for what could not be shown.
+BOXES = r"[\x{FFFC}\x{FFFD}\x{2580}-\x{259F}\x{25A0}-\x{25A1}\x{25AA}-\x{25AC}\x{25AE}-\x{25B0}\x{25FB}-\x{25FE}\x{2B1B}-\x{2B1C}]+"
 CONTEXT_SIZES = (2048, 4096, 8192, 16384, 32768, 65536, 131072)
 
 
@@ -51,8 +53,8 @@ def without_artifacts(text: Column) -> Column:
     """Zero-width marks, controls and replacement boxes go; a box between two letters or digits becomes a blank."""
     text = F.regexp_replace(text, r"[\x{200B}-\x{200D}\x{2060}]", "")
     text = F.regexp_replace(text, r"[\x{0000}-\x{0008}\x{000B}\x{000C}\x{000E}-\x{001F}\x{007F}-\x{009F}]", "")
-    text = F.regexp_replace(text, r"([\p{L}\p{N}])[\x{FFFC}\x{FFFD}\x{2580}-\x{259F}\x{25A0}-\x{25A1}\x{25AA}-\x{25AC}\x{25AE}-\x{25B0}\x{25FB}-\x{25FE}\x{2B1B}-\x{2B1C}]+(?=[\p{L}\p{N}])", "$1 ")
-    return tidy_spaces(F.regexp_replace(text, r"[\x{FFFC}\x{FFFD}\x{2580}-\x{259F}\x{25A0}-\x{25A1}\x{25AA}-\x{25AC}\x{25AE}-\x{25B0}\x{25FB}-\x{25FE}\x{2B1B}-\x{2B1C}]+", ""))
+    text = F.regexp_replace(text, rf"([\p{{L}}\p{{N}}]){BOXES}(?=[\p{{L}}\p{{N}}])", "$1 ")
+    return tidy_spaces(F.regexp_replace(text, BOXES, ""))
 
 
 def without_page_lines(text: Column) -> Column:
@@ -62,16 +64,6 @@ def without_page_lines(text: Column) -> Column:
     return F.when(many, F.array_join(F.transform(parts, lambda x: F.when(x.rlike(PAGE_LINE), "").otherwise(x)), "\n")).otherwise(F.coalesce(text, F.lit("")))
 
 
-def without_dot_leaders(text: Column) -> Column:
-    """Runs of dots that lead to a page number go, and lines of nothing else."""
-    kept = F.filter(lines(text), lambda x: ~x.rlike(r"^\s*(?:\.\s*){3,}[0-9]{1,5}\s*$"))
-    return F.array_join(F.transform(kept, lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, r"\s*(?:\.\s*){5,}", " "), r"[ \t]{2,}", " "))), "\n")
-
-
-def joined_decimals(text: Column) -> Column:
-    return F.regexp_replace(text, r"([0-9])\.\s+(?=[0-9])", "$1.")
-
-
 def ocr_signals(text: Column) -> dict[str, Column]:
     """What makes a text look scanned, from a score of three; a text of fewer than six lines looks like nothing."""
     full = F.filter(lines(text), lambda x: F.trim(x) != "")
@@ -97,42 +89,42 @@ def script_shares(counts: dict[str, Column]) -> dict[str, Column]:
     return {k: F.when(total > 0, c / total).otherwise(0.0) for k, c in counts.items()}
 
 
-def _members(tokens: Column, names: str) -> Column:
-    return F.size(F.filter(tokens, lambda w: w.isin(names.split())))
-
-
-def detected_language(text: Column) -> Column:
-    """The dominant script if it is not Latin, else the language of most marker words; the first of equals."""
-    counts = script_counts(text)
-    total = sum(counts.values(), F.lit(0))
-    best = F.greatest(*counts.values())
-    script = F.lit("")
-    for k in reversed(counts):
-        script = F.when((best > 0) & (counts[k] == best), k).otherwise(script)
+def language_signals(text: Column) -> Column:
+    """What tells a text's language, as one struct: letters of each script, marker words of each language. Make it a column
+    before detected_language, which looks at each field several times."""
     tokens = words(text)
-    scores = {k: _members(tokens, v) for k, v in MARKERS.items()}
-    top = F.greatest(*scores.values())
-    language = F.when(script != "", script).otherwise("unknown")
-    for k in reversed(scores):
-        language = F.when((top > 0) & (scores[k] == top), k).otherwise(language)
+    marks = F.create_map(*[x for w in sorted({w for v in MARKERS.values() for w in v.split()}) for x in (F.lit(w), F.lit(sum(1 << k for k, v in enumerate(MARKERS.values()) if w in v.split())))])
+    # Each word is looked up once; its languages are bits.
+    bits = F.filter(F.transform(tokens, lambda w: F.try_element_at(marks, w)), lambda b: b.isNotNull())
+    counts = F.aggregate(bits, F.array(*[F.lit(0)] * len(MARKERS)), lambda a, b: F.array(*[F.get(a, F.lit(k)) + F.shiftright(b, k).bitwiseAND(F.lit(1)) for k in range(len(MARKERS))]))
+    return F.struct(*[c.alias(k) for k, c in script_counts(text).items()], counts.alias("markers"))
+
+
+def detected_language(signals: Column) -> Column:
+    """The dominant script if it is not Latin, else the language of most marker words; the first of equals. signals is a
+    column of language_signals."""
+    total = sum((signals[k] for k in SCRIPTS), F.lit(0))
+    best = F.greatest(*[signals[k] for k in SCRIPTS])
+    script = F.lit("")
+    for k in reversed(SCRIPTS):
+        script = F.when((best > 0) & (signals[k] == best), k).otherwise(script)
+    top = F.array_max(signals["markers"])
+    language = F.when(top > 0, F.element_at(F.array(*map(F.lit, MARKERS)), F.array_position(signals["markers"], top).cast("int"))).otherwise(F.when(script != "", script).otherwise("unknown"))
     return F.when((script != "") & (script != "latin") & (best / total >= 0.35), script).otherwise(language)
 
 
+def with_language(texts, text_col: str, name: str = "language"):
+    """Rows with the language of a text."""
+    signals = texts.withColumn("_signals", language_signals(F.col(text_col)))
+    return signals.withColumn(name, detected_language(F.col("_signals"))).drop("_signals")
+
+
 def token_estimate(text: Column) -> Column:
     """Tokens without a vocabulary: a quarter of the characters, or the words if they are more."""
     value = F.coalesce(text, F.lit(""))
     return F.greatest(F.floor(F.length(value) / 4), F.regexp_count(value, F.lit(r"[^\s]+"))).cast("long")
 
 
-def paragraphs(text: Column, separator: str = r"\n\s*\n") -> Column:
-    return F.filter(F.split(F.coalesce(text, F.lit("")), separator), lambda x: F.trim(F.regexp_replace(x, r"\s+", " ")) != "")
-
-
-def sentences(text: Column) -> Column:
-    """Pieces up to and with their terminator, and what is left."""
-    return F.filter(F.transform(F.regexp_extract_all(text, F.lit(r"[^.!?\n]+[.!?]*|[.!?]+"), F.lit(0)), lambda s: F.trim(s)), lambda s: s != "")
-
-
 def context_size(need: Column) -> Column:
     """The least standard size that holds need, or need itself beyond them all."""
     fits = F.filter(F.array(*map(F.lit, CONTEXT_SIZES)), lambda s: s >= need)
@@ -153,19 +145,6 @@ def negations(text: Column) -> Column:
     return (found - F.when(small.contains("never"), F.regexp_count(small, F.lit(CONCESSIVE))).otherwise(0)).cast("long")
 
 
-def length_verdict(source: Column, candidate: Column) -> Column:
-    """What the length of a candidate says against its source; short sources say nothing."""
-    ratio = candidate / source
-    return F.when(source < 80, "ok").when((source >= 120) & (ratio < 0.35), "reject").when((source >= 300) & (ratio < 0.45), "reject").when(ratio < 0.58, "warn").when(ratio > 2.2, "warn").otherwise("ok")
-
-
-def semantic_verdict(source: Column, target: Column) -> Column:
-    """Omission or addition by the ratio of non-blank characters, for sources of 100 or more."""
-    size = lambda t: F.length(F.regexp_replace(F.coalesce(t, F.lit("")), r"[\s\x{00A0}]+", ""))
-    ratio = size(target) / size(source)
-    return F.when(size(source) < 100, "ok").when(ratio < 0.55, "probable_semantic_omission").when(ratio > 2.2, "probable_semantic_addition").otherwise("ok")
-
-
 def semantic_issues(source: Column, target: Column) -> Column:
     """Omission or addition by the ratio of non-blank characters, for sources of 100 characters or more, and the loss
     of every negation; an empty source or target has none."""
@@ -179,16 +158,5 @@ def semantic_issues(source: Column, target: Column) -> Column:
 
 
 def slug(text: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(text), r"[^a-z0-9]+", "-"), F.lit("-"))
-
-
-def plain_html(html: Column) -> Column:
-    """Text of a page: scripts and styles go, block ends become line breaks, tags go, entities are decoded."""
-    for tag in ("script", "style", "svg"):
-        html = F.regexp_replace(html, rf"(?is)<{tag}[^>]*>.*?</{tag}>", " ")
-    html = F.regexp_replace(html, r"(?i)<br[^>]*>|</(?:p|div|h[1-6]|li|ul|article|nav|footer|title)>", "\n")
-    html = F.regexp_replace(html, r"(?s)<[^>]*>", "")
-    for entity, to in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
-        html = F.replace(html, F.lit(entity), F.lit(to))
-    kept = F.filter(F.transform(F.split(html, "\n"), lambda x: F.trim(F.regexp_replace(x, r"[ \t]+", " "))), lambda x: x != "")
-    return F.array_join(kept, "\n")
+    """Small letters, digits, hyphens and underscores; hyphens for all else, one for a run, none at the ends."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(F.lower(text), r"[^a-z0-9\-_]", "-"), "-+", "-"), "^-+|-+$", "")

@@ -51,16 +51,14 @@ def spread(scores: DataFrame, key: str) -> DataFrame:
     return scores.groupBy(key).agg(F.count("overall").alias("n_scores"), F.round(F.avg("overall"), 6).alias("mean"), F.round(F.coalesce(F.stddev_samp("overall"), F.lit(0.0)), 6).alias("stddev"))
 
 
-def nearest_rank(values: Column, percent: float) -> Column:
-    """The value at the half-even rounded rank among the collected, sorted values of a group."""
-    ordered = F.sort_array(F.collect_list(values))
-    return F.element_at(ordered, (F.bround(F.lit(percent / 100.0) * (F.count(values) - 1)) + 1).cast("int"))
-
-
-def fitness(evaluations: DataFrame, weight: float = 0.5) -> DataFrame:
-    """Per prompt: mean score less a penalty on its sample variance (0 for one score)."""
-    variance = F.coalesce(F.var_samp("score"), F.lit(0.0))
-    return evaluations.groupBy("prompt").agg(F.round(F.avg("score") - variance * weight, 6).alias("fitness"))
+def nearest_rank(rows: DataFrame, key: str, value: str, percent: float) -> DataFrame:
+    """(key, rank value): the value at the half-even rounded rank of each key. Values are counted first, so a window runs
+    over different values and not over rows; nulls are not ranked."""
+    counts = rows.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("_n"))
+    own = W.partitionBy(key)
+    upto = counts.withColumns({"_to": F.sum("_n").over(own.orderBy(value).rowsBetween(W.unboundedPreceding, 0)), "_all": F.sum("_n").over(own)})
+    wanted = F.bround(F.lit(percent / 100.0) * (F.col("_all") - 1)).cast("long") + 1
+    return upto.where((F.col("_to") >= wanted) & (F.col("_to") - F.col("_n") < wanted)).select(key, value)
 
 
 def penalized_fitness(evaluations: DataFrame, variance: float = 0.1, longest: int = 500, excess: float = 0.001, term: float = 0.05, gap: float = 0.5) -> DataFrame:
@@ -74,11 +72,5 @@ def penalized_fitness(evaluations: DataFrame, variance: float = 0.1, longest: in
     return means.select("prompt", F.round(found, 6).alias("fitness"))
 
 
-def judged(translations: DataFrame, judgments: DataFrame, keys: list[str]) -> DataFrame:
-    """Translations with their judgment if it is of the same output: a left join, hash checked."""
-    same = F.col("judged_hash").isNull() | (F.col("judged_hash") == F.col("output_hash"))
-    return translations.join(judgments, keys, "left").withColumn("verified", F.col("judged_hash").isNotNull() & same)
-
-
 def orphans(judgments: DataFrame, translations: DataFrame, keys: list[str]) -> DataFrame:
     return judgments.join(translations, keys, "left_anti")

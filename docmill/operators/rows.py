@@ -7,21 +7,30 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 
-def latest(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """Upsert as compaction: the last row of each key."""
-    w = W.partitionBy(*keys).orderBy(*order)
-    return rows.withColumn("_nth", F.row_number().over(w)).where("_nth = 1").drop("_nth")
+def _extreme(rows: DataFrame, keys: list[str], order: list[str], last: bool) -> DataFrame:
+    """One row a key by an aggregate that combines before the shuffle, so no key's rows meet; keys may be null."""
+    rest = [c for c in rows.columns if c not in keys]
+    pick = F.max_by if last else F.min_by
+    kept = rows.groupBy(*keys).agg(pick(F.struct(*rest), F.struct(*order)).alias("_row"))
+    return kept.select(*keys, "_row.*").select(*rows.columns)
 
 
-def first_wins(rows: DataFrame, keys: list[Column], order: list[Column]) -> DataFrame:
-    return rows.withColumn("_nth", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where("_nth = 1").drop("_nth")
+def latest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Upsert as compaction: the last row of each key by the order's columns (null sorts first)."""
+    return _extreme(rows, keys, order, last=True)
 
 
-def insert_absent(new: DataFrame, old: DataFrame, key: Column, order: list[Column]) -> DataFrame:
-    """Rows of new whose folded key old lacks; of several, the first."""
-    seen = old.select(key.alias("_seen")).distinct()
-    kept = new.withColumn("_key", key).join(seen, F.col("_key") == F.col("_seen"), "left_anti")
-    return first_wins(kept, [F.col("_key")], order).drop("_key")
+def first_wins(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The first row of each key."""
+    return _extreme(rows, keys, order, last=False)
+
+
+def insert_absent(new: DataFrame, old: DataFrame, key: Column, order: list[str]) -> DataFrame:
+    """Rows of new whose key, trimmed and in small letters, old lacks; of several, the first. Blank keys are none."""
+    folded = F.lower(F.trim(key))
+    seen = old.select(folded.alias("_seen")).where("_seen <> ''").distinct()
+    kept = new.withColumn("_key", folded).where("_key <> ''").join(seen, F.col("_key") == F.col("_seen"), "left_anti")
+    return first_wins(kept, ["_key"], order).drop("_key")
 
 
 def completed_prefix(chunks: DataFrame, job: str, index: str, done: Column) -> DataFrame:
@@ -45,12 +54,12 @@ def identity_issues(units: DataFrame, document: str, unit: str, order: str) -> D
 
 
 def duplicate_outputs(units: DataFrame, unit: str, source: Column, target: Column, least: int = 100) -> DataFrame:
-    """Units whose long normalised output first stood for another source."""
-    norm = F.lower(F.trim(F.regexp_replace(target, r"[\s\x{00A0}]+", " ")))
-    w = W.partitionBy("_norm").orderBy(unit)
-    rows = units.withColumns({"_norm": norm, "_source": F.sha2(source, 256)}).where(F.length("_norm") >= least)
-    rows = rows.withColumns({"holder": F.first(unit).over(w), "_first": F.first("_source").over(w)})
-    return rows.where("_first <> _source").select(unit, "holder")
+    """Units whose long normalised output first stood for another source. Outputs are known by a digest, and their first
+    holders come from an aggregate, so neither texts nor the units of one output meet in a task."""
+    norm = F.lower(F.regexp_replace(F.regexp_replace(F.coalesce(target, F.lit("")), r"[\s\x{00A0}]+", " "), "^ | $", ""))
+    rows = units.select(unit, norm.alias("_norm"), F.sha2(F.coalesce(source.cast("string"), F.lit("")), 256).alias("_source")).where(F.length("_norm") >= least).select(unit, F.sha2("_norm", 256).alias("_digest"), "_source")
+    firsts = rows.groupBy("_digest").agg(F.min_by(F.struct(F.col(unit).alias("holder"), F.col("_source").alias("_first")), unit).alias("f"), F.count("*").alias("n")).where("n > 1").select("_digest", "f.*")
+    return rows.join(firsts, "_digest").where("_first <> _source").select(unit, "holder")
 
 
 def carried(rows: DataFrame, document: str, order: str, value: Column, name: str) -> DataFrame:

@@ -117,11 +117,6 @@ def d10_budget_snapshot(spark, sf_dir):
 # Rankings --------------------------------------------------------------------------------------------------------
 
 
-@query(SCORES + "SELECT model, count(*) AS n, count(overall) AS succeeded, round(avg(overall), 6) AS mean_overall FROM s GROUP BY 1")
-def g13_model_stats(spark, sf_dir):
-    return ranking.model_stats(scores(spark, sf_dir))
-
-
 @query(SCORES + """, e AS (SELECT language, model, sum(overall) AS s, count(overall) AS n, round(sum(overall) / count(overall), 6) AS mean FROM s GROUP BY 1, 2),
 o AS (SELECT *, row_number() OVER (PARTITION BY language ORDER BY mean DESC, model) AS b, row_number() OVER (PARTITION BY language ORDER BY mean, model) AS w FROM e)
 SELECT language, round(sum(s) / sum(n), 6) AS mean_overall, max(CASE WHEN b = 1 THEN model END) AS best_model, max(CASE WHEN w = 1 THEN model END) AS worst_model FROM o GROUP BY 1""")
@@ -153,11 +148,6 @@ def f39_score_distribution(spark, sf_dir):
     return scores(spark, sf_dir).groupBy("language", ranking.score_bucket(F.col("overall")).alias("label")).agg(F.count("*").alias("n"))
 
 
-@query(SCORES + "SELECT model AS prompt, round(avg(overall) - coalesce(var_samp(overall), 0) * 0.5, 6) AS fitness FROM s GROUP BY 1")
-def g40_fitness(spark, sf_dir):
-    return ranking.fitness(scores(spark, sf_dir).select(F.col("model").alias("prompt"), F.col("overall").alias("score")))
-
-
 @query(SCORES + f", m AS (SELECT model AS prompt, coalesce(avg(overall) FILTER (language % 2 = 0), 0) AS train, coalesce(avg(overall) FILTER (language % 2 = 1), 0) AS held, coalesce(var_samp(overall), 0) AS v FROM s GROUP BY 1) SELECT prompt, round(train - v * 0.1::DOUBLE - greatest(0, length(prompt) - 500) * 0.001::DOUBLE - len(list_filter({ranking.TEXT_TERMS}, lambda t: contains(lower(prompt), t))) * 0.05::DOUBLE - greatest(0, train - held) * 0.5::DOUBLE, 6) AS fitness FROM m")
 def g40_penalized_fitness(spark, sf_dir):
     return ranking.penalized_fitness(scores(spark, sf_dir).select(F.col("model").alias("prompt"), F.col("overall").alias("score"), (F.col("language") % 2 == 1).alias("test")))
@@ -165,13 +155,7 @@ def g40_penalized_fitness(spark, sf_dir):
 
 @query("SELECT lang, list_sort(list(n_chars))[CAST(round_even(0.9::DOUBLE * (count(*) - 1), 0) AS BIGINT) + 1] AS p90 FROM documents GROUP BY 1")
 def g41_nearest_rank(spark, sf_dir):
-    return read(spark, sf_dir, "documents").groupBy("lang").agg(ranking.nearest_rank(F.col("n_chars"), 90).alias("p90"))
-
-
-@query("SELECT d.doc_id, quality, toxic, l.doc_id IS NOT NULL AS verified FROM documents d LEFT JOIN labels l USING (doc_id)")
-def j01_judged_documents(spark, sf_dir):
-    labels = read(spark, sf_dir, "labels").withColumn("judged_hash", F.lit("h"))
-    return ranking.judged(read(spark, sf_dir, "documents").select("doc_id", F.lit("h").alias("output_hash")), labels, ["doc_id"]).select("doc_id", "quality", "toxic", "verified")
+    return ranking.nearest_rank(read(spark, sf_dir, "documents"), "lang", "n_chars", 90).select("lang", F.col("n_chars").alias("p90"))
 
 
 @query("SELECT c_custkey, c_nationkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 200000)")
@@ -191,19 +175,19 @@ def j04_groups_with_counts(spark, sf_dir):
 
 @query("SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
 def d01_latest_per_key(spark, sf_dir):
-    return rows.latest(read(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "ts"), ["user_id"], [F.desc("ts"), F.desc("event_id")]).drop("ts")
+    return rows.latest(read(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "ts"), ["user_id"], ["ts", "event_id"]).drop("ts")
 
 
 @query("SELECT min(doc_id) AS doc_id, sha256(text) AS digest FROM documents GROUP BY text")
 def u03_first_wins(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("digest"))
-    return rows.first_wins(docs, [F.col("digest")], [F.col("doc_id")])
+    return rows.first_wins(docs, ["digest"], ["doc_id"])
 
 
-@query("SELECT min(p_partkey) AS p_partkey FROM part WHERE lower(p_brand) NOT IN (SELECT lower(p_brand) FROM part WHERE p_partkey <= 10) AND p_partkey > 10 GROUP BY lower(p_brand)")
+@query("SELECT min(p_partkey) AS p_partkey FROM part WHERE lower(trim(p_brand)) NOT IN (SELECT lower(trim(p_brand)) FROM part WHERE p_partkey <= 10) AND trim(p_brand) <> '' AND p_partkey > 10 GROUP BY lower(trim(p_brand))")
 def u06_insert_absent(spark, sf_dir):
     part = read(spark, sf_dir, "part").select("p_partkey", "p_brand")
-    return rows.insert_absent(part.where("p_partkey > 10"), part.where("p_partkey <= 10"), F.lower("p_brand"), [F.col("p_partkey")]).select("p_partkey")
+    return rows.insert_absent(part.where("p_partkey > 10"), part.where("p_partkey <= 10"), F.col("p_brand"), ["p_partkey"]).select("p_partkey")
 
 
 @query("WITH n AS (SELECT conv_id, turn - min(turn) OVER (PARTITION BY conv_id) AS i, role <> 'system' OR turn % 2 = 0 AS ok FROM conversations), c AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY i) - 1 AS r FROM n), b AS (SELECT conv_id, min(CASE WHEN NOT ok OR i <> r THEN r END) AS first_bad, count(*) AS chunks FROM c GROUP BY 1) SELECT conv_id, coalesce(first_bad, chunks) AS prefix, chunks FROM b")
@@ -229,12 +213,6 @@ def w08_running_progress(spark, sf_dir):
     return rows.running_progress(read(spark, sf_dir, "events"), "user_id", "event_id", F.col("value")).select("user_id", "event_id", "progress")
 
 
-@query("SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN text[1:40] END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS heading FROM conversations")
-def w13_carried_heading(spark, sf_dir):
-    heading = F.when(F.col("role") == "user", F.substring("text", 1, 40))
-    return rows.carried(read(spark, sf_dir, "conversations"), "conv_id", "turn", heading, "heading").select("conv_id", "turn", "heading")
-
-
 @query("SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS heading FROM conversations")
 def w13_carried_text(spark, sf_dir):
     heading = F.when(F.col("role") == "user", F.col("text"))
@@ -257,7 +235,7 @@ NAMES = r"WITH n AS (SELECT conv_id, turn, unnest(regexp_extract_all(text, '[A-Z
 
 
 @query(NAMES + "a AS (SELECT conv_id, v, count_if(role = 'user') AS x, count_if(role = 'assistant') AS y FROM n GROUP BY 1, 2) SELECT conv_id, v, greatest(0, x - y) AS missing, greatest(0, y - x) AS added FROM a WHERE x <> y")
-def j10_name_mismatch(spark, sf_dir):
+def u04_name_mismatch(spark, sf_dir):
     n = read(spark, sf_dir, "conversations").select("conv_id", "role", F.explode(F.regexp_extract_all("text", F.lit("[A-Z][a-z]+"), F.lit(0))).alias("v"))
     return rows.multiset_difference(n.where("role = 'user'"), n.where("role = 'assistant'"), ["conv_id"], "v")
 
@@ -270,40 +248,22 @@ def c01_mojibake_score(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", T.mojibake_score(F.col("text")).alias("score"))
 
 
-@query()
-def c03_without_artifacts(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", F.md5(T.without_artifacts(F.col("text"))).alias("digest"))
-
-
-@query()
-def c06_without_dot_leaders(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", F.md5(T.without_dot_leaders(F.col("text"))).alias("digest"))
-
-
-@query()
+@query(
+    r"""WITH l AS (SELECT doc_id, text, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x) <> '') AS a FROM documents),
+c AS (SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{00C0}-\x{024F}]-\s*\n\s*[A-Za-z\x{00C0}-\x{024F}]')) AS h, len(a) AS n, len(list_filter(a, lambda x: length(trim(x)) BETWEEN 18 AND 95)) AS s,
+  len(list_filter(a, lambda x: length(trim(x)) >= 20 AND NOT regexp_matches(x, '[.!?;:)\]"'']\s*$') AND NOT regexp_matches(x, '^\s*(?:[-*\x{2022}]|[0-9]+[.)]|[A-Za-z][.)])\s+'))) AS o,
+  len(list_filter(a, lambda x: regexp_matches(x, '(?i)^\s*(?:page\s*)?[0-9]{1,4}\s*$'))) AS p, len(regexp_extract_all(regexp_replace(coalesce(text, ''), '[\n\t]', '', 'g'), '[\p{Cc}\p{Cf}]')) AS k FROM l),
+q AS (SELECT *, CASE WHEN n < 6 THEN 0 ELSE CASE WHEN h >= 2 THEN 3 WHEN h = 1 THEN 1 ELSE 0 END + CASE WHEN s / n::DOUBLE >= 0.65 THEN 2 ELSE 0 END + CASE WHEN o / n::DOUBLE >= 0.45 THEN 2 ELSE 0 END + CASE WHEN p >= 2 THEN 1 ELSE 0 END + CASE WHEN k > 0 THEN 1 ELSE 0 END END AS score FROM c)
+SELECT doc_id, h AS hyphen_breaks, p AS page_lines, k AS controls, score AS ocr_score, score >= 3 AS likely_scan FROM q"""
+)
 def c12_ocr_signals(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", *[c.alias(k) for k, c in T.ocr_signals(F.col("text")).items()])
 
 
-@query()
+@query(r"WITH l AS (SELECT doc_id, text, string_split(text || chr(10) || 'Page ' || doc_id % 90 || chr(10) || CASE WHEN doc_id % 2 = 0 THEN '12 ' ELSE 'end' END, chr(10)) AS l FROM documents WHERE text IS NOT NULL), p AS (SELECT doc_id, l, len(list_filter(l, lambda x: regexp_matches(x, '(?i)^\s*(?:page\s*)?[0-9]{1,4}\s*$'))) AS n FROM l) SELECT doc_id, md5(CASE WHEN n >= 2 THEN array_to_string(list_transform(l, lambda x: CASE WHEN regexp_matches(x, '(?i)^\s*(?:page\s*)?[0-9]{1,4}\s*$') THEN '' ELSE x END), chr(10)) ELSE array_to_string(l, chr(10)) END) AS digest FROM p")
 def c14_without_page_lines(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", F.length(T.without_page_lines(F.col("text"))).alias("n"))
-
-
-@query(r"SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[ \t]{2,}', ' ', 'g'), '[ \t]+\n', chr(10), 'g'), '\n[ \t]+', chr(10), 'g'), '[ \t]+([,.;:!?])', '\1', 'g'), '[ \t]+$', '', 'g')) AS digest FROM documents")
-def c16_tidy_spaces(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", F.md5(T.tidy_spaces(F.col("text"))).alias("digest"))
-
-
-@query(r"SELECT doc_id, md5(regexp_replace(text, '([0-9])\.\s+([0-9])', '\1.\2', 'g')) AS digest FROM documents")
-def c21_joined_decimals(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", F.md5(T.joined_decimals(F.col("text"))).alias("digest"))
-
-
-@query(r"SELECT doc_id, len(regexp_extract_all(text, '[A-Za-z\x{00C0}-\x{024F}]')) AS latin, len(regexp_extract_all(text, '[\x{0370}-\x{03FF}\x{1F00}-\x{1FFF}]')) AS greek, len(regexp_extract_all(text, '[\x{0400}-\x{052F}]')) AS cyrillic FROM documents")
-def f13_script_profile(spark, sf_dir):
-    counts = T.script_counts(F.col("text"))
-    return read(spark, sf_dir, "documents").select("doc_id", *[counts[k].alias(k) for k in ("latin", "greek", "cyrillic")])
+    paged = F.expr("concat(text, chr(10), 'Page ', doc_id % 90, chr(10), CASE WHEN doc_id % 2 = 0 THEN '12 ' ELSE 'end' END)")
+    return read(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.md5(T.without_page_lines(paged)).alias("digest"))
 
 
 @query("WITH c AS (SELECT doc_id, " + ", ".join(f"len(regexp_extract_all(text, '{p}')) AS {k}" for k, p in T.SCRIPTS.items()) + " FROM documents), s AS (SELECT *, " + " + ".join(T.SCRIPTS) + " AS total FROM c) SELECT doc_id, " + ", ".join(f"coalesce({k} / nullif(total, 0)::DOUBLE, 0) AS {k}" for k in T.SCRIPTS) + " FROM s")
@@ -321,7 +281,7 @@ _SCORE = "len(list_filter(w, lambda x: list_contains(string_split('{}', ' '), x)
     + " FROM d) SELECT doc_id, CASE WHEN greatest(spanish, english, french) = 0 THEN CASE WHEN latin THEN 'latin' ELSE 'unknown' END WHEN spanish = greatest(spanish, english, french) THEN 'Spanish' WHEN english = greatest(spanish, english, french) THEN 'English' ELSE 'French' END AS language FROM s"
 )
 def f15_detected_language(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", T.detected_language(F.col("text")).alias("language"))
+    return T.with_language(read(spark, sf_dir, "documents"), "text").select("doc_id", "language")
 
 
 @query(r"SELECT doc_id, greatest(length(text) // 4, len(regexp_extract_all(text, '[^\s]+'))) AS tokens FROM documents")
@@ -329,22 +289,12 @@ def k07_token_estimate(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", T.token_estimate(F.col("text")).alias("tokens"))
 
 
-@query(r"SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g')) <> '')) AS n FROM documents")
-def k02_paragraphs(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", F.size(T.paragraphs(F.col("text"), "\n")).cast("long").alias("n"))
-
-
-@query(r"SELECT doc_id, len(list_filter(list_transform(regexp_extract_all(text, '[^.!?\n]+[.!?]*|[.!?]+'), lambda s: trim(s)), lambda s: s <> '')) AS n FROM documents")
-def k03_sentences(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", F.size(T.sentences(F.col("text"))).cast("long").alias("n"))
-
-
 @query("SELECT doc_id, coalesce(list_min(list_filter([2048, 4096, 8192, 16384, 32768, 65536, 131072], lambda s: s >= n_chars)), n_chars) AS size FROM documents")
 def k24_context_size(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", T.context_size(F.col("n_chars")).alias("size"))
 
 
-@query()
+@query("WITH t AS (SELECT doc_id, len(string_split(coalesce(text, ''), chr(10))) AS t FROM documents) SELECT doc_id, array_to_string(CASE WHEN t < 3 THEN range(0, least(t, 5)) WHEN t - 2 <= 5 THEN range(1, greatest(1, t - 2) + 1) ELSE list_sort(list_distinct(list_transform(range(1, 6), lambda i: greatest(1, least(t - 2, CAST(round_even(i * (t - 1) / 6.0::DOUBLE, 0) AS BIGINT)))))) END, ',') AS indices FROM t")
 def k08_sample_indices(spark, sf_dir):
     total = F.size(T.lines(F.col("text")))
     return read(spark, sf_dir, "documents").select("doc_id", F.array_join(T.sample_indices(total, 5).cast("array<string>"), ",").alias("indices"))
@@ -375,11 +325,6 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(b, ["conv_id", "turn"])
 
 
-@query(PAIRS + r", n AS (SELECT conv_id, turn, length(regexp_replace(s, '[\s\x{00A0}]+', '', 'g')) AS a, length(regexp_replace(t, '[\s\x{00A0}]+', '', 'g')) AS b FROM p) SELECT conv_id, turn, CASE WHEN a < 100 THEN 'ok' WHEN b / a::DOUBLE < 0.55 THEN 'probable_semantic_omission' WHEN b / a::DOUBLE > 2.2 THEN 'probable_semantic_addition' ELSE 'ok' END AS verdict FROM n")
-def x11_semantic_verdict(spark, sf_dir):
-    return pairs(spark, sf_dir).select("conv_id", "turn", T.semantic_verdict(F.col("s"), F.col("t")).alias("verdict"))
-
-
 _NEGATED = "len(list_filter(regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}_]+'), lambda w: list_contains(string_split('" + T.NEGATIONS + "', ' '), w)))"
 
 
@@ -393,24 +338,14 @@ def x11_semantic_issues(spark, sf_dir):
     return pairs(spark, sf_dir).select("conv_id", "turn", T.semantic_issues(F.col("s"), F.col("t")).alias("issues"))
 
 
-@query(PAIRS + ", n AS (SELECT conv_id, turn, length(s) AS a, length(t) AS b FROM p) SELECT conv_id, turn, CASE WHEN a < 80 THEN 'ok' WHEN a >= 120 AND b / a::DOUBLE < 0.35 THEN 'reject' WHEN a >= 300 AND b / a::DOUBLE < 0.45 THEN 'reject' WHEN b / a::DOUBLE < 0.58 OR b / a::DOUBLE > 2.2 THEN 'warn' ELSE 'ok' END AS verdict FROM n")
-def x42_length_verdict(spark, sf_dir):
-    return pairs(spark, sf_dir).select("conv_id", "turn", T.length_verdict(F.length("s"), F.length("t")).alias("verdict"))
-
-
 @query("SELECT doc_id, sha256(text) AS digest FROM documents")
 def x33_checksum(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("digest"))
 
 
-@query("SELECT p_partkey, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM part")
+@query("SELECT p_partkey, trim(regexp_replace(regexp_replace(lower(concat('-', p_name, '_x--é ', p_brand)), '[^a-z0-9_-]', '-', 'g'), '-+', '-', 'g'), '-') AS slug FROM part")
 def x57_slug(spark, sf_dir):
-    return read(spark, sf_dir, "part").select("p_partkey", T.slug(F.col("p_name")).alias("slug"))
-
-
-@query()
-def s13_plain_html(spark, sf_dir):
-    return read(spark, sf_dir, "pages").select("page_id", T.plain_html(F.col("html")).alias("text"))
+    return read(spark, sf_dir, "part").select("p_partkey", T.slug(F.expr("concat('-', p_name, '_x--é ', p_brand)")).alias("slug"))
 
 
 from docmill.plans import boards, ordered_plans, quality_plans, text_plans, usage_plans  # noqa: E402, F401

@@ -38,6 +38,11 @@ def c11_without_marks(spark, sf_dir):
     return damaged(spark, sf_dir).select("doc_id", F.md5(C.without_marks(F.col("t"))).alias("digest"))
 
 
+@query(DAMAGED + f"SELECT doc_id, md5({_rewrites('t', *GLYPHS)}) AS digest FROM d")
+def c03_without_artifacts(spark, sf_dir):
+    return damaged(spark, sf_dir).select("doc_id", F.md5(T.without_artifacts(F.col("t"))).alias("digest"))
+
+
 WRAPPED = ((r"(?i)(?:<|&lt;)\s*/?\s*TRANSLATION(?:ATION)*\s*(?:>|&gt;)", "' '"), (r"[ \t]{2,}", "' '"), (r"[ \t]+([,.;:!?])", r"'\1'"), (r"[ \t]+\n", "chr(10)"), (r"\n[ \t]+", "chr(10)"), (r"^[ \t]+|[ \t]+$", "''"))
 
 

@@ -86,18 +86,12 @@ def test_text_vectors(spark):
     row = spark.range(1).select(
         T.without_artifacts(F.lit("a​b ■ c□d ,x  y")).alias("clean"),
         T.without_page_lines(F.lit("one\n12\ntwo\nPage 13")).alias("pages"),
-        T.without_dot_leaders(F.lit("Chapter One........ 23\n. . . . 23\nplain...")).alias("dots"),
-        T.joined_decimals(F.lit("23. 75 and 1.5")).alias("decimal"),
-        T.detected_language(F.lit("the cat and the dog")).alias("en"),
-        T.detected_language(F.lit("привет")).alias("ru"),
+        T.detected_language(T.language_signals(F.lit("the cat and the dog"))).alias("en"),
+        T.detected_language(T.language_signals(F.lit("привет"))).alias("ru"),
         T.sample_indices(F.lit(20), 3).alias("some"),
         T.sample_indices(F.lit(2), 3).alias("two"),
-        T.plain_html(F.lit("<p>a &amp; b<br>c</p><script>x</script><p> d </p>")).alias("html"),
     ).first()
     assert row.clean == "ab c d,x y"
     assert row.pages == "one\n\ntwo\n"
-    assert row.dots == "Chapter One 23\nplain..."
-    assert row.decimal == "23.75 and 1.5"
     assert (row.en, row.ru) == ("English", "cyrillic")
     assert row.some == [5, 10, 14] and row.two == [0, 1]
-    assert row.html == "a & b\nc\nd"
