@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import uuid
 from collections.abc import Callable
@@ -27,13 +28,26 @@ def remember(operator: str, forget: Callable[[], None]) -> None:
     _memories[operator] = forget
 
 
+_last: list[str] = []
+
+
 def focus(operator: str) -> None:
     """A worker that begins a task of one operator forgets what others kept in it, so their memory does not add up."""
+    if _last != [operator]:
+        powers.cache_clear()
+        _last[:] = [operator]
     for name, forget in _memories.items():
         if name != operator:
             forget()
 
 
+def give_back() -> None:
+    """Freed memory of this process goes back to the system, where that is known how."""
+    gc.collect()
+    if _trim():
+        _trim()(0)
+
+
 @lru_cache(maxsize=1)
 def _trim():
     """glibc's way to give freed memory back, where there is one."""

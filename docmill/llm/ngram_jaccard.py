@@ -13,7 +13,7 @@ Between classes:
    the boxes of nodes and at last between points, and that gives only as many candidates as join all that its candidates
    join. Classes under a shingle that more than HOT have are dealt, by size and hash, to several tasks.
 3. Classes that candidates join, directly or in a chain, form a unit, whose texts meet in one task. A unit of more
-   than UNIT shingles, or of many classes, is dealt in the same way. In a unit, the same R-tree join finds the pairs that survive the bound;
+   than UNIT shingles is dealt in the same way. In a unit, the same R-tree join finds the pairs that survive the bound;
    they are verified on the sets, unless other links have joined them already.
 4. Spanning links of all units join into components.
 
@@ -40,7 +40,7 @@ UNIT = 2_000_000
 SAMPLE, FREQUENT = 4096, 20_000
 #: Points in a leaf, nodes in a node above; classes under one shingle that meet as pairs, and from which on they are dealt
 #: to several tasks, in this many blocks at least.
-LEAF, FANOUT, CROWD, HOT, SPREAD = 32, 8, 48, 512, 8
+LEAF, FANOUT, CROWD, HOT, SPREAD = 32, 8, 48, 2048, 4
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> list[np.ndarray]:
@@ -368,13 +368,12 @@ def _units(signed: DataFrame, num: int, den: int) -> DataFrame:
     parts = connected_components(candidates(classes, num, den))
     both = parts.select(F.col("id").alias("rep"), "component").unionByName(parts.select(F.col("component").alias("rep"), "component").distinct())
     members = cut(classes.select("rep", "n", "k1", "k2").join(both, "rep"))
-    heavy = F.greatest(F.col("n"), F.lit(UNIT // (2 * HOT)))  # a block has at most half of UNIT, and of HOT rows
-    weigh = members.groupBy("component").agg(F.sum(heavy).alias("weight"))
+    weigh = members.groupBy("component").agg(F.sum("n").alias("weight"))
     fit = members.join(weigh, "component")
     zero = F.lit(0).cast("long")
     small = fit.where(F.col("weight") <= UNIT).select("rep", "n", "k1", "k2", F.col("component").alias("u0"), zero.alias("u1"), zero.alias("u2"), F.lit(0).alias("side"))
     wide = fit.where(F.col("weight") > UNIT).select("rep", "n", "k1", "k2", F.col("component").alias("u0"))
-    return small.unionByName(deal(wide, "u0", heavy, UNIT // 2, num, den)) if wide.head(1) else small
+    return small.unionByName(deal(wide, "u0", F.col("n"), UNIT // 2, num, den)) if wide.head(1) else small
 
 
 def ngram_jaccard_links(docs: DataFrame, signed: DataFrame, id_col: str, text_col: str, n: int, num: int, den: int) -> DataFrame:

@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers, focus, mix, steps, trimmed, word_hashes
+from .common import buffers, focus, give_back, mix, steps, trimmed, word_hashes
 from .toxicity import held_out, labelled_sample
 
 #: Labelled documents that are learned from; rounds of the fit, and steps of each; ridge on weights and on moves; score of
@@ -277,6 +277,7 @@ def fit(rows: list[tuple[str, int]]) -> Field:
 def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", accept: float = 0.5, limit: int = LABELLED) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row of docs."""
     field = fit(labelled_sample(docs, labels, label_col, id_col, text_col, limit))
+    give_back()
 
     def run(batches) -> Iterator:
         import pyarrow as pa

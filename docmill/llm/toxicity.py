@@ -30,7 +30,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import focus, table, trimmed
+from .common import focus, give_back, table, trimmed
 
 #: Labelled documents that are learned from, and their bytes; lengths of stems; weight of a prior in documents; distinct
 #: words that a worker remembers.
@@ -204,33 +204,44 @@ def _words(text: str) -> Counter:
 def _lexicon(toxic: list[str], clean: list[str]) -> dict[str, float]:
     """Words and stems with their weights: first the listed ones, then, one at a time, the one that best tells the toxic
     documents that are left from the clean ones."""
-    listed = ["=" + w for w in INSULTS.split()]
+    listed = dict.fromkeys("=" + w for w in INSULTS.split())
     fixed = {"=" + w for names in (REPORTS, NEGATIONS, INTENTS, TARGETS, THREATS) for w in names.split()}
-    every = []
-    for text in toxic:
-        features: Counter = Counter()
+    # Features that stand in HELD of the documents without a listed word, found by their hashes: most stand in one alone.
+    left = [t for t in toxic if not any("=" + w in listed for w in _words(t))]
+    hashes = [np.unique(np.fromiter((hash(f) for w in _words(t) for f in _stems(w)), np.int64)) for t in left]
+    values, times = np.unique(np.concatenate([np.zeros(0, np.int64), *hashes]), return_counts=True)
+    often = set(values[times >= HELD].tolist())
+    del hashes, values, times
+
+    def features(text: str) -> Counter:
+        out: Counter = Counter()
         for w, n in _words(text).items():
             for f in _stems(w):
-                features[f] += n
-        every.append(features)
-    left = [s for s in every if not any(w in s for w in listed)]
+                if hash(f) in often or f in listed:
+                    out[f] += n
+        return out
+
+    left = [features(t) for t in left]
     count = {f: c for f, c in Counter(f for s in left for f in s).items() if c >= HELD and f not in fixed}
     wanted = count.keys() | set(listed)
     of_word: dict[str, list[str]] = {}
+    none: list[str] = []
     docs_with, docs_often, times_clean, times_toxic = Counter(), Counter(), Counter(), Counter()
     for text in clean:
-        features = Counter()
+        held_of = Counter()
         for w, n in _words(text).items():
             found = of_word.get(w)
             if found is None:
-                found = of_word[w] = [f for f in _stems(w) if f in wanted]
+                found = [f for f in _stems(w) if f in wanted]
+                if len(of_word) < REMEMBER:
+                    of_word[w] = found or none
             for f in found:
-                features[f] += n
-        docs_with.update(features.keys())
-        docs_often.update(f for f, n in features.items() if n > 1)
-        times_clean.update(features)
-    for s in every:
-        times_toxic.update({f: s[f] for f in s.keys() & wanted})
+                held_of[f] += n
+        docs_with.update(held_of.keys())
+        docs_often.update(f for f, n in held_of.items() if n > 1)
+        times_clean.update(held_of)
+    for text in toxic:
+        times_toxic.update({f: n for f, n in features(text).items() if f in wanted})
     words_toxic, words_clean = (max(1, sum(len(WORD.findall(t)) for t in texts)) for texts in (toxic, clean))
     weigh = lambda f: min(6.0, max(0.5, math.log((times_toxic[f] + 0.5) / words_toxic) - math.log((times_clean[f] + 0.5) / words_clean)))
     weights = {f: (weigh(f) * (times_toxic[f] + times_clean[f]) + BASE * PRIOR) / (times_toxic[f] + times_clean[f] + PRIOR) for f in listed}
@@ -314,12 +325,14 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, id_col: str
     order = [F.xxhash64("l_id"), F.col("l_id"), F.col("h")]
     sizes = np.cumsum([r.size for r in held.select("l_id", "h", "size").orderBy(*order).limit(limit).collect()])  # limit rows at most
     n = int(np.searchsorted(sizes, SAMPLE_BYTES, "right"))
-    return [(r.text, r.y) for r in held.orderBy(*order).limit(n).select("text", "y").collect()]
+    got = held.orderBy(*order).limit(n).select("text", "y").toArrow()
+    return list(zip(got.column("text").to_pylist(), got.column("y").to_pylist(), strict=True))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", reject: float = 0.7, limit: int = LABELLED) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row of docs."""
     model = learn(labelled_sample(docs, labels, label_col, id_col, text_col, limit))
+    give_back()
 
     def run(batches) -> Iterator:
         import pyarrow as pa
@@ -339,6 +352,7 @@ def held_out(doc_id):
 def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", reject: float = 0.7, limit: int = LABELLED) -> DataFrame:
     """The rows of docs that are not rejected, in one pass over them."""
     model = learn(labelled_sample(docs, labels, label_col, id_col, text_col, limit))
+    give_back()
     at = docs.columns.index(text_col)
 
     def run(batches) -> Iterator:
