@@ -348,4 +348,4 @@ def x57_slug(spark, sf_dir):
     return read(spark, sf_dir, "part").select("p_partkey", T.slug(F.expr("concat('-', p_name, '_x--é ', p_brand)")).alias("slug"))
 
 
-from docmill.plans import boards, more_plans, ordered_plans, quality_plans, text_plans, usage_plans  # noqa: E402, F401
+from docmill.plans import boards, mark_plans, more_plans, ordered_plans, quality_plans, text_plans, usage_plans  # noqa: E402, F401
