@@ -14,10 +14,19 @@ from pyspark.sql.window import Window as W
 from docmill.functions.entities import AFTER, BEFORE, WORD
 from docmill.functions.pairs import BLANK, full, stripped
 
-#: Volatile, secret and bulky options; codes of languages; what leaks of a protocol; marks of prose, talk and
-#: technical texts.
-VOLATILE, SECRET, BULKY = "progress_callback _candidate_results run_id timestamp", "key token secret password", "custom_instructions glossary book_profile"
+#: Options that change, that are secret and that are bulky; codes of languages; titles before names; what
+#: leaks of a protocol.
+VOLATILE = "_candidate_results _editorial_quality_report _fidelity_report _source_guard_refs _source_guard_refs_loaded"
+SECRET = "api_key apikey secret token password"
+BULKY = "custom_instructions refinement_instructions glossary_terms glossary_term_metadata profile_artifacts profile_prompt"
 CODES = {"english": "en", "spanish": "es", "espanol": "es", "español": "es", "french": "fr", "francais": "fr", "français": "fr", "german": "de", "deutsch": "de", "italian": "it", "portuguese": "pt", "auto": "auto"}
+TITLES = "Mr|Mrs|Ms|Miss|Dr|Prof|Sir|Lady|Lord|Madame|Monsieur|Señor|Señora|Don|Doña|Captain|Capitan|Capitán|General|King|Queen|Prince|Princess|Father|Mother|Brother|Sister|Master|Mistress"
+PROTOCOL = {
+    "wrapper_tag": r"(?i)(?:<|&lt;)\s*/?\s*(?:TRANSLATION(?:ATION)*|SOURCE|TARGET|INPUT|OUTPUT|TEXT|TEXT_TO_TRANSLATE|TEXT_TO_TRANSFORM|DRAFT|CANDIDATE|NER_JSON|FIDELITY_AUDIT_JSON|EDITORIAL_GUARD_JSON|PROFILE_AUDIT_JSON|PROFILE_TERM_REVIEW_JSON|GLOSSARY_DISCOVERY_JSON|CORRECTED_TAG_IN|CORRECTED_TAG_OUT)(?:\s+[^>]*?)?\s*(?:>|&gt;)",
+    "input_marker": r"(?i)(?<![\p{L}\p{N}_])(?:INPUT_TAG_IN|INPUT_TAG_OUT|TRANSLATE_TAG_IN|TRANSLATE_TAG_OUT|BEGIN_(?:SOURCE|INPUT|TRANSLATION)|END_(?:SOURCE|INPUT|TRANSLATION))(?![\p{L}\p{N}_])",
+    "prompt_heading": r"(?i)^\s{0,3}#{1,6}\s*(?:system|user|assistant|instructions?|rules?|requirements?|task|objective|sistema|usuario|asistente|instrucciones?|reglas?|requisitos?|tarea|objetivo|text to translate|text to transform|source text|target text|original source|texto a traducir|texto a transformar|texto fuente|texto objetivo|fuente original|candidate|draft|glossary|continuity|surrounding source context|candidato|borrador|glosario|continuidad|contexto fuente circundante|surrounding draft context|output format|return format|fidelity retry|contexto de borrador circundante|formato de salida|formato de respuesta|reintento de fidelidad|editorial guard|quality audit|repair instructions|guard editorial|auditor[ií]a de calidad|instrucciones de reparaci[oó]n)(?![\p{L}\p{N}_])",
+    "prompt_meta_line": r"(?i)^\s*(?:system\s*:|user\s*:|assistant\s*:|developer\s*:|sistema\s*:|usuario\s*:|asistente\s*:|desarrollador\s*:|you are (?:an?|the)\s+|your task is to\s+|eres (?:un|una|el|la)\s+|tu tarea es\s+|(?:return only|respond only|do not translate this block|devuelve solo|responde solo|no traduzcas este bloque|do not output this context|do not include explanations|no incluyas este contexto|no incluyas explicaciones|here is (?:the|your)\s+(?:translation|rewriting|transformation)|(?:aqu[ií]|ac[aá]) (?:est[aá]|tienes) (?:la|tu)\s+(?:traducci[oó]n|reescritura|transformaci[oó]n)|as an ai|i cannot|i can't|i am unable|como (?:ia|modelo de lenguaje)|no puedo)(?![\p{L}\p{N}_]))",
+}
 RULES: dict[str, Callable[[Column], Column]] = {}
 
 
@@ -83,8 +92,8 @@ def richest_entries(entries: DataFrame, order: str) -> DataFrame:
 
 def weighted_names(texts: DataFrame, id_col: str, text_col: str, most: int = 24) -> DataFrame:
     """(id, name, weight): of each text its most frequent names; after a title a name counts three times."""
-    title = rf"{BEFORE}(?:Mr|Mrs|Ms|Dr|Sir|Lady|Lord|Miss|Captain|Don|Doña)\.?\s+(\p{{Lu}}\p{{Ll}}+)"
-    plain = rf"{BEFORE}\p{{Lu}}\p{{Ll}}{{2,}}(?:\s+\p{{Lu}}\p{{Ll}}+)?{AFTER}"
+    title = rf"{BEFORE}(?:{TITLES})\.?\s+(\p{{Lu}}[\p{{L}}'’-]+)"
+    plain = rf"{BEFORE}\p{{Lu}}[\p{{Ll}}'’-]{{2,}}(?:\s+(?:(?:de|del|da|do|dos|das|di|du|van|von|la|le|el|y|and|of|the)\s+)?\p{{Lu}}[\p{{Ll}}'’-]{{2,}}){{0,4}}{AFTER}"
     found = F.concat(F.transform(F.regexp_extract_all(full(F.col(text_col)), F.lit(title), F.lit(1)), lambda n: F.struct(n.alias("name"), F.lit(3).alias("w"))), F.transform(F.regexp_extract_all(full(F.col(text_col)), F.lit(plain), F.lit(0)), lambda n: F.struct(n.alias("name"), F.lit(1).alias("w"))))
     weights = texts.select(id_col, F.explode(found).alias("n")).groupBy(id_col, "n.name").agg(F.sum("n.w").alias("weight"))
     return weights.withColumn("_k", F.row_number().over(W.partitionBy(id_col).orderBy(F.desc("weight"), "name"))).where(F.col("_k") <= most).drop("_k")
@@ -92,7 +101,7 @@ def weighted_names(texts: DataFrame, id_col: str, text_col: str, most: int = 24)
 
 def quoted_phrases(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, phrase, occurrences) of phrases in quotes that come twice or more: 8 to 90 characters, at most 12 words."""
-    found = F.regexp_extract_all(full(F.col(text_col)), F.lit(r"[“\"«]([^“”\"«»\n]{4,120})[”\"»]"), F.lit(1))
+    found = F.regexp_extract_all(full(F.col(text_col)), F.lit(r"[\"“”'‘’«»]([^\"“”'‘’«»]{8,90})[\"“”'‘’«»]"), F.lit(1))
     phrases = texts.select(id_col, F.explode(found).alias("p")).select(id_col, memory_text(F.col("p")).alias("phrase"))
     return phrases.where(F.length("phrase").between(8, 90) & (F.size(F.split("phrase", " ")) <= 12)).groupBy(id_col, "phrase").agg(F.count("*").alias("occurrences")).where("occurrences >= 2")
 
@@ -145,7 +154,7 @@ def residual_terms(pairs: DataFrame, entries: DataFrame, keys: list[str], source
 def missing_numbers(source: Column, output: Column) -> Column:
     """The numbers that an output has too few of, each as often; none if the source has fewer than two different ones, or
     if one alone, under three in ten, is missing."""
-    numbers = lambda t: F.regexp_extract_all(full(t), F.lit(rf"{BEFORE}[0-9]+(?:[.,][0-9]+)*{AFTER}"), F.lit(0))
+    numbers = lambda t: F.regexp_extract_all(full(t), F.lit(rf"{BEFORE}(?:[0-9]+(?:[.,][0-9]+)?(?:\s*[xX×*]\s*10\^?-?[0-9]+)?|10\^?-?[0-9]+){AFTER}"), F.lit(0))
     have, kept = numbers(source), numbers(output)
     count = lambda a, v: F.size(F.filter(a, lambda x: x == v))
     lost = F.flatten(F.transform(F.array_distinct(have), lambda v: F.array_repeat(v, F.greatest(F.lit(0), count(have, v) - count(kept, v)))))
@@ -169,16 +178,15 @@ def protected_blocks(text: Column, base: int = 900_000) -> Column:
 def restored_blocks(candidate: Column, blocks: Column, base: int = 900_000) -> Column:
     """The blocks of a marked candidate without their marks, if these are all there in order and no block is empty; else
     null."""
-    found = F.regexp_extract_all(full(candidate), F.lit(r"\[id([0-9]+)\]"), F.lit(1))
+    found = F.regexp_extract_all(full(candidate), F.lit(r"\[id(9[0-9]{5})\]"), F.lit(1))
     wanted = F.transform(F.sequence(F.lit(0), blocks - 1), lambda i: (i + base).cast("string"))
-    parts = F.transform(F.slice(F.split(full(candidate), r"\[id[0-9]+\]"), F.lit(2), blocks), stripped)
+    parts = F.transform(F.slice(F.split(full(candidate), r"\[id9[0-9]{5}\]"), F.lit(2), blocks), stripped)
     return F.when((blocks >= 2) & (found == wanted) & ~F.exists(parts, lambda p: p == ""), F.array_join(parts, "\n\n")).when(blocks < 2, full(candidate))
 
 
 def residual_protocol(text: Column) -> Column:
     """What of a protocol a text still shows: wrapper tags, input marks, prompt headings, prompt lines."""
-    rules = {"wrapper_tag": r"(?i)</?\s*TRANSLATION(?:ATION)*\s*>", "input_marker": r"(?i)\[(?:START|END) (?:OF )?(?:TEXT|INPUT)\]", "prompt_heading": r"(?im)^\s*#{1,3}\s*(?:instructions?|task|rules|context)\s*$", "prompt_meta_line": r"(?im)^\s*(?:here is the translation|translated text|sure,? here)\b.{0,80}:?\s*$"}
-    return F.array_compact(F.array(*[F.when(full(text).rlike(p), k) for k, p in rules.items()]))
+    return F.array_compact(F.array(*[F.when(full(text).rlike(p), k) for k, p in PROTOCOL.items()]))
 
 
 def language_key(name: Column) -> Column:
@@ -194,7 +202,7 @@ def wait_seconds(retry_after: Column, reset_ms: Column, now_ms: Column, attempt:
     return F.when(retry_after.isNotNull(), F.greatest(retry_after, F.lit(1))).when(reset_ms.isNotNull(), until).otherwise(F.least(F.pow(F.lit(2.0), attempt + 2), F.lit(60.0)).cast("long"))
 
 
-def output_ratio(pairs: DataFrame, ratios: DataFrame, default: tuple[float, float] = (0.9, 1.3)) -> DataFrame:
+def output_ratio(pairs: DataFrame, ratios: DataFrame, default: tuple[float, float] = (0.95, 1.3)) -> DataFrame:
     """pairs (source, target) of languages with the least and most output for an input, by pair, or the default."""
     low = lambda c: F.lower(F.trim(F.col(c)))
     told = pairs.join(F.broadcast(ratios.select(F.col("source").alias("_s"), F.col("target").alias("_t"), "least", "most")), (low("source") == F.col("_s")) & (low("target") == F.col("_t")), "left")  # a row a configured pair

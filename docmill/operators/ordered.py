@@ -310,9 +310,13 @@ def is_not_translatable(text: Column) -> Column:
     return (value == "") | value.rlike(r"^[\s\x{00A0}\x{2000}-\x{200F}]+$") | (value.rlike(r"^[0-9.\-–—)(\s\x{00A0}\x{2000}-\x{200F}\x{2028}\x{2029}]+$") & value.rlike("[0-9]"))
 
 
-#: Languages that run from right to left, by code and name; codes by name.
-RIGHT_TO_LEFT = "ar he fa ur yi arabic hebrew persian farsi urdu yiddish"
-LANGUAGE_CODES = {"english": "en", "spanish": "es", "french": "fr", "german": "de", "italian": "it", "portuguese": "pt", "russian": "ru", "chinese": "zh", "japanese": "ja", "korean": "ko", "arabic": "ar", "hebrew": "he"}
+#: Languages that run from right to left, by code and by name; codes by name.
+RIGHT_TO_LEFT = "ar he iw fa ur ps sd yi ug ku"
+RIGHT_TO_LEFT_NAMES = {"arabic": "ar", "hebrew": "he", "persian": "fa", "farsi": "fa", "urdu": "ur", "pashto": "ps", "sindhi": "sd", "yiddish": "yi", "uyghur": "ug", "kurdish": "ku"}
+LANGUAGE_CODES = RIGHT_TO_LEFT_NAMES | dict(
+    pair.split(":")
+    for pair in "english:en spanish:es french:fr german:de italian:it portuguese:pt russian:ru chinese:zh japanese:ja korean:ko dutch:nl polish:pl turkish:tr swedish:sv norwegian:no danish:da finnish:fi czech:cs greek:el thai:th vietnamese:vi indonesian:id malay:ms ukrainian:uk romanian:ro bulgarian:bg croatian:hr serbian:sr slovak:sk slovenian:sl estonian:et latvian:lv lithuanian:lt hindi:hi bengali:bn tamil:ta telugu:te marathi:mr gujarati:gu kannada:kn malayalam:ml punjabi:pa hungarian:hu catalan:ca basque:eu galician:gl irish:ga welsh:cy icelandic:is albanian:sq macedonian:mk afrikaans:af swahili:sw filipino:fil tagalog:tl".split()
+)
 
 
 def language_code(language: Column) -> Column:
@@ -326,15 +330,16 @@ def language_code(language: Column) -> Column:
 
 def is_right_to_left(language: Column) -> Column:
     low = F.lower(F.trim(language))
-    return F.coalesce(low.isin(RIGHT_TO_LEFT.split()) | F.substring_index(low, "-", 1).isin(RIGHT_TO_LEFT.split()), F.lit(False))
+    return F.coalesce(low.isin(*RIGHT_TO_LEFT.split(), *RIGHT_TO_LEFT_NAMES) | F.substring_index(low, "-", 1).isin(RIGHT_TO_LEFT.split()), F.lit(False))
 
 
 def goes_on(before: Column, after: Column) -> Column:
     """Whether two neighbouring paragraphs look like one that a page parted: the second begins small, and the first ends in
     a hyphen or, both being long, without an end."""
     a, b = (F.trim(F.regexp_replace(F.coalesce(t, F.lit("")), r"[\s\x{00A0}]+", " ")) for t in (before, after))
-    small = F.regexp_extract(b, r"([\p{L}\p{N}])", 1).rlike(r"^\p{Ll}")
-    return (a != "") & (b != "") & small & (a.rlike(r"[-\x{00AD}‐]$") | (~a.rlike(r"[.!?…:;][\"'”’»)\]]*$") & (F.length(a) >= 40) & (F.length(b) >= 20)))
+    small = b.rlike(r"^[\"'‘“«(\[{]*\p{Ll}")
+    hyphen, ended = a.rlike(r"[-\x{00AD}]\s*\p{L}?\s*$"), a.rlike(r"[.!?…:;][\"'’”»)\]}]*$")
+    return (a != "") & (b != "") & small & (hyphen | (~ended & (F.length(a) >= 40) & (F.length(b) >= 20)))
 
 
 def resume_at(now: Column, delay: Column, told: Column) -> Column:

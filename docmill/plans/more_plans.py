@@ -225,13 +225,13 @@ def x35_memory_text(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", F.sha2(more.memory_text(F.col("text")), 256).alias("digest"))
 
 
-SAFE = "'api_token=[redacted]' || chr(31) || 'glossary=' || sha256(lang) || chr(31) || 'style=' || coalesce(source, '')"
+SAFE = "'api_token=[redacted]' || chr(31) || 'glossary_terms=' || sha256(lang) || chr(31) || 'style=' || coalesce(source, '')"
 NORMAL = r"regexp_replace(regexp_replace(coalesce({}, ''), '[\s\x{{00A0}}]+', ' ', 'g'), '^ | $', '', 'g')"
 
 
 @query(f"SELECT doc_id, {SAFE} AS options FROM documents")
 def x36_safe_options(spark, sf_dir):
-    given = F.create_map(F.lit("style"), F.coalesce("source", F.lit("")), F.lit("api_token"), F.col("lang"), F.lit("glossary"), F.col("lang"), F.lit("run_id"), F.lit("7"))
+    given = F.create_map(F.lit("style"), F.coalesce("source", F.lit("")), F.lit("api_token"), F.col("lang"), F.lit("glossary_terms"), F.col("lang"), F.lit("_fidelity_report"), F.lit("7"))
     entries = F.transform(F.array_sort(F.map_entries(more.safe_options(given))), lambda e: F.concat_ws("=", e["key"], e["value"]))
     return read(spark, sf_dir, "documents").select("doc_id", F.array_join(entries, "\x1f").alias("options"))
 
@@ -240,7 +240,7 @@ KEY = f"sha256(sha256({NORMAL.format('text')}) || chr(30) || sha256({NORMAL.form
 
 
 def _keyed(spark, sf_dir):
-    given = F.create_map(F.lit("style"), F.coalesce("source", F.lit("")), F.lit("api_token"), F.col("lang"), F.lit("glossary"), F.col("lang"), F.lit("run_id"), F.col("doc_id").cast("string"))
+    given = F.create_map(F.lit("style"), F.coalesce("source", F.lit("")), F.lit("api_token"), F.col("lang"), F.lit("glossary_terms"), F.col("lang"), F.lit("_fidelity_report"), F.col("doc_id").cast("string"))
     return read(spark, sf_dir, "documents").select("doc_id", more.memory_key(F.col("text"), F.col("lang"), F.lit(None).cast("string"), given, F.lit("en"), F.col("source")).alias("key"))
 
 
@@ -334,7 +334,7 @@ def c33_restored_blocks(spark, sf_dir):
 
 @query("SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'wrapper_tag' WHEN 1 THEN 'input_marker' WHEN 2 THEN 'prompt_heading' ELSE '' END AS hits FROM documents")
 def f24_residual_protocol(spark, sf_dir):
-    text = F.expr("CASE doc_id % 4 WHEN 0 THEN 'a </translation> b' WHEN 1 THEN '[END OF TEXT]' WHEN 2 THEN concat('x', chr(10), '## Instructions', chr(10), 'y') ELSE 'plain text' END")
+    text = F.expr("CASE doc_id % 4 WHEN 0 THEN 'a </translation> b' WHEN 1 THEN 'so END_INPUT.' WHEN 2 THEN '## Instructions: none' ELSE 'plain text' END")
     return read(spark, sf_dir, "documents").select("doc_id", F.array_join(more.residual_protocol(text), ",").alias("hits"))
 
 
@@ -357,7 +357,7 @@ def r06_wait_seconds(spark, sf_dir):
     return read(spark, sf_dir, "events").select("event_id", found.alias("seconds"))
 
 
-@query("SELECT n_nationkey, CASE WHEN n_nationkey % 3 = 0 THEN 1.1::DOUBLE WHEN n_nationkey % 3 = 1 THEN 0.8 ELSE 0.9 END AS least, CASE WHEN n_nationkey % 3 = 0 THEN 1.25::DOUBLE WHEN n_nationkey % 3 = 1 THEN 0.95 ELSE 1.3 END AS most FROM nation")
+@query("SELECT n_nationkey, CASE WHEN n_nationkey % 3 = 0 THEN 1.1::DOUBLE WHEN n_nationkey % 3 = 1 THEN 0.8 ELSE 0.95 END AS least, CASE WHEN n_nationkey % 3 = 0 THEN 1.25::DOUBLE WHEN n_nationkey % 3 = 1 THEN 0.95 ELSE 1.3 END AS most FROM nation")
 def x28_output_ratio(spark, sf_dir):
     ratios = spark.createDataFrame([("english", "spanish", 1.1, 1.25), ("spanish", "english", 0.8, 0.95)], "source string, target string, least double, most double")
     pairs = read(spark, sf_dir, "nation").selectExpr("n_nationkey", "CASE n_nationkey % 3 WHEN 0 THEN 'English ' WHEN 1 THEN 'SPANISH' ELSE 'x' END AS source", "CASE n_nationkey % 3 WHEN 0 THEN 'spanish' WHEN 1 THEN 'english' ELSE 'y' END AS target")

@@ -266,10 +266,13 @@ def y27_resume_at(spark, sf_dir):
 
 def _streamed(spark, frames, build, mode="append"):
     """The rows that a stream of files, which are written one frame after another, gives until they are used up. The files
-    and the stream's checkpoint lie in the shared folder, or in a temporary one where none is set."""
+    and the stream's checkpoint lie in the shared folder, or in a temporary one where none is set and all runs on one machine."""
     import uuid
 
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors see")
+    shared = shared or tempfile.mkdtemp()
     at, name = f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}", f"docmill_{uuid.uuid4().hex}"
     for frame in frames:
         frame.coalesce(1).write.mode("append").parquet(f"{at}/in")

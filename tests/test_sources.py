@@ -83,7 +83,7 @@ def test_block_kinds_in_order(spark):
 
 def test_memory_keys_hide_secrets(spark):
     key = lambda **o: spark.range(1).select(more.memory_key(F.lit(" a  b"), F.lit(None).cast("string"), F.lit(""), F.create_map(*[F.lit(x) for p in o.items() for x in p]), F.lit("en")).alias("k")).first().k
-    assert key(style="x", api_key="1") == key(style="x", api_key="2") == key(api_key="3", style="x", run_id="9") and key(style="y", api_key="1") != key(style="x", api_key="1")
+    assert key(style="x", api_key="1") == key(style="x", api_key="2") == key(api_key="3", style="x", _fidelity_report="9") and key(style="y", api_key="1") != key(style="x", api_key="1")
     with pytest.raises(KeyError):
         more.apply_rules(F.lit("x"), ["no such rule"])
 
