@@ -73,7 +73,8 @@ def phase_stream(events: DataFrame, key: str, order: list[str]) -> DataFrame:
 
 
 def stalled_stream(activity: DataFrame, key: str, at: str, seconds: int, late: str = "0 seconds") -> DataFrame:
-    """Keys that have shown nothing for some seconds, once the watermark says so: their sessions, closed."""
+    """Keys that have shown nothing for more than some seconds, once the watermark says so: their sessions, closed. At a gap
+    of exactly that, a session goes on."""
     gap = F.session_window(at, f"{seconds} seconds")
     return activity.withWatermark(at, late).groupBy(gap.alias("session"), key).agg(F.max(at).alias("last_activity"), F.count("*").alias("events"))
 

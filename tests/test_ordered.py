@@ -45,8 +45,9 @@ def test_windowed_streams(spark):
     rows = spark.createDataFrame([(0, "x", "2024-01-01 00:00:01", 5, 0.5), (1, "x", "2024-01-01 00:04:00", 7, 0.5), (2, "x", "2024-01-01 00:06:00", 1, 0.1), (3, "", "2024-01-01 00:06:00", 1, 0.1)], "i int, translation_id string, at string, total_tokens long, total_cost_usd double").withColumn("created_at", F.to_timestamp("at")).drop("at")
     got = _streamed(spark, [rows], state.usage_windows, "complete").collect()
     assert sorted((r.translation_id, r.calls, r.total_tokens) for r in got) == [("x", 1, 1), ("x", 2, 12)]
-    idle = _streamed(spark, [rows], lambda s: state.stalled_stream(s, "translation_id", "created_at", 120), "complete").collect()
-    assert sorted((r.translation_id, r.events) for r in idle) == [("", 1), ("x", 1), ("x", 1), ("x", 1)]
+    for seconds, sessions in ((120, [("", 1), ("x", 1), ("x", 2)]), (119, [("", 1), ("x", 1), ("x", 1), ("x", 1)])):  # a gap of 120
+        idle = _streamed(spark, [rows], lambda s, n=seconds: state.stalled_stream(s, "translation_id", "created_at", n), "complete").collect()
+        assert sorted((r.translation_id, r.events) for r in idle) == sessions
     cells = _streamed(spark, [rows.select("i", "created_at", F.lit(1).alias("row"), F.col("total_tokens").alias("output"))], lambda s: state.latest_cells(s, ["row"], "created_at"), "complete").collect()
     assert [(r.row, r.output) for r in cells] == [(1, 1)]
 
