@@ -44,6 +44,14 @@ def focus(operator: str) -> None:
 def give_back() -> None:
     """Freed memory of this process goes back to the system, where that is known how."""
     gc.collect()
+    release()
+
+
+def release() -> None:
+    """What Arrow and the allocator keep of freed memory goes back to the system."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
     if _trim():
         _trim()(0)
 
@@ -57,15 +65,13 @@ def _trim():
 
 
 def trimmed(run):
-    """A mapInArrow function whose worker gives memory back before and after the task."""
+    """A mapInArrow function whose worker gives memory back before and after the task, its tables of powers too."""
 
     def task(batches):
-        trim = _trim()
-        if trim:
-            trim(0)
+        release()
         yield from run(batches)
-        if trim:
-            trim(0)
+        powers.cache_clear()
+        release()
 
     return task
 

@@ -24,11 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import buffers, focus, mix, powers, remember, small_side, steps, table, trimmed
+from .common import buffers, focus, mix, powers, release, remember, small_side, steps, table, trimmed
 
 #: Ids of a block; ids after which a segment is closed; distinct words whose ids a worker remembers; new words of a line
-#: for the tokenizer; bytes of text of a step.
-BLOCK, SEGMENT, REMEMBER, LINE, STEP = 1024, 1 << 19, 1_200_000, 256, 4_000_000
+#: for the tokenizer; bytes of words hashed at once; bytes of text of a step.
+BLOCK, SEGMENT, REMEMBER, LINE, KEYS, STEP = 1024, 1 << 19, 1_200_000, 256, 1 << 18, 4_000_000
 #: Ids a word by selector, and their widths; selector 0 is the escape.
 COUNTS = (1, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)
 WIDTHS = (0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60)
@@ -186,15 +186,16 @@ class Known:
 def word_keys(words) -> tuple[np.ndarray, np.ndarray]:
     """Two hashes of each word of an Arrow column."""
     data, offsets = buffers(words)
-    base = int(offsets[0])
-    raw = data[base : int(offsets[-1])].astype(np.uint64) + np.uint64(1)
-    at, size = offsets[:-1] - base, np.diff(offsets).astype(np.uint64)
-    out = []
-    for k, odd in enumerate((0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)):
-        up, down = powers(1 << max(20, len(raw).bit_length()), k)
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(raw * up[: len(raw)])])
-        out.append(mix((total[offsets[1:] - base] - total[at]) * down[at] + size * np.uint64(odd)))
-    return out[0], out[1]
+    one, two = np.zeros(len(offsets) - 1, np.uint64), np.zeros(len(offsets) - 1, np.uint64)
+    for i, j in steps(offsets, KEYS):
+        bounds = offsets[i : j + 1] - offsets[i]
+        raw = data[offsets[i] : offsets[j]].astype(np.uint64) + np.uint64(1)
+        at, size = bounds[:-1], np.diff(bounds).astype(np.uint64)
+        for k, (out, odd) in enumerate(((one, 0x9E3779B97F4A7C15), (two, 0xC2B2AE3D27D4EB4F))):
+            up, down = powers(max(KEYS, 1 << len(raw).bit_length()), k)
+            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(raw * up[: len(raw)])])
+            out[i:j] = mix((total[bounds[1:]] - total[at]) * down[at] + size * np.uint64(odd))
+    return one, two
 
 
 class Words:
@@ -317,7 +318,7 @@ def tokenizer(vocabulary: str, room: int = REMEMBER) -> Words:
 # The files ------------------------------------------------------------------------------------------------------
 
 
-def encode_segments(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, room: int = REMEMBER) -> DataFrame:
+def encode_segments(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, room: int = REMEMBER, step: int = STEP) -> DataFrame:
     """(part, seq, ids, lens, total, data): the segments of docs in ascending order of their ids."""
 
     def run(batches) -> Iterator:
@@ -334,7 +335,7 @@ def encode_segments(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", te
 
         for batch in batches:
             _, offsets = buffers(batch.column(1))
-            for i, j in steps(offsets, STEP):
+            for i, j in steps(offsets, step):
                 ids, lens = words.encode(batch.column(1).slice(i, j - i), end_id)
                 ends = np.cumsum(lens)
                 at = done = 0
@@ -348,6 +349,7 @@ def encode_segments(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", te
                     if size >= SEGMENT:
                         yield close()
                         held, names, sizes, size, seq = [], [], [], 0, seq + 1
+            release()
         if names:
             yield close()
 
@@ -379,6 +381,6 @@ def read_documents(segments: DataFrame) -> DataFrame:
     return segments.join(small_side(bases), ["part", "seq"]).select("ids", "lens", "base", "data").mapInArrow(trimmed(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def write_token_files(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, room: int = REMEMBER) -> DataFrame:
+def write_token_files(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, room: int = REMEMBER, step: int = STEP) -> DataFrame:
     """Write docs' ids to files in the shared folder; the files, as a DataFrame of segments."""
-    return table(encode_segments(docs, vocabulary, id_col, text_col, end_id, room), "token-files")
+    return table(encode_segments(docs, vocabulary, id_col, text_col, end_id, room, step), "token-files")
