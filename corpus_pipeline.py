@@ -60,7 +60,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What the token files hold of each document."""
     ship(spark)
-    return read_documents(write_token_files(docs, room=600_000))  # other stages share the workers
+    return read_documents(write_token_files(docs, room=300_000, step=1_000_000))  # other stages share the workers
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
