@@ -34,8 +34,8 @@ from pyspark.sql.window import Window as W
 
 from .common import buffers, connected_components, cut, focus, mix, small_side, steps, table, trimmed, word_hashes
 
-#: Shingles that one unit of verification holds at most (16 MB of hashes).
-UNIT = 2_000_000
+#: Shingles that one unit of verification holds at most (64 MB of hashes).
+UNIT = 8_000_000
 #: Documents of the sample that tells frequent shingles, and shingles it may name.
 SAMPLE, FREQUENT = 4096, 20_000
 #: Points in a leaf, nodes in a node above; classes under one shingle that meet as pairs, and from which on they are dealt
