@@ -1,7 +1,7 @@
 """N-gram Jaccard join over a count-vector R-tree.
 
 Each text becomes a set of hashed word shingles. Texts with the same set form one class, so exact copies meet in an
-aggregate and never as pairs. A class's point counts its shingles by hash group (64 to 1,024 groups, by size, each
+aggregate and never as pairs. A class's point counts its shingles by hash group (64 to 4,096 groups, by size, each
 grouping nested in the next); the sum of coordinate-wise minima of two points bounds the overlap of their sets.
 Between classes:
 
@@ -41,6 +41,12 @@ SAMPLE, FREQUENT = 4096, 20_000
 #: Points in a leaf, nodes in a node above; classes under one shingle that meet as pairs, and from which on they are dealt
 #: to several tasks, in this many blocks at least.
 LEAF, FANOUT, CROWD, HOT, SPREAD = 32, 8, 48, 2048, 4
+#: Hash groups of a point, as powers of two, of sets below a size, and of larger ones: a group holds four to eight
+#: shingles at most, as the bound of two sets that share nothing nears what links ask for from about twenty on. Groups by
+#: which the points of two leaves are first compared, and counts that a step of the second look takes.
+GROUPS, FINEST, FIRST, LOOK = ((6, 500), (8, 1_000), (10, 4_000)), 12, 256, 1 << 20
+#: Integers that the counts of a point are packed as.
+WIDTHS = {b"1": np.uint8, b"2": np.uint16, b"4": np.uint32}
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> list[np.ndarray]:
@@ -86,20 +92,21 @@ def _listed(s: np.ndarray, frequent: np.ndarray, num: int, den: int) -> np.ndarr
 
 def point(s: np.ndarray) -> np.ndarray:
     """Shingles by hash group; the groups are nested, so a finer point folds into a coarser one."""
-    bits = 6 if len(s) < 1_000 else 8 if len(s) < 8_000 else 10
+    bits = next((b for b, below in GROUPS if len(s) < below), FINEST)
     return np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.uint32)
 
 
 def fold(points: np.ndarray, groups: int) -> np.ndarray:
-    return points if points.shape[-1] == groups else points.reshape(*points.shape[:-1], groups, -1).sum(-1)
+    return points if points.shape[-1] == groups else points.reshape(*points.shape[:-1], groups, -1).sum(-1, dtype=points.dtype)
 
 
 def _packed(p: np.ndarray) -> bytes:
-    return p.astype(np.uint16).tobytes() + b"2" if p.max(initial=0) < 65_536 else p.tobytes() + b"4"
+    width = next(w for w in WIDTHS if p.max(initial=0) <= np.iinfo(WIDTHS[w]).max)
+    return p.astype(WIDTHS[width]).tobytes() + width
 
 
 def _unpacked(b: bytes) -> np.ndarray:
-    return np.frombuffer(b[:-1], np.uint16 if b[-1:] == b"2" else np.uint32).astype(np.int64)
+    return np.frombuffer(b[:-1], WIDTHS[b[-1:]]).astype(np.int32)
 
 
 def _signed(docs: DataFrame, id_col: str, text_col: str, n: int, frequent: list[int], num: int, den: int) -> DataFrame:
@@ -208,9 +215,14 @@ def tree_join(size: np.ndarray, points: list[np.ndarray], apart, visit, num: int
             open_ &= np.arange(len(rows[p]))[:, None] < np.arange(len(rows[p]))[None, :]
         if not open_.any():
             continue
-        g = min(groups[p], groups[q])
+        g = min(groups[p], groups[q], FIRST)
         over = np.minimum(fold(inside[p], g)[:, None, :], fold(inside[q], g)[None, :, :]).sum(2)
         x, y = np.nonzero(open_ & (over >= least_overlap(size[rows[p]][:, None], size[rows[q]][None, :], num, den)))
+        if len(x) and (g := min(groups[p], groups[q])) > FIRST:
+            left, right = fold(inside[p], g), fold(inside[q], g)
+            over = np.concatenate([np.minimum(left[x[k : k + LOOK // g]], right[y[k : k + LOOK // g]]).sum(1) for k in range(0, len(x), LOOK // g)])
+            near = over >= least_overlap(size[rows[p][x]], size[rows[q][y]], num, den)
+            x, y = x[near], y[near]
         for i, j in zip(rows[p][x], rows[q][y], strict=True):
             visit(int(i), int(j))
 
@@ -261,7 +273,7 @@ def unit_links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, num:
     def apart(p: np.ndarray, q: np.ndarray) -> np.ndarray:
         return held.apart(p, q) & across(left, right, p, q)
 
-    tree_join(np.array([len(s) for s in sets], np.int64), [point(s).astype(np.int64) for s in sets], apart, verify, num, den)
+    tree_join(np.array([len(s) for s in sets], np.int64), [point(s).astype(np.int32) for s in sets], apart, verify, num, den)
     return held.links
 
 
