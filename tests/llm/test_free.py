@@ -430,3 +430,10 @@ def test_cap_join_in_few_dimensions(spark, monkeypatch, dim):
     got = {r.vec_id: r.n_links for r in caps.cap_join(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()}
     found = sum(got.values()) / max(1, link.sum())
     assert all(got[i] <= link[i].sum() for i in got) and found >= 0.95
+
+
+def test_stretches_decide_pages_without_an_article(spark, monkeypatch):
+    pages = [r.html.replace("<article>", "<div>").replace("</article>", "</div>").replace("<nav>", "<div>").replace("</nav>", "</div>") for r in spark.read.parquet(f"{SF}/pages.parquet").limit(20).collect()]
+    texts = [main_text(p) for p in pages]
+    monkeypatch.setattr(html_text, "stretches", lambda size: [(0, len(size) - 1)])
+    assert all(main_text(p) != t for p, t in zip(pages, texts, strict=True))
