@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,11 +23,32 @@ PAGE_LINE = r"(?i)^\s*(?:page\s*)?[0-9]{1,4}\s*$"
 NEGATIONS = "no not never nicht kein keine jamais ne pas non nunca sin sans senza nao нет не jamás nadie nada tampoco ningún ninguna ninguno ningunas ningunos μη δεν 无 不 未 ない ません"
 #: "Though ... never so much" grants something and denies nothing.
 CONCESSIVE = r"(?<![\p{L}\p{N}_])(?:though|although)(?![\p{L}\p{N}_])[^.!?;:«»“”\"‘’\n]*(?<![\p{L}\p{N}_])never\s+so\s+much(?![\p{L}\p{N}_])(?!\s+as(?![\p{L}\p{N}_]))"
-#: Boxes that stand for what could not be shown.
-BOXES = r"[\x{FFFC}\x{FFFD}\x{2580}-\x{259F}\x{25A0}-\x{25A1}\x{25AA}-\x{25AC}\x{25AE}-\x{25B0}\x{25FB}-\x{25FE}\x{2B1B}-\x{2B1C}]+"
+#: Boxes that stand for what could not be shown; the one range around them tells most characters apart at once.
+BOXES = r"[\x{2580}-\x{FFFD}&&[\x{FFFC}\x{FFFD}\x{2580}-\x{259F}\x{25A0}-\x{25A1}\x{25AA}-\x{25AC}\x{25AE}-\x{25B0}\x{25FB}-\x{25FE}\x{2B1B}-\x{2B1C}]]+"
+#: Runs of blanks become one, those around line ends and before punctuation none.
+SINGLE_BLANKS = ((r"[ \t]{2,}", " "), (r"[ \t]++(?:(\n)[ \t]*+|([,.;:!?]))|(\n)[ \t]++", "$1$2$3"))
+#: Controls but for tabs and line ends, one by one: the engine then looks each character up in one table.
+CONTROLS = "[" + "".join(rf"\x{c:02x}" for c in (*range(0x20), *range(0x7F, 0xA0)) if c not in b"\t\n\r") + "]"
 CONTEXT_SIZES = (2048, 4096, 8192, 16384, 32768, 65536, 131072)
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """An expression that names a value more than once, which is worked out once a row for all of them. Without it, each
+    name repeats the whole expression of the value, and rules in turn repeat what was repeated. Python functions may stand
+    in the value, not in its use."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def trimmed(text: Column, trim: Callable[[Column, Column], Column], pattern: str) -> Column:
+    """Blanks at the ends of a text go: a pattern whose $ also stands before a last line end, without going over the whole
+    text where it has none. trim does the same for those."""
+    return bound(text, lambda t: F.when(F.substring(t, -1, 1).isin("\n", "\r", "\u0085", "\u2028", "\u2029"), F.regexp_replace(t, pattern, "")).otherwise(trim(t, F.lit(" \t"))))
+
+
+def right_trimmed(text: Column) -> Column:
+    return trimmed(text, F.rtrim, r"[ \t]+$")
+
+
 def lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n")
 
@@ -44,16 +67,16 @@ def mojibake_score(text: Column) -> Column:
 
 def tidy_spaces(text: Column) -> Column:
     """Runs of blanks, blanks at line ends and starts, blanks before punctuation."""
-    for pattern, to in ((r"[ \t]{2,}", " "), (r"[ \t]+\n", "\n"), (r"\n[ \t]+", "\n"), (r"[ \t]+([,.;:!?])", "$1"), (r"[ \t]+$", "")):
+    for pattern, to in SINGLE_BLANKS:
         text = F.regexp_replace(text, pattern, to)
-    return text
+    return right_trimmed(text)
 
 
 def without_artifacts(text: Column) -> Column:
     """Zero-width marks, controls and replacement boxes go; a box between two letters or digits becomes a blank."""
     text = F.regexp_replace(text, r"[\x{200B}-\x{200D}\x{2060}]", "")
-    text = F.regexp_replace(text, r"[\x{0000}-\x{0008}\x{000B}\x{000C}\x{000E}-\x{001F}\x{007F}-\x{009F}]", "")
-    text = F.regexp_replace(text, rf"([\p{{L}}\p{{N}}]){BOXES}(?=[\p{{L}}\p{{N}}])", "$1 ")
+    text = F.regexp_replace(text, CONTROLS, "")
+    text = F.regexp_replace(text, rf"(?s)(?=.{BOXES})([\p{{L}}\p{{N}}]){BOXES}(?=[\p{{L}}\p{{N}}])", "$1 ")
     return tidy_spaces(F.regexp_replace(text, BOXES, ""))
 
 

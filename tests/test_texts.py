@@ -82,3 +82,17 @@ def test_terms_match_whole_words(spark):
     fixed, n = glossary.corrected(F.lit("Adam and Madam, Adam."), "Adam", "E$v\\e")
     assert tuple(values(spark, a=fixed, b=n)) == ("E$v\\e and Madam, E$v\\e.", 2)
     assert glossary.matched_terms(docs.limit(0), terms, "doc", "text").count() == 0 and glossary.matched_terms(docs, terms.limit(0), "doc", "text").count() == 0
+
+
+def plan_of(spark, column) -> str:
+    return spark.range(1).select(F.col("id").cast("string").alias("t")).select(column.alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_each_rule_of_an_editorial_text_stands_once(spark):
+    plan = plan_of(spark, C.editorial(F.col("t")))
+    assert [plan.count(p) for p in (C.WRAPPER, C.SOURCE_LINKS, "[0-9]{1,5}\\n, ", "([0-9]{3})(?<!")] == [1, 1, 1, 1] and plan.count("regexp_replace(") < 40
+
+
+def test_blanks_before_a_last_line_end(spark):
+    got = values(spark, a=C.without_wrappers(F.lit(" \ta \u2028")), b=C.without_marks(F.lit("a\u2028 \u2028 ")), c=C.without_source_links(F.lit("\tb \n")), d=C.without_leaders(F.lit("x" + "." * 20000 + " 7\r\n. . . 12\u2028 \u00a0\n\n\n\n\n")))
+    assert tuple(got) == ("a\u2028", "a\u2028\u2028", "b\n", "x 7\n\n\n")
