@@ -1,3 +1,5 @@
+import time
+
 from pyspark.sql import functions as F
 
 from docmill.functions import cleaning as C
@@ -96,3 +98,10 @@ def test_each_rule_of_an_editorial_text_stands_once(spark):
 def test_blanks_before_a_last_line_end(spark):
     got = values(spark, a=C.without_wrappers(F.lit(" \ta \u2028")), b=C.without_marks(F.lit("a\u2028 \u2028 ")), c=C.without_source_links(F.lit("\tb \n")), d=C.without_leaders(F.lit("x" + "." * 20000 + " 7\r\n. . . 12\u2028 \u00a0\n\n\n\n\n")))
     assert tuple(got) == ("a\u2028", "a\u2028\u2028", "b\n", "x 7\n\n\n")
+
+
+def test_each_rule_of_a_cleaned_text_stands_once_and_is_linear(spark):
+    plan = plan_of(spark, C.cleaned(F.col("t")))
+    assert [plan.count(p) for p in (C.WRAPPER, C.SOURCE_LINKS)] == [1, 1]
+    start, long = time.time(), "*a" + " word" * 60000 + " "  # no second asterisk
+    assert values(spark, x=C.without_emphasis(F.lit(long))).x == long and time.time() - start < 30
