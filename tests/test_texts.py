@@ -105,3 +105,11 @@ def test_each_rule_of_a_cleaned_text_stands_once_and_is_linear(spark):
     assert [plan.count(p) for p in (C.WRAPPER, C.SOURCE_LINKS)] == [1, 1]
     start, long = time.time(), "*a" + " word" * 60000 + " "  # no second asterisk
     assert values(spark, x=C.without_emphasis(F.lit(long))).x == long and time.time() - start < 30
+
+
+def test_each_rule_of_a_layout_stands_once_and_is_linear(spark):
+    plan = plan_of(spark, C.layout(F.col("t"), strip_style=True))
+    assert plan.count(C.SOURCE_LINKS) == 1 and plan.count("regexp_replace(") < 40 and "filter(" not in plan
+    start, long = time.time(), "__a" + " word" * 60000 + " b"  # no second mark
+    got = values(spark, x=C.layout(F.lit(long), strip_style=True), y=C.layout(F.lit("\u00a0 Page 3 of 9\t\r\n12.\n---\na *b* -\u00a0\nPag. x\n\n\n\n\nc ..... 4\n7."), strip_style=True), z=C.layout(F.lit("12.\nx"), pages=False))
+    assert got.x == long and time.time() - start < 30 and got.y == "a b -\n\nc 4" and got.z == "12.\nx"
